@@ -477,10 +477,10 @@ def _(r: Pipeline) -> DataFrame:
     rows = r.forecast("final").join(r.series().select(*SERIES, "on_hand_as_of"), list(SERIES))
     mu, sigma = dist.lognormal_params(F.col("q50"), F.col("q90"))
     m, s, stock = F.col("mu"), F.col("sigma"), F.coalesce("on_hand_as_of", F.lit(0.0)) / 10
-    return rows.select(*SERIES, "h", mu.alias("mu"), sigma.alias("sigma"), stock.alias("stock")).select(
-        "*", dist.prob_demand_exceeds(F.col("stock"), m, s).alias("p_exceeds"), dist.mean(m, s).alias("mean"),
-        dist.quantile(m, s, dist.normal_quantile_of(F.lit(0.95), {0.95})).alias("q_service"), dist.expected_shortfall(F.col("stock"), m, s).alias("shortfall"),
-    )
+    fitted = rows.select(*SERIES, "h", mu.alias("mu"), sigma.alias("sigma"), stock.alias("stock")).withColumns({
+        "mean": dist.mean(m, s), "q_service": dist.quantile(m, s, dist.normal_quantile_of(F.lit(0.95), {0.95})),
+    })
+    return dist.with_outcomes(fitted, "stock", "mu", "sigma", exceeds="p_exceeds", shortfall="shortfall")
 
 
 # ------------------------------------------------------------------ risk

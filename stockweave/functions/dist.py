@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the demand fit.
@@ -29,12 +29,14 @@ def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function to double precision, as a native expression."""
+    """Standard normal distribution function as a native expression.
+
+    Accurate to 1e-12: beyond seven standard deviations the tail is taken as zero. ``x`` is used
+    many times, so it should be a plain column.
+    """
     a = F.abs(x)
-    near = _horner(_NUMERATOR, a) / _horner(_DENOMINATOR, a)
-    far = F.lit(1.0) / ((a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))) * 2.506628274631)
-    tail = F.exp(-a * a / 2.0) * F.when(a < 7.07106781186547, near).otherwise(far)
-    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+    tail = F.when(a < 7.07106781186547, F.exp(-a * a / 2.0) * _horner(_NUMERATOR, a) / _horner(_DENOMINATOR, a)).otherwise(0.0)
+    return F.lit(0.5) + F.signum(x) * (F.lit(0.5) - tail)
 
 
 def lognormal_params(q50: Column, q90: Column) -> tuple[Column, Column]:
@@ -46,9 +48,12 @@ def lognormal_params(q50: Column, q90: Column) -> tuple[Column, Column]:
     return F.when(known, F.ln(median)), F.when(known, F.least(F.greatest(ratio, F.lit(MIN_SIGMA)), F.lit(MAX_SIGMA)))
 
 
+def z_score(stock: Column, mu: Column, sigma: Column) -> Column:
+    return (F.ln(F.greatest(stock, F.lit(MIN_MEDIAN))) - mu) / sigma
+
+
 def prob_demand_exceeds(stock: Column, mu: Column, sigma: Column) -> Column:
-    z = (F.ln(F.greatest(stock, F.lit(MIN_MEDIAN))) - mu) / sigma
-    return F.when(stock <= 0, F.lit(1.0)).otherwise(1.0 - normal_cdf(z))
+    return F.when(stock <= 0, F.lit(1.0)).otherwise(1.0 - normal_cdf(z_score(stock, mu, sigma)))
 
 
 def quantile(mu: Column, sigma: Column, z: Column) -> Column:
@@ -69,7 +74,21 @@ def mean(mu: Column, sigma: Column) -> Column:
 
 def expected_shortfall(stock: Column, mu: Column, sigma: Column) -> Column:
     """Expected demand beyond the stock; the whole mean when there is none."""
-    s = F.greatest(stock, F.lit(MIN_MEDIAN))
-    m = mean(mu, sigma)
-    lost = m * (1.0 - normal_cdf((F.ln(s) - mu - sigma * sigma) / sigma)) - s * (1.0 - normal_cdf((F.ln(s) - mu) / sigma))
+    z = z_score(stock, mu, sigma)
+    return _shortfall(stock, mean(mu, sigma), normal_cdf(z), normal_cdf(z - sigma))
+
+
+def _shortfall(stock: Column, m: Column, below: Column, below_weighted: Column) -> Column:
+    lost = m * (1.0 - below_weighted) - F.greatest(stock, F.lit(MIN_MEDIAN)) * (1.0 - below)
     return F.when(stock <= 0, m).otherwise(F.greatest(lost, F.lit(0.0)))
+
+
+def with_outcomes(df: DataFrame, stock: str, mu: str, sigma: str, *, exceeds: str, shortfall: str | None = None) -> DataFrame:
+    """Adds P(demand > stock) and the expected shortfall; the scores are columns of their own, so each is computed once."""
+    m, s, held = F.col(mu), F.col(sigma), F.col(stock)
+    out = df.withColumn("_z", z_score(held, m, s)).withColumn("_below", normal_cdf(F.col("_z")))
+    out = out.withColumn(exceeds, F.when(held <= 0, F.lit(1.0)).otherwise(1.0 - F.col("_below")))
+    if shortfall:
+        out = out.withColumn("_zs", F.col("_z") - s).withColumn("_below_weighted", normal_cdf(F.col("_zs")))
+        out = out.withColumn(shortfall, _shortfall(held, mean(m, s), F.col("_below"), F.col("_below_weighted")))
+    return out.drop("_z", "_zs", "_below", "_below_weighted")

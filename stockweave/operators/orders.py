@@ -136,14 +136,12 @@ def _place(d: DataFrame, prefix: str, target: Column) -> DataFrame:
     """Order and outcomes that lift the projected stock to ``target`` under the model's demand distribution."""
     need = F.greatest(target - F.col("on_hand_projected"), F.lit(0.0))
     qty = F.when(F.col("is_discontinued"), F.lit(0.0)).otherwise(moq_round_up(need, F.col("moq")))
-    stock = F.col("on_hand_projected") + F.col(f"{prefix}order_qty")
-    mu, sigma = F.col("_mu"), F.col("_sigma")
     service = "implied_service_level" if not prefix else f"{prefix}service_level"
-    return d.withColumn(f"{prefix}order_qty", qty).withColumns({
-        service: 1.0 - dist.prob_demand_exceeds(stock, mu, sigma),
-        f"{prefix}expected_lost_sales": dist.expected_shortfall(stock, mu, sigma),
-        f"{prefix}working_capital": F.col(f"{prefix}order_qty") * F.col("unit_value"),
-    })
+    placed = d.withColumn(f"{prefix}order_qty", qty).withColumn("_stock", F.col("on_hand_projected") + F.col(f"{prefix}order_qty"))
+    placed = dist.with_outcomes(placed, "_stock", "_mu", "_sigma", exceeds="_p", shortfall=f"{prefix}expected_lost_sales")
+    return placed.withColumns({
+        service: 1.0 - F.col("_p"), f"{prefix}working_capital": F.col(f"{prefix}order_qty") * F.col("unit_value"),
+    }).drop("_p", "_stock")
 
 
 def with_orders(d: DataFrame) -> DataFrame:

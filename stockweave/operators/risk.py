@@ -74,10 +74,9 @@ def score_days(
     mu, sigma = dist.lognormal_params(F.col("fwd50"), F.col("fwd90"))
     x = x.withColumns({"daily_mean_7d": F.col("fwd50") / lookahead, "_mu": mu, "_sigma": sigma})
     floor = F.lit(1e-6)
-    x = x.withColumns({
+    x = dist.with_outcomes(x, "on_hand", "_mu", "_sigma", exceeds="p_stockout_7d").withColumns({
         "cover_days": F.when(F.col("daily_mean_7d").isNotNull(), F.col("on_hand") / F.greatest("daily_mean_7d", floor)),
         "cover_threshold": F.col("lead_time_days") + F.col("safety_stock_days"),
-        "p_stockout_7d": dist.prob_demand_exceeds(F.col("on_hand"), F.col("_mu"), F.col("_sigma")),
     }).drop("_mu", "_sigma")
     by_date = Window.partitionBy(*SERIES).orderBy("date")
     week = by_date.rowsBetween(-6, 0)
