@@ -431,7 +431,7 @@ def _(r: Pipeline) -> DataFrame:
 
 @register("i2_blind_preselection")
 def _(r: Pipeline) -> DataFrame:
-    return B.blind_preselection(r.backtest(), r.p.horizon)
+    return r.preselection()
 
 
 @register("i3_blind_regret")

@@ -58,7 +58,8 @@ def _grow(features: Sequence[str], seed: int):
                 nodes.append((tree, node, -1, 0.0, -1, -1, depth + float(average_path(len(members)))))
                 continue
             feature = int(rng.choice(usable))
-            threshold = float(rng.uniform(lo[feature], hi[feature]))
+            # strictly below the maximum, so neither side is empty
+            threshold = min(float(rng.uniform(lo[feature], hi[feature])), float(np.nextafter(hi[feature], lo[feature])))
             goes_left = part[:, feature] <= threshold
             left, right = n_nodes, n_nodes + 1
             n_nodes += 2

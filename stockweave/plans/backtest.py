@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.functions.metrics import summarize_forecasts, weighted_mean
+from stockweave.functions.metrics import weighted_mean
 from stockweave.functions.quantiles import finalize, grouped_quantiles, join_groups
 from stockweave.models.future import FOLD_KEY, eligible_series, with_folds
 from stockweave.params import SERIES
@@ -102,12 +102,11 @@ def select_models(metrics_fold: DataFrame, tolerance: float = 0.02) -> DataFrame
     )
 
 
-def holdout_report(pred: DataFrame, n_fit: int) -> DataFrame:
-    """Coverage and error of the last folds, raw and with intervals calibrated on the first ``n_fit`` folds."""
-    calibration = calibrate_intervals(pred.filter(F.col("fold") < n_fit))
-    raw = pred.filter(F.col("fold") >= n_fit)
-    both = raw.withColumn("quantiles", F.lit("raw")).unionByName(apply_calibration(raw, calibration).withColumn("quantiles", F.lit("calibrated")))
-    return summarize_forecasts(both, ["quantiles", "model", "cluster"])
+def raw_and_calibrated(pred: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Every row twice, as predicted and with calibrated intervals; column ``quantiles`` tells which."""
+    return pred.withColumn("quantiles", F.lit("raw")).unionByName(
+        apply_calibration(pred, calibration).withColumn("quantiles", F.lit("calibrated"))
+    )
 
 
 # ------------------------------------------------------------------ blind test
@@ -124,22 +123,12 @@ def folds_with_role(pred: DataFrame, horizon: int, role: str) -> DataFrame:
     return pred.join(F.broadcast(split_folds(pred, horizon).filter(F.col("role") == role).select("fold")), "fold", "left_semi")
 
 
-def blind_sealed(pred: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-    """The sealed fold, raw and with calibration from the usable folds only."""
-    sealed = folds_with_role(pred, horizon, "sealed")
-    return sealed, apply_calibration(sealed, calibrate_intervals(folds_with_role(pred, horizon, "usable")))
-
-
-def blind_overall(sealed: DataFrame, calibrated: DataFrame) -> DataFrame:
-    raw = summarize_forecasts(sealed, ["model"]).select(
+def blind_overall(metrics: DataFrame) -> DataFrame:
+    """Calibrated metrics per model next to the raw coverage, from metrics by (quantiles, model)."""
+    raw = metrics.filter("quantiles = 'raw'").select(
         "model", F.col("coverage_90").alias("coverage_90_raw"), F.col("coverage_80").alias("coverage_80_raw")
     )
-    return summarize_forecasts(calibrated, ["model"]).join(raw, "model").orderBy("wape", "model")
-
-
-def blind_preselection(pred: DataFrame, horizon: int, tolerance: float = 0.02) -> DataFrame:
-    usable = folds_with_role(pred, horizon, "usable")
-    return select_models(summarize_forecasts(usable, ["model", "cluster", "fold"]), tolerance)
+    return metrics.filter("quantiles = 'calibrated'").drop("quantiles").join(raw, "model").orderBy("wape", "model")
 
 
 def blind_regret(cluster_metrics: DataFrame, preselection: DataFrame) -> DataFrame:

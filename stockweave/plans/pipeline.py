@@ -142,23 +142,46 @@ class Pipeline:
         early = F.col("fold") < self.p.n_calibration_folds
         return self.store.table(f"calibration_{self.tag}", lambda: B.calibrate_intervals(self.backtest().filter(early)))
 
+    def holdout_rows(self) -> DataFrame:
+        """The last folds, raw and with the intervals calibrated on the early folds."""
+        late = F.col("fold") >= self.p.n_calibration_folds
+        return self.store.table(f"holdout_rows_{self.tag}", lambda: B.raw_and_calibrated(self.backtest().filter(late), self.calibration()))
+
     def holdout(self) -> DataFrame:
-        return self.store.table(f"holdout_{self.tag}", lambda: B.holdout_report(self.backtest(), self.p.n_calibration_folds))
+        return self.store.table(f"holdout_{self.tag}", lambda: summarize_forecasts(self.holdout_rows(), ["quantiles", "model", "cluster"]))
 
-    def blind_cluster(self) -> DataFrame:
-        def build() -> DataFrame:
-            return summarize_forecasts(B.blind_sealed(self.backtest(), self.p.horizon)[1], ["model", "cluster"])
+    # ------------------------------------------------------------------ blind test
+    def usable_folds(self) -> DataFrame:
+        return self.store.table(f"usable_{self.tag}", lambda: B.folds_with_role(self.backtest(), self.p.horizon, "usable"))
+
+    def blind_calibration(self) -> DataFrame:
+        return self.store.table(f"blind_calibration_{self.tag}", lambda: B.calibrate_intervals(self.usable_folds()))
+
+    def sealed_rows(self) -> DataFrame:
+        """The sealed fold, raw and with calibration from the usable folds only."""
+        return self.store.table(f"sealed_{self.tag}", lambda: B.raw_and_calibrated(
+            B.folds_with_role(self.backtest(), self.p.horizon, "sealed"), self.blind_calibration()
+        ))
 
-        return self.store.table(f"blind_cluster_{self.tag}", build)
+    def blind_metrics(self) -> DataFrame:
+        return self.store.table(f"blind_metrics_{self.tag}", lambda: summarize_levels(
+            self.sealed_rows(), {"overall": ("quantiles", "model"), "cluster": ("quantiles", "model", "cluster")}
+        ))
 
     def blind_overall(self) -> DataFrame:
-        return self.store.table(f"blind_overall_{self.tag}", lambda: B.blind_overall(*B.blind_sealed(self.backtest(), self.p.horizon)))
+        return B.blind_overall(self.blind_metrics().filter("level = 'overall'").drop("level", "cluster"))
 
-    def blind_regret(self) -> DataFrame:
-        return self.store.table(f"blind_regret_{self.tag}", lambda: B.blind_regret(
-            self.blind_cluster(), B.blind_preselection(self.backtest(), self.p.horizon, self.p.selection_tolerance)
+    def blind_cluster(self) -> DataFrame:
+        return self.blind_metrics().filter("level = 'cluster' and quantiles = 'calibrated'").drop("level", "quantiles")
+
+    def preselection(self) -> DataFrame:
+        return self.store.table(f"preselection_{self.tag}", lambda: B.select_models(
+            summarize_forecasts(self.usable_folds(), ["model", "cluster", "fold"]), self.p.selection_tolerance
         ))
 
+    def blind_regret(self) -> DataFrame:
+        return self.store.table(f"blind_regret_{self.tag}", lambda: B.blind_regret(self.blind_cluster(), self.preselection()))
+
     # ------------------------------------------------------------------ forecast
     def forecast_all(self) -> DataFrame:
         origins = {"final": self.p.last_week, "risk_eval": self.p.risk_origin}
