@@ -24,8 +24,10 @@ from stockweave.functions import metrics as M  # noqa: E402
 from stockweave.functions.quantiles import finalize  # noqa: E402
 from stockweave.models import ets, features, future, naive  # noqa: E402
 from stockweave.operators import daily as D  # noqa: E402
+from stockweave.operators import gates as G  # noqa: E402
 from stockweave.operators import inventory as I  # noqa: E402
 from stockweave.operators import orders as O  # noqa: E402
+from stockweave.operators import reporting as RP  # noqa: E402
 from stockweave.operators import risk as R  # noqa: E402
 from stockweave.operators import validate as V  # noqa: E402
 from stockweave.operators import weekly as W  # noqa: E402
@@ -528,7 +530,7 @@ def _(r: Pipeline) -> DataFrame:
 
 @register("l12_method_metrics_all_models", ALL_MODELS)
 def _(r: Pipeline) -> DataFrame:
-    return R.evaluate_methods(r.labeled())
+    return r.method_metrics()
 
 
 @register("l13_threshold_sweep")
@@ -598,6 +600,63 @@ def _(r: Pipeline) -> DataFrame:
     return r.order_summary()
 
 
+# ------------------------------------------------------------------ quality gates
+for _area, _first in {"data": "n1", "forecast": "n6", "blind": "n19", "risk": "n22", "orders": "n29"}.items():
+    register(f"{_first}_{_area}_gates")(lambda r, area=_area: G.scorecard(r.gates(area, anomalies=False)))
+
+
+@register("n40_scorecard")
+def _(r: Pipeline) -> DataFrame:
+    return r.scorecard(anomalies=False)
+
+
+@register("n40_scorecard_counts")
+def _(r: Pipeline) -> DataFrame:
+    return G.status_counts(r.scorecard(anomalies=False))
+
+
+@register("n40_scorecard_all_models", ALL_MODELS)
+def _(r: Pipeline) -> DataFrame:
+    return r.scorecard()
+
+
+# ------------------------------------------------------------------ reporting
+_REPORTS = {
+    "o1_accuracy_pivot": lambda r: RP.accuracy_pivot(r.metrics_of("cluster"), NAIVE_MODELS),
+    "o2_calibration_pivot": lambda r: RP.calibration_pivot(r.calibration()),
+    "o3_silent_stockouts": lambda r: RP.silent_stockouts(r.labeled(anomalies=False), RULES),
+    "o3_alert_activity": lambda r: RP.alert_activity(r.labeled(anomalies=False), RULES),
+    "o4_value_counts": lambda r: RP.value_counts(r.series(), r.alerts(anomalies=False), r.orders()),
+    "o5_days_on_hand": lambda r: RP.portfolio_days_on_hand(r.orders()),
+    "o6_wape_by_horizon": lambda r: RP.wape_by_horizon(r.metrics_of("cluster_h")),
+    "o7_coverage_by_model": lambda r: RP.coverage_by_model(r.holdout()),
+    "o8_cluster_forecast_vs_actual": lambda r: RP.cluster_forecast_vs_actual(r.backtest(), r.weekly(), r.selection()),
+    "o9_residual_quantiles": lambda r: RP.residual_quantiles(r.backtest(), r.selection()),
+    "o9_residual_histogram": lambda r: RP.residual_histogram(r.backtest(), r.selection()),
+    "o10_cover_by_label": lambda r: RP.cover_by_label(r.labeled(anomalies=False)),
+    "o11_timeline_ranking": lambda r: RP.timeline_ranking(r.labeled(anomalies=False)),
+    "o12_representative_series": lambda r: RP.representative_history(r.series(), r.weekly(), r.p.last_week),
+    "o13_portfolio_outlook": lambda r: RP.portfolio_outlook(r.weekly(), r.forecast("final")),
+    "o14_cluster_weeks": lambda r: RP.cluster_weeks(r.weekly()),
+    "o15_promo_lift": lambda r: RP.promo_lift(r.daily()),
+    "o15_promo_summary": lambda r: RP.promo_summary(r.daily()),
+    "o16_weekday_index": lambda r: RP.weekday_index(r.daily()),
+    "o17_calendar_effects": lambda r: RP.calendar_effects(r.daily()),
+    "o18_describe_series": lambda r: RP.describe(r.series(), ["n_weeks", "mean_weekly", "on_hand_as_of"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}),
+    "o18_describe_shortage": lambda r: RP.describe(r.inventory_cedis(), ["stockout_store_share"], {"q50": 0.5, "q90": 0.9, "q95": 0.95, "q99": 0.99}),
+    "o19_short_series": lambda r: RP.short_series(r.inventory_cedis()),
+    "o19_discontinued": lambda r: RP.discontinued_list(r.series()),
+    "o20_top_orders": lambda r: RP.top_orders(r.orders()),
+    "o20_high_alerts": lambda r: RP.high_alerts(r.alerts(anomalies=False)).select(*SERIES, "cluster", "cover_days", "p_stockout_7d"),
+    "o21_error_reduction": lambda r: RP.error_reduction(r.metrics_of("overall")),
+    "o22_selected_metrics": lambda r: RP.selected_rows(r.metrics_of("cluster"), r.selection()),
+    "o23_best_naive": lambda r: RP.best_naive(r.metrics_of("overall")),
+    "o24_series_with_events": lambda r: RP.event_series_count(r.labeled(anomalies=False)),
+}
+for _name, _report in _REPORTS.items():
+    register(_name)(_report)
+
+
 # ------------------------------------------------------------------ contract
 def entry(spark: SparkSession) -> DataFrame:
     """What should each centre order next week? Sales to order lines on the smallest tables, moving average only."""

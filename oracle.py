@@ -725,3 +725,171 @@ _order_doubles = (
 register("m14_order_file", "orders_", f"SELECT upc, cedis, cluster, model, origin, protection_period_days, safety_stock_binding, moq, flags, {rr(*_order_doubles)} FROM orders_")
 _summary_doubles = [*TOTALS, *[f"{p}service_level_weighted" for p in _SL], *[f"{p}fill_rate" for p in _SL], "delta_working_capital_vs_ma4", "lost_units_reduction_vs_ma4", "target_stock_value_freed_by_fq"]
 register("m15_order_summary", "summary", f"SELECT level, name, n_series, lines_below_90, ma4_lines_below_90, fq_lines_below_90, {rr(*_summary_doubles)} FROM summary")
+
+# ------------------------------------------------------------------ quality gates
+def gate(area: str, name: str, value: str, op: str, threshold, severity: str, note: str = "''") -> str:
+    """One row; a string threshold is an SQL expression, a tuple a range."""
+    if isinstance(threshold, tuple):
+        lo, hi, text = d(threshold[0]), d(threshold[1]), f"'[{threshold[0]}, {threshold[1]}]'"
+    elif isinstance(threshold, str):
+        lo = hi = f"CAST({threshold} AS DOUBLE)"
+        text = f"CAST(CAST({threshold} AS DOUBLE) AS VARCHAR)"
+    else:
+        lo = hi = d(float(threshold))
+        text = f"'{threshold}'"
+    ok = {"<=": f"v <= {hi}", ">=": f"v >= {lo}", "==": f"abs(v - {lo}) < {d(1e-9)}", "in": f"v BETWEEN {lo} AND {hi}"}[op]
+    failed = "FAIL" if severity == "hard" else "warn"
+    return (f"SELECT '{area}' AS area, '{name}' AS gate, {r4('v', 'value')}, '{op}' AS op, {text} AS threshold, '{severity}' AS severity, {note} AS note, "
+            f"CASE WHEN coalesce({ok}, false) THEN 'pass' ELSE '{failed}' END AS status FROM (SELECT CAST(({value}) AS DOUBLE) AS v)")
+
+
+def _wm(col: str, source: str) -> str:
+    return f"SELECT sum({col} * n) / nullif(sum(n), 0) FROM {source}"
+
+
+cte("sel_metrics", "m_cluster selection", "SELECT m.* FROM m_cluster m JOIN selection s ON m.cluster = s.cluster AND m.model = s.selected_model")
+cte("sel_hold", "hold_cal selection", "SELECT m.* FROM hold_cal m JOIN selection s ON m.cluster = s.cluster AND m.model = s.selected_model")
+cte("full_weeks", "weekly daily", """
+SELECT w.y, d.units FROM weekly w JOIN (SELECT upc, cedis, week_start, sum(sell_out_pzs) AS units, count(sell_out_pzs) AS n FROM daily GROUP BY ALL) d
+  ON w.upc = d.upc AND w.cedis = d.cedis AND w.week_start = d.week_start WHERE d.n = 7""")
+cte("fcf", "fc", "SELECT * FROM fc WHERE origin_label = 'final'")
+cte("fcs", "fcf", "SELECT upc, cedis, count(DISTINCT h) AS n_h, count(DISTINCT model) AS n_m FROM fcf GROUP BY upc, cedis")
+cte("naive_w", "m_cluster", "SELECT min(w) AS w FROM (SELECT model, sum(wape * n) / sum(n) AS w FROM m_cluster WHERE model IN ('ma4', 'seasonal_naive') GROUP BY model)")
+cte("rule_methods", "by_method", f"SELECT method, {confusion('alert', 'label_7d = 1')} FROM by_method WHERE label_7d IS NOT NULL GROUP BY method")
+
+
+def dup(source: str, key: str) -> str:
+    return f"SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM {source} GROUP BY {key})"
+
+
+def share(cond: str, source: str) -> str:
+    return f"SELECT avg(CAST(coalesce({cond}, false) AS INTEGER)) FROM {source}"
+
+
+GATES = {
+    "n1_data_gates": ("weekly full_weeks series", [
+        gate("data", "weekly_duplicate_keys", dup("weekly", "upc, cedis, week_start"), "==", 0, "hard"),
+        gate("data", "weekly_reconciles_to_daily_max_rel_diff", f"SELECT max(abs(y - units) / greatest(units, {d(1e-9)})) FROM full_weeks", "<=", 1e-06, "hard",
+             "(SELECT count(*) FROM full_weeks) || ' fully observed weeks compared'"),
+        gate("data", "weekly_y_missing_share", share("y IS NULL", "weekly"), "<=", 0.02, "soft"),
+        gate("data", "series_with_inventory_share", share("has_inventory", "series"), ">=", 0.95, "soft"),
+        gate("data", "n_series", "SELECT count(*) FROM series", ">=", 1, "hard")]),
+    "n6_forecast_gates": ("fcf fcs series sel_metrics sel_hold naive_w m_cluster calib selection", [
+        gate("forecast", "quantiles_monotone_share", share(" AND ".join(f"{b} - {a} >= {d(-1e-9)}" for a, b in zip(QS, QS[1:])), "fcf"), "==", 1.0, "hard"),
+        gate("forecast", "quantiles_non_negative_share", "SELECT avg(CAST(q >= 0 AS INTEGER)) FROM (SELECT unnest([" + ", ".join(QS) + "]) AS q FROM fcf)", "==", 1.0, "hard"),
+        gate("forecast", "quantiles_finite_share", "SELECT avg(CAST(isfinite(q) AS INTEGER)) FROM (SELECT unnest([" + ", ".join(QS) + "]) AS q FROM fcf)", "==", 1.0, "hard"),
+        gate("forecast", "series_with_full_horizon_share", share("n_h = 8", "fcs"), "==", 1.0, "hard"),
+        gate("forecast", "series_covered", "SELECT count(*) FROM fcs", "==", "(SELECT count(*) FROM series)", "hard", "'every series gets a forecast'"),
+        gate("forecast", "one_model_per_series_share", share("n_m = 1", "fcs"), "==", 1.0, "hard"),
+        gate("forecast", "selected_wape_overall", _wm("wape", "sel_metrics"), "<=", 0.25, "hard"),
+        gate("forecast", "rel_improvement_vs_best_naive", f"1 - ({_wm('wape', 'sel_metrics')}) / (SELECT w FROM naive_w)", ">=", 0.05, "soft",
+             "printf('best naive WAPE %.3f', (SELECT w FROM naive_w))"),
+        gate("forecast", "selected_abs_bias", f"abs(({_wm('bias', 'sel_metrics')}))", "<=", 0.1, "soft"),
+        gate("forecast", "holdout_coverage_90_calibrated", _wm("coverage_90", "sel_hold"), "in", (0.85, 0.97), "hard"),
+        gate("forecast", "holdout_coverage_80_calibrated", _wm("coverage_80", "sel_hold"), "in", (0.72, 0.93), "soft"),
+        gate("forecast", "calibration_table_complete", "SELECT count(*) FROM calib", "==", "(SELECT 2 * count(DISTINCT model) * count(DISTINCT cluster) FROM m_cluster)", "hard", "'two intervals per model x cluster'"),
+        gate("forecast", "selection_covers_all_clusters", "SELECT count(DISTINCT cluster) FROM selection", "==", "(SELECT count(DISTINCT cluster) FROM m_cluster)", "hard")]),
+    "n19_blind_gates": ("regret blind_over", [
+        gate("blind", "blind_wape_pre_registered", _wm("blind_wape_pre_registered", "regret"), "<=", 0.25, "hard", "'sealed last fold, selection made without it'"),
+        gate("blind", "blind_selection_regret", f"({_wm('blind_wape_pre_registered', 'regret')}) - ({_wm('blind_wape_best', 'regret')})", "<=", 0.05, "soft", "'pre-registered choice vs best model in hindsight'"),
+        gate("blind", "blind_beats_best_naive", f"(SELECT min(wape) FROM blind_over WHERE model IN ('ma4', 'seasonal_naive')) - ({_wm('blind_wape_pre_registered', 'regret')})", ">=", 0.0, "soft")]),
+    "n22_risk_gates": ("rule_methods alerts series", [
+        gate("risk", "best_method_recall", "SELECT max(recall) FROM rule_methods", ">=", 0.5, "soft"),
+        gate("risk", "prob_method_false_alarm_rate", "SELECT false_alarm_rate FROM rule_methods WHERE method = 'prob'", "<=", 0.15, "soft"),
+        gate("risk", "methods_evaluated", "SELECT count(*) FROM rule_methods", "==", 2.0, "hard"),
+        gate("risk", "alert_rows_vs_series_with_inventory", "SELECT count(*) FROM alerts", "==", "(SELECT count(*) FILTER (has_inventory) FROM series)", "hard"),
+        gate("risk", "severity_values_valid_share", share("severity IN ('none', 'medium', 'high')", "alerts"), "==", 1.0, "hard"),
+        gate("risk", "p_stockout_in_unit_interval_share", share("p_stockout_7d BETWEEN 0 AND 1", "alerts"), "==", 1.0, "hard"),
+        gate("risk", "high_severity_implies_prob_or_cover", f"SELECT coalesce(({share('p_stockout_7d > 0.75 OR cover_days < lead_time_days', '(SELECT * FROM alerts WHERE severity = $$high$$)')}), 1.0)", "==", 1.0, "hard")]),
+    "n29_orders_gates": ("orders_ series summary", [
+        gate("orders", "one_line_per_series", "SELECT count(*) FROM orders_", "==", "(SELECT count(*) FROM series)", "hard"),
+        gate("orders", "duplicate_lines", dup("orders_", "upc, cedis"), "==", 0, "hard"),
+        gate("orders", "key_columns_nan_count", "SELECT " + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in
+             ("order_qty", "implied_service_level", "working_capital", "demand_p50", "on_hand_projected", "unit_value")) + " FROM orders_", "==", 0, "hard"),
+        gate("orders", "order_qty_non_negative_share", share("order_qty >= 0", "orders_"), "==", 1.0, "hard"),
+        gate("orders", "order_qty_moq_multiple_share", share(f"abs(order_qty % moq) < {d(1e-6)} OR order_qty = 0", "orders_"), "==", 1.0, "hard"),
+        gate("orders", "discontinued_orders_zero_share", "SELECT coalesce(avg(CAST(order_qty = 0 AS INTEGER)) FILTER (contains(flags, 'discontinued')), 1.0) FROM orders_", "==", 1.0, "hard"),
+        gate("orders", "working_capital_consistent_share", share(f"abs(working_capital - order_qty * unit_value) <= {d(1e-3)} * greatest(abs(working_capital), 1)", "orders_"), "==", 1.0, "hard"),
+        gate("orders", "service_level_in_unit_interval_share", share("implied_service_level BETWEEN 0 AND 1", "orders_"), "==", 1.0, "hard"),
+        gate("orders", "unflagged_lines_at_target_service_level_share",
+             f"SELECT coalesce(avg(CAST(implied_service_level >= service_level_target - {d(1e-6)} AS INTEGER)) FILTER (flags = ''), 1.0) FROM orders_", ">=", 0.9, "soft",
+             "(SELECT count(*) FILTER (flags = '') FROM orders_) || ' unflagged lines'"),
+        gate("orders", "portfolio_service_level_vs_ma4", "SELECT service_level_weighted - ma4_service_level_weighted FROM summary WHERE level = 'portfolio'", ">=", -1e-09, "soft"),
+        gate("orders", "lines_below_90_vs_ma4", "SELECT ma4_lines_below_90 - lines_below_90 FROM summary WHERE level = 'portfolio'", ">=", 0, "soft", "'no more lines below 90% than the naive policy'")]),
+}
+for name, (needs, gates) in GATES.items():
+    register(name, needs, " UNION ALL ".join(gates))
+_all_needs = " ".join(dict.fromkeys(n for needs, _ in GATES.values() for n in needs.split()))
+_all_gates = " UNION ALL ".join(g for _, gates in GATES.values() for g in gates)
+register("n40_scorecard", _all_needs, _all_gates)
+register("n40_scorecard_counts", _all_needs, f"SELECT status, count(*) AS n_gates FROM ({_all_gates}) GROUP BY status")
+
+# ------------------------------------------------------------------ reporting
+cte("activity", "labeled", """
+SELECT upc, cedis, count(*) FILTER (event) AS events, count(*) FILTER (alert_cover OR alert_prob) AS alerts, median(cover_days) AS cover FROM labeled GROUP BY upc, cedis""")
+cte("rel_resid", "pred selection", "SELECT p.cluster, (q50 - y) / y AS rel FROM pred p JOIN selection s ON p.cluster = s.cluster AND p.model = s.selected_model WHERE y > 0")
+cte("rel_days", "daily", "SELECT *, sell_out_pzs / nullif(avg(sell_out_pzs) OVER (PARTITION BY upc, cedis), 0) AS rel FROM daily WHERE sell_out_pzs IS NOT NULL")
+register("o1_accuracy_pivot", "m_cluster", f"SELECT cluster, {r4('max(wape) FILTER (model = $$ma4$$)', 'ma4')}, {r4('max(wape) FILTER (model = $$seasonal_naive$$)', 'seasonal_naive')} FROM m_cluster GROUP BY cluster")
+register("o2_calibration_pivot", "calib", f"SELECT model, cluster, {r4('max(k) FILTER (lo = $$q10$$)', 'k_80')}, {r4('max(k) FILTER (lo = $$q05$$)', 'k_90')} FROM calib GROUP BY model, cluster")
+register("o3_silent_stockouts", "activity", f"SELECT upc, cedis, events, alerts, {rr('cover')} FROM activity WHERE events > 0 AND alerts = 0")
+register("o3_alert_activity", "activity", f"SELECT upc, cedis, events, alerts, {rr('cover')} FROM activity")
+register("o4_value_counts", "series alerts orders_", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM {t} GROUP BY {c}" for t, c in (("series", "cluster"), ("alerts", "severity"), ("orders_", "flags"), ("orders_", "safety_stock_binding"))))
+register("o5_days_on_hand", "orders_", f"""
+SELECT {r4('sum(on_hand_projected) / nullif(sum(demand_p50), 0) * 14', 'days_on_hand')}, count(*) FILTER (safety_stock_binding = 'policy_days') AS lines_bound_by_policy,
+       count(*) FILTER (flags <> '') AS flagged_lines, count(*) AS lines FROM orders_""")
+register("o6_wape_by_horizon", "m_cluster_h", f"SELECT model, h, {r4('sum(wape * n) / sum(n)', 'wape')} FROM m_cluster_h GROUP BY model, h")
+register("o7_coverage_by_model", "hold_cal hold_raw", " UNION ALL ".join(
+    f"SELECT '{q}' AS quantiles, model, {r4('sum(coverage_90 * n) / sum(n)', 'coverage_90')}, {r4('sum(coverage_80 * n) / sum(n)', 'coverage_80')} FROM {t} GROUP BY model" for q, t in (("calibrated", "hold_cal"), ("raw", "hold_raw"))))
+cte("last_sel", "pred selection", "SELECT p.* FROM pred p JOIN selection s ON p.cluster = s.cluster AND p.model = s.selected_model WHERE p.fold = 7")
+register("o8_cluster_forecast_vs_actual", "last_sel weekly", f"""
+SELECT cluster, target_week AS week_start, {r4('sum(y)', 'y')}, {r4('sum(q10)', 'q10')}, {r4('sum(q50)', 'q50')}, {r4('sum(q90)', 'q90')} FROM last_sel GROUP BY cluster, target_week
+UNION ALL SELECT cluster, week_start, {r4('sum(y)', 'y')}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+FROM weekly WHERE (upc, cedis) IN (SELECT (upc, cedis) FROM last_sel) AND week_start > DATE '2001-09-03' - 182 AND week_start <= DATE '2001-09-03' GROUP BY cluster, week_start""")
+register("o9_residual_quantiles", "rel_resid", f"SELECT cluster, {r4('quantile_cont(rel, 0.1)', 'p10')}, {r4('median(rel)', 'median')}, {r4('quantile_cont(rel, 0.9)', 'p90')} FROM rel_resid GROUP BY cluster")
+register("o9_residual_histogram", "rel_resid", "SELECT CAST(least(floor((least(greatest(rel, -1.0::DOUBLE), 1.0::DOUBLE) + 1.0::DOUBLE) * 25.0::DOUBLE), 49) AS INTEGER) AS bin, count(*) AS n FROM rel_resid GROUP BY 1")
+register("o10_cover_by_label", "labeled", "SELECT label_7d, " + ", ".join(
+    r4(f"quantile_cont(least(cover_days, 120.0::DOUBLE), {q})", n) for n, q in (("lowest", 0), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("highest", 1))) + " FROM labeled WHERE label_7d IS NOT NULL GROUP BY label_7d")
+register("o11_timeline_ranking", "activity", """
+SELECT upc, cedis, events, alerts FROM activity WHERE events > 0
+UNION ALL SELECT upc, cedis, events, alerts FROM (SELECT *, row_number() OVER (ORDER BY alerts DESC, upc, cedis) AS rk FROM activity WHERE events = 0)
+WHERE rk <= 30 - (SELECT count(*) FROM activity WHERE events > 0)""")
+register("o12_representative_series", "series weekly", f"""
+SELECT s.segment, w.upc, w.cedis, w.week_start, {r4('w.y', 'y')}, {r4('w.promo_share', 'promo_share')}
+FROM weekly w JOIN (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY mean_weekly DESC, upc, cedis DESC) AS rk
+  FROM (SELECT *, unnest(list_filter([CASE WHEN cluster IN ('A-X', 'A-Z', 'B-Z') THEN cluster END, CASE WHEN is_discontinued THEN 'discontinued' END], lambda x: x IS NOT NULL)) AS segment
+        FROM series WHERE mean_weekly IS NOT NULL)) s ON s.rk = 1 AND s.upc = w.upc AND s.cedis = w.cedis
+WHERE w.week_start > DATE '2001-10-29' - 364""")
+_null_q = ", ".join(f"CAST(NULL AS DOUBLE) AS {q}" for q in QS)
+register("o13_portfolio_outlook", "weekly fcf", f"""
+SELECT week_start, {r4('sum(y)', 'y')}, {_null_q} FROM weekly WHERE week_start > (SELECT max(week_start) - 364 FROM weekly) GROUP BY week_start
+UNION ALL SELECT target_week, CAST(NULL AS DOUBLE), {', '.join(r4(f'sum({q})', q) for q in QS)} FROM fcf GROUP BY target_week""")
+register("o14_cluster_weeks", "weekly", f"SELECT cluster, week_start, {r4('sum(y)', 'y')}, count(DISTINCT (upc, cedis)) AS n_series FROM weekly GROUP BY cluster, week_start")
+cte("lift", "daily", """
+SELECT *, promo / nullif(base, 0) AS lift FROM (SELECT upc, cedis, avg(sell_out_pzs) FILTER (promo_flag = 0) AS base, avg(sell_out_pzs) FILTER (promo_flag = 1) AS promo
+FROM daily WHERE sell_out_pzs IS NOT NULL GROUP BY upc, cedis) WHERE base IS NOT NULL AND promo IS NOT NULL""")
+register("o15_promo_lift", "lift", f"SELECT upc, cedis, {rr('base', 'promo', 'lift')} FROM lift")
+register("o15_promo_summary", "lift daily", f"SELECT {r4('median(lift)', 'median_lift')}, {r4('(SELECT avg(promo_flag) FROM daily WHERE sell_out_pzs IS NOT NULL)', 'promo_share')} FROM lift")
+register("o16_weekday_index", "rel_days", f"SELECT CAST(isodow(date) - 1 AS INTEGER) AS dow, {r4('avg(rel)', 'index')} FROM rel_days GROUP BY 1")
+register("o17_calendar_effects", "rel_days", " UNION ALL ".join(
+    f"SELECT '{f}' AS flag, {f} AS value, {r4('avg(rel)', 'index')}, count(*) AS n FROM rel_days GROUP BY {f}" for f in ("is_payday_window", "is_holiday", "is_semana_santa", "is_buen_fin", "is_december_peak")))
+
+
+def described(source: str, column: str, percentiles: dict[str, float]) -> str:
+    qs = ", ".join(r4(f"quantile_cont(v, {q})", n) for n, q in percentiles.items())
+    return (f"SELECT '{column}' AS \"column\", count(v) AS count, {r4('avg(v)', 'mean')}, {r4('stddev_samp(v)', 'std')}, {r4('min(v)', 'min')}, {r4('max(v)', 'max')}, {qs} "
+            f"FROM (SELECT CAST({column} AS DOUBLE) AS v FROM {source})")
+
+
+register("o18_describe_series", "series", " UNION ALL ".join(described("series", c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}) for c in ("n_weeks", "mean_weekly", "on_hand_as_of")))
+register("o18_describe_shortage", "inv", described("inv", "stockout_store_share", {"q50": 0.5, "q90": 0.9, "q95": 0.95, "q99": 0.99}))
+register("o19_short_series", "inv", "SELECT count(DISTINCT (upc, cedis)) AS n_series FROM inv WHERE stockout_store_share >= 0.25")
+register("o19_discontinued", "series", f"SELECT upc, cedis, cluster, {rr('mean_weekly', 'tail4_mean')} FROM series WHERE is_discontinued")
+register("o20_top_orders", "orders_", f"""
+SELECT upc, cedis, cluster, {rr('on_hand_projected', 'demand_p50', 'demand_p90', 'safety_stock', 'order_qty', 'implied_service_level', 'working_capital', 'ma4_order_qty')}, flags
+FROM (SELECT * FROM orders_ ORDER BY working_capital DESC, upc, cedis LIMIT 10)""")
+register("o20_high_alerts", "alerts", f"SELECT upc, cedis, cluster, {rr('cover_days', 'p_stockout_7d')} FROM (SELECT * FROM alerts WHERE severity = 'high' ORDER BY p_stockout_7d DESC, upc, cedis LIMIT 15)")
+register("o21_error_reduction", "m_overall", f"SELECT model, {r4('1 - wape / (SELECT wape FROM m_overall WHERE model = $$ma4$$)', 'reduction_vs_ma4')} FROM m_overall")
+register("o22_selected_metrics", "sel_metrics", f"SELECT cluster, model, n, {rr(*METRIC_COLS)} FROM sel_metrics")
+register("o23_best_naive", "m_overall", f"SELECT model, {rr('wape')} FROM (SELECT * FROM m_overall WHERE model IN ('ma4', 'seasonal_naive') ORDER BY wape, model LIMIT 1)")
+register("o24_series_with_events", "labeled", "SELECT count(DISTINCT (upc, cedis)) AS n_series FROM labeled WHERE event")

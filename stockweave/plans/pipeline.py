@@ -13,6 +13,7 @@ from stockweave.functions.quantiles import grouped_quantiles
 from stockweave.models import ets, features, gbt, iforest, naive
 from stockweave.models.future import eligible_series, with_folds
 from stockweave.operators import daily as D
+from stockweave.operators import gates as G
 from stockweave.operators import inventory as I
 from stockweave.operators import orders as O
 from stockweave.operators import risk as R
@@ -246,3 +247,29 @@ class Pipeline:
 
     def order_summary(self) -> DataFrame:
         return self.store.table(f"order_summary_{self.tag}", lambda: O.summarize(self.orders()))
+
+    # ------------------------------------------------------------------ gates
+    def method_metrics(self, anomalies: bool = True) -> DataFrame:
+        methods = R.METHODS if anomalies else ("cover", "prob")
+        return self.store.table(f"methods_{anomalies}_{self.tag}", lambda: R.evaluate_methods(self.labeled(anomalies), methods))
+
+    def gates(self, area: str, anomalies: bool = True) -> DataFrame:
+        """The unscored gates of one area."""
+        if area == "data":
+            return G.data_gates(self.daily(), self.weekly(), self.series(), self.p)
+        if area == "forecast":
+            calibrated = self.holdout().filter("quantiles = 'calibrated'").drop("quantiles")
+            return G.forecast_gates(
+                self.forecast("final"), self.series(), self.metrics_of("cluster"), self.selection(), calibrated, self.calibration(), self.p
+            )
+        if area == "blind":
+            return G.blind_gates(self.blind_regret(), self.blind_overall(), self.p)
+        if area == "risk":
+            return G.risk_gates(self.method_metrics(anomalies), self.alerts(anomalies), self.series(), self.p, 3 if anomalies else 2)
+        return G.order_gates(self.orders(), self.series(), self.order_summary(), self.p)
+
+    def scorecard(self, anomalies: bool = True) -> DataFrame:
+        areas = ("data", "forecast", "blind", "risk", "orders")
+        return self.store.table(
+            f"scorecard_{anomalies}_{self.tag}", lambda: G.scorecard(B.union_models([self.gates(a, anomalies) for a in areas]))
+        )
