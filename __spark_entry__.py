@@ -317,8 +317,8 @@ def _(r: Pipeline) -> DataFrame:
 
     from stockweave.models import gbt
 
-    rows = gbt.encode(features.inference(r.horizon_rows(), r.p.last_week))
-    return gbt.assembler(rows).transform(rows).select(*SERIES, "h", vector_to_array("features").alias("features"))
+    rows = features.inference(r.horizon_rows(), r.p.last_week)
+    return gbt.vectorize(rows).select(*SERIES, "h", vector_to_array("features").alias("features"))
 
 
 @register("f12_boosted_quantiles", ALL_MODELS)

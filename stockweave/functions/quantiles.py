@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stockweave.params import QCOLS
 
 SKETCH_ACCURACY = 2000
+# Up to this many rows in total, so in any one group, the built-in aggregate is safe in one task.
+SMALL_ROWS = 200_000
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -19,18 +21,23 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.withColumn("_q", ordered).select(*rest, *[F.element_at("_q", i + 1).alias(q) for i, q in enumerate(QCOLS)])
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def grouped_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Linearly interpolated quantiles per group, exact at any group size.
 
     ``wanted`` maps each output column to (value column, level). NULL values are skipped and
     keys may be NULL.
 
-    The built-in ``percentile`` holds every distinct value of a group in one task. Here a
+    The built-in ``percentile`` holds every distinct value of a group in one task, so it serves
+    only inputs of at most ``small_rows`` rows (checked; give a stored table). Beyond that a
     mergeable sketch proposes a narrow value bracket around each wanted rank, a counting pass
     turns it into exact ranks, and only the rows inside the bracket are sorted. The sketch only
     affects how much is sorted: a rank it misses opens the bracket on that side.
     """
     keys = list(keys)
+    if df.select(F.lit(1)).limit(small_rows + 1).count() <= small_rows:
+        return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(q)).alias(name) for name, (c, q) in wanted.items()])
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
     values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
     data = df.select(*keys, F.explode(values).alias("_x")).select(*keys, "_x._c", "_x._v").filter(F.col("_v").isNotNull())

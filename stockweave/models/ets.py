@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from stockweave.functions.quantiles import finalize
 from stockweave.models.future import FOLD_KEY, with_folds
 from stockweave.params import LEVELS, QCOLS, SERIES
+from stockweave.sources.staging import spread
 
 MIN_OBS = 10
 ALPHAS = (0.05, 0.1, 0.2, 0.4, 0.7)
@@ -81,7 +82,8 @@ def _best_fit(ys: Column) -> Column:
 def fit(weekly: DataFrame, origins: Sequence[date]) -> DataFrame:
     """One row per (fold, series): fitted parameters and state, or NULL ones with the plain mean."""
     enough = (F.col("n") >= MIN_OBS) & (F.col("lo") < F.col("hi"))
-    history = _history(weekly, origins)
+    # the fit is the costly part: spread the (fold, series) arrays over all tasks, whatever their size in bytes
+    history = spread(_history(weekly, origins), *FOLD_KEY)
     return history.select(*FOLD_KEY, "origin", "mean", "n", F.when(enough, _best_fit(F.col("ys"))).alias("fit")).select(
         *FOLD_KEY, "origin", "mean", "n", "fit.*"
     )

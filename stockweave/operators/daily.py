@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockweave.functions.calendar import FLAGS
 from stockweave.params import SERIES
+from stockweave.sources.staging import spread
 
 
 def _series_by_date(*extra: str) -> Window:
@@ -20,7 +21,7 @@ def complete_daily_calendar(sell_out: DataFrame, end: Column) -> DataFrame:
     calendar join nor a second shuffle: one exchange on the series key serves everything here.
     """
     by_date = _series_by_date()
-    stretched = sell_out.filter(F.col("date") <= end).select(
+    stretched = spread(sell_out.filter(F.col("date") <= end), *SERIES).select(
         *SERIES, "date", "sell_out_pzs", "promo_flag",
         F.last("final_price", ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0)).alias("final_price"),
         F.coalesce(F.date_sub(F.lead("date").over(by_date), 1), end).alias("until"),
@@ -37,6 +38,13 @@ def complete_daily_calendar(sell_out: DataFrame, end: Column) -> DataFrame:
     )
 
 
+def _median(ordered: Column, min_obs: int) -> Column:
+    """Median of a sorted array column, NULL below ``min_obs`` values."""
+    n = F.size(ordered)
+    at = lambda i: F.try_element_at(ordered, i.cast("int"))
+    return F.when(n >= min_obs, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
+
+
 def flag_outliers(daily: DataFrame, z: float, window: int = 56, min_obs: int = 14) -> DataFrame:
     """Robust z against the trailing median and MAD of the previous ``window`` rows.
 
@@ -46,17 +54,17 @@ def flag_outliers(daily: DataFrame, z: float, window: int = 56, min_obs: int = 1
     y = F.col("sell_out_pzs")
     by_date = _series_by_date()
     past, recent = by_date.rowsBetween(-window, -1), by_date.rowsBetween(-(window - 1), 0)
-    median = F.when(F.count(y).over(past) >= min_obs, F.expr("percentile(sell_out_pzs, 0.5)").over(past))
-    mad = F.when(F.count("dev").over(recent) >= min_obs, F.expr("percentile(dev, 0.5)").over(recent))
     cap = F.col("med") + F.lit(z) * F.col("scale")
     score = F.abs((y - F.col("med")) / F.nullif(F.col("scale"), F.lit(0.0)))
     return (
-        daily.withColumn("med", median)
+        daily.withColumn("_w", F.sort_array(F.collect_list(y).over(past)))
+        .withColumn("med", _median(F.col("_w"), min_obs))
         .withColumn("dev", F.abs(F.lag(y).over(by_date) - F.col("med")))
-        .withColumn("scale", F.lit(1.4826) * mad)
+        .withColumn("_w", F.sort_array(F.collect_list("dev").over(recent)))
+        .withColumn("scale", F.lit(1.4826) * _median(F.col("_w"), min_obs))
         .withColumn("outlier_flag", F.coalesce(score > z, F.lit(False)).cast("int"))
         .withColumn("sell_out_capped", F.when(F.col("outlier_flag") == 1, F.least(y, cap)).otherwise(y))
-        .drop("med", "dev", "scale")
+        .drop("_w", "med", "dev", "scale")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,22 @@ class Pipeline:
         self.store = store or StageStore(spark, grain)
         self.tag = "-".join(models)
 
+    def run(self, anomalies: bool = True) -> DataFrame:
+        """Every stage up to the scorecard. Stages that do not need each other run as concurrent jobs."""
+        with ThreadPoolExecutor(4) as pool:
+
+            def together(*stages: Callable[[], DataFrame]) -> None:
+                list(pool.map(lambda stage: stage(), stages))
+
+            self.sell_out()
+            together(self.daily, self.inventory_cedis, self.catalog_raw)
+            self.weekly()
+            together(self.backtest, self.forecast_raw, self.series)
+            together(self.selection, self.holdout, self.blind_regret)
+            self.forecast()
+            together(lambda: self.method_metrics(anomalies), lambda: self.alerts(anomalies), self.order_summary)
+        return self.scorecard(anomalies)
+
     # ------------------------------------------------------------------ prepare
     def lines(self) -> DataFrame:
         return adapter.sales_lines(self.spark, self.sf_dir, self.grain)
@@ -184,11 +202,12 @@ class Pipeline:
         return self.store.table(f"blind_regret_{self.tag}", lambda: B.blind_regret(self.blind_cluster(), self.preselection()))
 
     # ------------------------------------------------------------------ forecast
-    def forecast_all(self) -> DataFrame:
+    def forecast_raw(self) -> DataFrame:
         origins = {"final": self.p.last_week, "risk_eval": self.p.risk_origin}
-        return self.store.table(f"forecast_all_{self.tag}", lambda: FC.calibrated_forecast(
-            FC.forecast_at_origins(self.weekly(), self._models("forecast", 1), origins), self.series(), self.calibration()
-        ))
+        return self.store.table(f"forecast_raw_{self.tag}", lambda: FC.forecast_at_origins(self.weekly(), self._models("forecast", 1), origins))
+
+    def forecast_all(self) -> DataFrame:
+        return self.store.table(f"forecast_all_{self.tag}", lambda: FC.calibrated_forecast(self.forecast_raw(), self.series(), self.calibration()))
 
     def forecast(self, label: str = "final") -> DataFrame:
         selected = self.store.table(f"forecast_{self.tag}", lambda: FC.apply_selection(

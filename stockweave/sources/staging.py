@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +39,23 @@ class StageStore:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/stockweave/{label}-{uuid.uuid4().hex[:12]}"
         self._schemas: dict[str, object] = {}
+        self._locks: defaultdict[str, Lock] = defaultdict(Lock)
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.root}/{name}"
-        if name not in self._schemas:
-            df = build()
-            df.write.mode("overwrite").parquet(path)
-            self._schemas[name] = df.schema
+        with self._locks[name]:
+            if name not in self._schemas:
+                df = build()
+                df.write.mode("overwrite").parquet(path)
+                self._schemas[name] = df.schema
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions on ``keys`` in the session's full shuffle width, for work that is heavy per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
     """File count, bytes and latest change of the inputs: listing only, no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
