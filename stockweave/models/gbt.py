@@ -57,10 +57,11 @@ def encode(rows: DataFrame) -> DataFrame:
 
 def vectorize(rows: DataFrame) -> DataFrame:
     """Adds the feature vector. The class labels are a closed scheme, so no pass over the data is needed to index them."""
-    outputs = [f"{c}_index" for c in CLASS_LABELS]
-    indexer = StringIndexerModel.from_arrays_of_labels(list(CLASS_LABELS.values()), list(CLASS_LABELS), outputs, handleInvalid="keep")
-    inputs = ["h_num", *[c for c in NUMERIC_COLS if c != "h"], *outputs]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(indexer.transform(encode(rows)))
+    out = encode(rows)
+    for c, labels in CLASS_LABELS.items():
+        out = StringIndexerModel.from_labels(labels, c, f"{c}_index", handleInvalid="keep").transform(out)
+    inputs = ["h_num", *[c for c in NUMERIC_COLS if c != "h"], *[f"{c}_index" for c in CLASS_LABELS]]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
 
 
 def gbt_quantiles(
