@@ -30,11 +30,15 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 
 
 def _samples(data: DataFrame, row_key: Sequence[str], n_trees: int, seed: int) -> DataFrame:
-    n_rows = data.agg(F.count(F.lit(1))).scalar()
-    ticket = F.xxhash64(F.lit(seed), F.col("tree"), *[F.col(c) for c in row_key])
+    # on large inputs a uniform pool of candidates is drawn first, so that not every row meets every tree
+    pool = 20 * n_trees * SAMPLE_ROWS
     span = 1 << 40
-    likely = F.pmod(ticket, F.lit(span)) < F.lit(2.0 * SAMPLE_ROWS * span) / n_rows
-    drawn = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).filter(likely).withColumn("_ticket", ticket)
+    key = [F.col(c) for c in row_key]
+    in_pool = F.pmod(F.xxhash64(F.lit(seed), F.lit("pool"), *key), F.lit(span)) < F.lit(1.0 * pool * span) / F.col("_n")
+    ticket = F.xxhash64(F.lit(seed), F.col("tree"), *key)
+    likely = F.pmod(ticket, F.lit(span)) < F.lit(2.0 * SAMPLE_ROWS * span) / F.least(F.col("_n"), F.lit(pool))
+    candidates = data.withColumn("_n", data.agg(F.count(F.lit(1))).scalar()).filter((F.col("_n") <= pool) | in_pool)
+    drawn = candidates.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).filter(likely).withColumn("_ticket", ticket)
     order = Window.partitionBy("tree").orderBy(F.pmod("_ticket", F.lit(span)), "_ticket")
     return drawn.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= SAMPLE_ROWS)
 

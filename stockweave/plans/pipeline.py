@@ -49,7 +49,7 @@ class Pipeline:
             def together(*stages: Callable[[], DataFrame]) -> None:
                 list(pool.map(lambda stage: stage(), stages))
 
-            self.sell_out()
+            together(self.sell_out, self.shelf)
             together(self.daily, self.inventory_cedis, self.catalog_raw)
             self.weekly()
             together(self.backtest, self.forecast_raw, self.series)
@@ -65,11 +65,14 @@ class Pipeline:
     def sell_out(self) -> DataFrame:
         return self.store.table("sell_out", lambda: adapter.sell_out(self.lines()))
 
+    def shelf(self) -> DataFrame:
+        return self.store.table("shelf", lambda: adapter.shelf(self.lines()))
+
     def stores(self) -> DataFrame:
-        return self.store.table("stores", lambda: adapter.stores(self.lines()))
+        return self.store.table("stores", lambda: adapter.stores(self.shelf()))
 
     def inventory(self) -> DataFrame:
-        return self.store.table("inventory", lambda: adapter.inventory(self.lines(), self.sell_out()))
+        return self.store.table("inventory", lambda: adapter.inventory(self.shelf(), self.sell_out()))
 
     def catalog_raw(self) -> DataFrame:
         return self.store.table("catalog_raw", lambda: adapter.catalog(self.sell_out()))

@@ -77,18 +77,22 @@ def sell_out(lines: DataFrame) -> DataFrame:
     )
 
 
-def stores(lines: DataFrame) -> DataFrame:
-    return lines.select("store_nbr", "cedis").distinct()
+def shelf(lines: DataFrame) -> DataFrame:
+    """Every product a store has sold; the distinct runs map-side first, so hot keys shrink before the shuffle."""
+    return lines.select(*SERIES, "store_nbr").distinct()
 
 
-def inventory(lines: DataFrame, sold: DataFrame) -> DataFrame:
+def stores(shelf: DataFrame) -> DataFrame:
+    return shelf.select("store_nbr", "cedis").distinct()
+
+
+def inventory(shelf: DataFrame, sold: DataFrame) -> DataFrame:
     """Store stock for 21 days around the as-of date for every product a store has sold.
 
     The level follows the series' mean daily sales; negative and empty stores, a chronic
     shortage, a shortage that starts inside the window, recurring dips and a partial last
     week are planted.
     """
-    shelf = lines.select(*SERIES, "store_nbr").distinct()
     width = shelf.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n_stores"))
     level = (
         sold.groupBy(*SERIES).agg(F.avg("sell_out_pzs").alias("mean_daily")).join(width, list(SERIES))
@@ -139,5 +143,5 @@ def catalog(sold: DataFrame) -> DataFrame:
 
 def raw_relations(spark: SparkSession, sf_dir: str, grain: str = "type_flag") -> RawRelations:
     lines = sales_lines(spark, sf_dir, grain)
-    sold = sell_out(lines)
-    return RawRelations(sold, stores(lines), catalog(sold), inventory(lines, sold))
+    sold, on_shelf = sell_out(lines), shelf(lines)
+    return RawRelations(sold, stores(on_shelf), catalog(sold), inventory(on_shelf, sold))

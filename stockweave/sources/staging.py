@@ -52,8 +52,13 @@ class StageStore:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitions on ``keys`` in the session's full shuffle width, for work that is heavy per row."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Hash partitions on ``keys`` in the session's full shuffle width, for work that is heavy per row.
+
+    A local session has no use for more than two tasks per core.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    context = df.sparkSession.sparkContext
+    return df.repartition(min(width, 2 * context.defaultParallelism) if context.master.startswith("local") else width, *keys)
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
