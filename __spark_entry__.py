@@ -119,7 +119,7 @@ def _(r: Pipeline) -> DataFrame:
 def _(r: Pipeline) -> DataFrame:
     path = f"{r.store.root}/exports/predictions"
     files.write_parquet(r.backtest(), path, ["fold"])
-    back = files.read_relation(r.spark, path, r.backtest().schema)
+    back = files.read_relation(r.spark, path)
     return back.filter("fold = 7").select("model", "upc", "cedis", "h", "target_week", "q50", "y")
 
 
@@ -127,7 +127,7 @@ def _(r: Pipeline) -> DataFrame:
 def _(r: Pipeline) -> DataFrame:
     path = f"{r.store.root}/exports/sell_out_csv"
     files.write_csv(r.sell_out(), path)
-    return files.check_sell_out(files.read_csv(r.spark, path, schemas.SELL_OUT))
+    return files.check_sell_out(files.read_csv(r.spark, path))
 
 
 @register("a11_inventory_coverage")

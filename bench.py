@@ -46,10 +46,12 @@ def main() -> None:
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()  # start the engine
     r = Pipeline(spark, SF_DIR, models=ALL_MODELS)
     light = Pipeline(spark, SF_DIR, models=NAIVE_MODELS)
-    dense = Pipeline(spark, SF_DIR, models=NAIVE_MODELS, grain="brand_region")
+    # 125 series x 357 weeks is the closest to the reference's 328 series x 107 weeks
+    dense = Pipeline(spark, SF_DIR, models=ALL_MODELS, grain="brand_region")
     whole = Pipeline(spark, SF_DIR, models=ALL_MODELS)
     steps: dict[str, Callable[[], object]] = {
-        "full_pipeline": whole.run,
+        "full_pipeline_125_series": dense.run,
+        "full_pipeline_18_series": whole.run,
         "prepare_sell_out": r.sell_out,
         "prepare_inventory": lambda: (r.stores(), r.inventory(), r.inventory_cedis()),
         "prepare_daily": r.daily,
@@ -63,7 +65,6 @@ def main() -> None:
         "orders": lambda: (run(O.order_file(r.orders())), r.order_summary()),
         "scorecard": r.scorecard,
         "naive_models_to_orders": light.orders,
-        "brand_region_125_series_to_orders": dense.orders,
     }
     times: dict[str, float] = {}
     for name, step in steps.items():
@@ -71,7 +72,7 @@ def main() -> None:
         step()
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "full_pipeline_wall_clock", "value": times["full_pipeline"], "unit": "sec", "queries": times, "sf": Path(SF_DIR).name.removeprefix("sf")}))
+    print(json.dumps({"metric": "full_pipeline_wall_clock", "value": times["full_pipeline_125_series"], "unit": "sec", "queries": times, "sf": Path(SF_DIR).name.removeprefix("sf")}))
     spark.stop()
 
 

@@ -12,16 +12,17 @@ from stockweave.operators import validate as V
 from stockweave.sources import schemas
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header. Columns are matched by name, so extra or reordered columns are harmless.
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, every column as text.
 
-    Every column is read as text and cast by the validation step, which counts what does not cast.
+    The checks below match columns by name, drop extra ones and cast, counting what does not cast;
+    a schema on the reader would bind columns by position and turn bad values into NULL unseen.
     """
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
-def read_relation(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    return read_csv(spark, path, schema) if fmt == "csv" else spark.read.format(fmt).load(path)
+def read_relation(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
 
 
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
