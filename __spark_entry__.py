@@ -119,7 +119,7 @@ def _(r: Pipeline) -> DataFrame:
 def _(r: Pipeline) -> DataFrame:
     path = f"{r.store.root}/exports/predictions"
     files.write_parquet(r.backtest(), path, ["fold"])
-    back = files.read_relation(r.spark, path)
+    back = files.read_parquet(r.spark, path, r.backtest().schema)
     return back.filter("fold = 7").select("model", "upc", "cedis", "h", "target_week", "q50", "y")
 
 

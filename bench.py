@@ -46,7 +46,7 @@ def main() -> None:
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()  # start the engine
     r = Pipeline(spark, SF_DIR, models=ALL_MODELS)
     light = Pipeline(spark, SF_DIR, models=NAIVE_MODELS)
-    # 125 series x 357 weeks is the closest to the reference's 328 series x 107 weeks
+    # 125 series x 357 weeks: close in size to the published run of 328 series x 107 weeks
     dense = Pipeline(spark, SF_DIR, models=ALL_MODELS, grain="brand_region")
     whole = Pipeline(spark, SF_DIR, models=ALL_MODELS)
     steps: dict[str, Callable[[], object]] = {

@@ -605,7 +605,7 @@ register("d2_week_sums", "week_sums", f"SELECT upc, cedis, week_start, {_week} F
 register("d4_week_grid", "weekly", f"SELECT upc, cedis, week_start, {_week}, series_age_weeks FROM weekly")
 register("d_weekly_table", "weekly", f"SELECT upc, cedis, week_start, {_week}, {_cal_days}, cluster, abc_class, xyz_class, lead_time_days, moq, safety_stock_days, series_age_weeks FROM weekly")
 register("e1_observed_day_facts", "series", f"SELECT upc, cedis, first_date, last_date, n_days, interior_gap_days, {rr('mean_daily')} FROM series")
-register("e3_observed_week_facts", "series", f"SELECT upc, cedis, first_week, n_weeks, {rr('mean_weekly', 'tail8_mean', 'tail8_promo_share', 'tail4_mean')} FROM series")
+register("e3_observed_week_facts", "series", f"SELECT upc, cedis, first_week, n_weeks, {rr('mean_weekly', 'tail8_mean', 'tail8_promo_share', 'tail4_mean')} FROM series WHERE n_weeks IS NOT NULL")
 register("e5_stock_as_of", "inv", f"SELECT upc, cedis, {r4('on_hand', 'on_hand_as_of')} FROM inv WHERE date = DATE '2001-11-01'")
 register("e_series_table", "series", f"""
 SELECT upc, cedis, first_date, last_date, n_days, interior_gap_days, first_week, n_weeks, {rr('mean_daily', 'mean_weekly', 'tail8_mean', 'tail8_promo_share', 'tail4_mean', 'on_hand_as_of')},
@@ -675,7 +675,7 @@ register("h8_lead_time", "daily", """
 SELECT e.upc, e.cedis, e.date, CAST(e.date - min(a.date) AS INTEGER) AS lead_time_days
 FROM daily e LEFT JOIN (SELECT * FROM daily WHERE promo_flag = 1) a ON a.upc = e.upc AND a.cedis = e.cedis AND a.date >= e.date - 7 AND a.date < e.date
 WHERE e.outlier_flag = 1 GROUP BY e.upc, e.cedis, e.date""")
-register("i1_split_folds", "blind_folds", "SELECT fold, origin, role FROM blind_folds")
+register("i1_split_folds", "blind_folds pred", "SELECT fold, origin, role FROM blind_folds WHERE fold IN (SELECT fold FROM pred)")
 register("i2_blind_overall", "blind_over", f"SELECT model, n, {rr(*METRIC_COLS, 'coverage_90_raw', 'coverage_80_raw')} FROM blind_over")
 register("i2_blind_by_cluster", "blind_cluster", f"SELECT model, cluster, n, {rr(*METRIC_COLS)} FROM blind_cluster")
 register("i2_blind_preselection", "preselection", _sel + "preselection")
@@ -783,7 +783,7 @@ GATES = {
         gate("forecast", "one_model_per_series_share", share("n_m = 1", "fcs"), "==", 1.0, "hard"),
         gate("forecast", "selected_wape_overall", _wm("wape", "sel_metrics"), "<=", 0.25, "hard"),
         gate("forecast", "rel_improvement_vs_best_naive", f"1 - ({_wm('wape', 'sel_metrics')}) / (SELECT w FROM naive_w)", ">=", 0.05, "soft",
-             "printf('best naive WAPE %.3f', (SELECT w FROM naive_w))"),
+             "coalesce(printf('best naive WAPE %.3f', (SELECT w FROM naive_w)), 'no naive baseline')"),
         gate("forecast", "selected_abs_bias", f"abs(({_wm('bias', 'sel_metrics')}))", "<=", 0.1, "soft"),
         gate("forecast", "holdout_coverage_90_calibrated", _wm("coverage_90", "sel_hold"), "in", (0.85, 0.97), "hard"),
         gate("forecast", "holdout_coverage_80_calibrated", _wm("coverage_80", "sel_hold"), "in", (0.72, 0.93), "soft"),
@@ -891,5 +891,5 @@ FROM (SELECT * FROM orders_ ORDER BY working_capital DESC, upc, cedis LIMIT 10)"
 register("o20_high_alerts", "alerts", f"SELECT upc, cedis, cluster, {rr('cover_days', 'p_stockout_7d')} FROM (SELECT * FROM alerts WHERE severity = 'high' ORDER BY p_stockout_7d DESC, upc, cedis LIMIT 15)")
 register("o21_error_reduction", "m_overall", f"SELECT model, {r4('1 - wape / (SELECT wape FROM m_overall WHERE model = $$ma4$$)', 'reduction_vs_ma4')} FROM m_overall")
 register("o22_selected_metrics", "sel_metrics", f"SELECT cluster, model, n, {rr(*METRIC_COLS)} FROM sel_metrics")
-register("o23_best_naive", "m_overall", f"SELECT model, {rr('wape')} FROM (SELECT * FROM m_overall WHERE model IN ('ma4', 'seasonal_naive') ORDER BY wape, model LIMIT 1)")
+register("o23_best_naive", "m_overall", f"SELECT model, {rr('wape')} FROM (SELECT * FROM m_overall WHERE model IN ('ma4', 'seasonal_naive') AND wape IS NOT NULL ORDER BY wape, model LIMIT 1)")
 register("o24_series_with_events", "labeled", "SELECT count(DISTINCT (upc, cedis)) AS n_series FROM labeled WHERE event")

@@ -140,7 +140,7 @@ def forecast_gates(
             gate("forecast", "selected_wape_overall", F.col("wape"), "<=", p.max_wape_selected, "hard"),
             gate(
                 "forecast", "rel_improvement_vs_best_naive", 1 - F.col("wape") / F.col("naive"), ">=", p.min_rel_improvement_vs_naive, "soft",
-                F.format_string("best naive WAPE %.3f", F.col("naive")),
+                F.when(F.col("naive").isNull(), "no naive baseline").otherwise(F.format_string("best naive WAPE %.3f", F.col("naive"))),
             ),
             gate("forecast", "selected_abs_bias", F.abs("bias"), "<=", p.max_abs_bias, "soft"),
         ]),

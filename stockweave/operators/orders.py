@@ -11,6 +11,7 @@ from stockweave.functions import dist
 from stockweave.functions.metrics import weighted_mean
 from stockweave.params import QCOLS, SERIES, Params
 
+# The columns of the order file, in file order.
 ORDER_COLUMNS = (
     "upc", "cedis", "cluster", "model", "origin", "protection_period_days", "on_hand_as_of", "sales_after_snapshot",
     "on_hand_projected", "demand_p50", "demand_p90", "demand_mean", "service_level_target", "safety_stock_policy",

@@ -33,7 +33,8 @@ def selected_rows(metrics: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def best_naive(overall: DataFrame) -> DataFrame:
-    return overall.filter(F.col("model").isin(*NAIVE)).agg(F.min(F.struct("wape", "model")).alias("b")).select("b.model", "b.wape")
+    naive = overall.filter(F.col("model").isin(*NAIVE) & F.col("wape").isNotNull())
+    return naive.agg(F.min(F.struct("wape", "model")).alias("b")).filter("b is not null").select("b.model", "b.wape")
 
 
 def error_reduction(overall: DataFrame) -> DataFrame:

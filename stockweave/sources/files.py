@@ -21,8 +21,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
-def read_relation(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet scan; a known schema spares the footer inference and also reads an empty table."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
