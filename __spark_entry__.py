@@ -664,9 +664,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return rounded(O.order_file(r.orders()))
 
 
+def corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the corpus operators and their pipeline; none where these are not installed."""
+    try:
+        import corpus_pipeline
+        from stockweave.llm import queries as llm
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "stockweave.llm"):
+            raise
+        return {}, {}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, {**llm.ORACLE_SQL, **sql}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **corpus()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracle.QUERIES.items() if name in QUERIES}
+    return {**{name: sql for name, sql in oracle.QUERIES.items() if name in QUERIES}, **corpus()[1]}
