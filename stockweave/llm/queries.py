@@ -7,13 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockweave.llm import bpe, chat, dedup
+from stockweave.llm import bpe, chat, dedup, langid, licences, pii
+
+#: Key of the pseudonyms in the registered query; a real run passes its own secret.
+PII_KEY = "query-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_private")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,8 +38,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_exact_dedup, op8_byte_bpe, op9_chat_format)
+    f.__name__: f
+    for f in (op1_language_id, op2_pii_pseudonyms, op6_exact_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
