@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a chunk and of what it shares with the next one.
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 32_768, 256
 #: Pieces whose ids a worker keeps; emptied when full.
 CACHE_PIECES = 400_000
 
@@ -104,6 +104,17 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, whole))
 
 
+_kept: dict[tuple, Encoder] = {}
+
+
+def encoder_of(key: tuple, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The worker's encoder, with the pieces that its earlier tasks have met; one vocabulary is kept at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(ranks, pattern)
+    return _kept[key]
+
+
 def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
     """Ends of the matches in a chunk; they lie end to end from 0."""
     return [m.end() for m in pattern.finditer(text)]
@@ -167,6 +178,7 @@ def _encoded(documents: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
         raise ValueError("an overlap is of 3 characters or more and shorter than a chunk")
     spark = documents.sparkSession
     vocabulary = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: bounded, whatever the corpus
+    key = (spark.sparkContext.applicationId, vocabulary._jbroadcast.id(), pattern)
     step = chunk - overlap
     names = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
     kind = "string" if digest else "binary"
@@ -180,7 +192,7 @@ def _encoded(documents: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *names])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, pattern)
+        encoder = encoder_of(key, vocabulary.value, pattern)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 encoded = [encoder.encode(encoder.pieces(t)) for t in part.column("text").to_pylist()]
@@ -193,7 +205,7 @@ def _encoded(documents: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "row", "k", "chunk")), pa.array(ends, pa.binary())], names=["doc_id", "row", "k", "chunk", "ends"])
 
     def joined(rows: pa.Table) -> pa.Table:
-        encoder = Encoder(vocabulary.value, pattern)
+        encoder = encoder_of(key, vocabulary.value, pattern)
         rows = rows.sort_by("k")
         ends = [array("I") for _ in range(rows.num_rows)]
         for e, raw in zip(ends, rows.column("ends").to_pylist()):

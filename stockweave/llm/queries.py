@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stockweave.llm import bpe, chat, dedup, langid, licences, pii
+from stockweave.llm import bpe, chat, dedup, langid, licences, pii, topk
 
 #: Key of the pseudonyms in the registered query; a real run passes its own secret.
 PII_KEY = "query-key"
@@ -25,6 +26,10 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_private")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -44,10 +49,17 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_pii_pseudonyms, op6_exact_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
+    for f in (op1_language_id, op2_pii_pseudonyms, op5_top_k, op6_exact_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": """
+        with v as (select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+              from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
     "op6_exact_dedup": r"""
         with norm as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents),
         g as (select doc_id, sha256(t) as text_sha256, count(*) over (partition by t) as group_size,
