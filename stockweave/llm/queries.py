@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import bpe, chat, dedup, langid, licences, pii, topk
+from stockweave.llm import bpe, chat, dedup, langid, licences, partenum, pii, topk
 
 #: Key of the pseudonyms in the registered query; a real run passes its own secret.
 PII_KEY = "query-key"
@@ -26,6 +26,10 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_private")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
@@ -49,7 +53,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_pii_pseudonyms, op5_top_k, op6_exact_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
+    for f in (op1_language_id, op2_pii_pseudonyms, op4_ngram_jaccard, op5_top_k, op6_exact_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
