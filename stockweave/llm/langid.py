@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The classifier is fitted on a sample of about so many labelled documents, chosen by a hash of doc_id.
-MAX_DOCS = 20_000
+MAX_DOCS = 5_000
 MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 50_000, 5
 #: Words beyond this count as so many in the score, so that the score of a long text isn't always 1.
 SCORE_WORDS = 20
@@ -37,22 +37,26 @@ def has_letter(found: list[str]) -> bool:
     return any(c.isalpha() for word in found for c in word)
 
 
-def ngrams(word: str, n: int) -> list[str]:
-    marked = f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 @dataclass
 class Model:
+    """Log frequencies in each language (columns) of the known words and n-grams (rows)."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest n-grams that the model knows; zeros if it knows no letter of the word."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            if known := [v for g in ngrams(word, n) if (v := self.grams.get(g)) is not None]:
-                return np.mean(known, axis=0)
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
+
+    def score(self, word: str) -> np.ndarray:
+        """A known word's log frequencies; else the mean of those of the longest n-grams known, zeros if no letter is."""
+        at = self.words.get(word)
+        if at is not None:
+            return self.word_rows[at]
+        marked, get = f"<{word}>", self.grams.get
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            known = [at for i in range(len(marked) - n + 1) if (at := get(marked[i : i + n])) is not None]
+            if known:
+                return np.add.reduce(self.gram_rows.take(known, axis=0)) / len(known)
         return np.zeros(len(self.languages))
 
 
@@ -68,8 +72,7 @@ class Scores(dict):
         at = len(self)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.model.words.get(word)
-        self.rows[at] = self.model.backoff(word) if row is None else row
+        self.rows[at] = self.model.score(word)
         self[word] = at
         return at
 
@@ -86,36 +89,77 @@ class Scores(dict):
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
+_kept: dict[tuple, Scores] = {}
+
+
+def scores_of(key: tuple, model: Model) -> Scores:
+    """The worker's scores, with the words that its earlier tasks have met; those of one model are kept at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Scores(model)
+    return _kept[key]
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Documents that training never sees."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[tuple[str, str]] = Counter()
+def emit(counts: Counter) -> pa.RecordBatch:
+    """The counts as a batch (lang, item, n); they start anew."""
+    out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "item", "n"])
+    counts.clear()
+    return out
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
-        counts.clear()
-        return out
 
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[tuple[str, str]] = Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for word, n in Counter(words(text)).items():
                 counts[lang, word] += n
-        if len(counts) > CACHE_WORDS:
-            yield flush()
-    if counts:
-        yield flush()
+            if len(counts) > CACHE_WORDS:
+                yield emit(counts)
+    yield emit(counts)
 
 
-def log_frequencies(rows: list, languages: list[str], totals: dict[str, int], smooth: float) -> dict[str, np.ndarray]:
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Character n-grams of counted words, 1 to LONGEST long, with marks at the ends of a word."""
+    counts: Counter[tuple[str, str]] = Counter()
+    for batch in batches:
+        for lang, word, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n"))):
+            marked = f"<{word}>"
+            for n in range(1, min(LONGEST, len(marked)) + 1):
+                for i in range(len(marked) - n + 1):
+                    counts[lang, marked[i : i + n]] += times
+            if len(counts) > CACHE_WORDS:
+                yield emit(counts)
+    yield emit(counts)
+
+
+COUNTS = "lang string, item string, n long"
+
+
+def merged(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> tuple[list, dict[str, int]]:
+    """The items of the highest count with their counts by language, and the totals of the languages."""
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    items = counts.groupBy("item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    best = items.orderBy(F.desc("all"), "item").limit(most).collect()
+    return [{"item": r["item"], "lang": x["lang"], "n": x["n"]} for r in best for x in r["by"]], totals
+
+
+def log_frequencies(rows: list, languages: list[str], totals: dict[str, int], smooth: float) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of a table for each item, and the table."""
+    items = {item: i for i, item in enumerate(sorted({r["item"] for r in rows}))}
+    counts, column = np.zeros((len(items), len(languages))), {lang: i for i, lang in enumerate(languages)}
     for r in rows:
-        counts.setdefault(r["item"], np.zeros(len(languages)))[at[r["lang"]]] += r["n"]
-    total = np.array([totals.get(lang, 0) for lang in languages], dtype=float) + smooth * len(counts)
-    return {item: np.log((n + smooth) / total) for item, n in counts.items()}
+        counts[items[r["item"]], column[r["lang"]]] += r["n"]
+    total = np.array([totals.get(lang, 0) for lang in languages], dtype=float) + smooth * len(items)
+    return items, np.log((counts + smooth) / np.maximum(total, 1e-9))
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
@@ -128,25 +172,16 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     if n > max_docs:
         share = int(max_docs / n * 1_000_000)
         usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share)
-    counted = usable.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = counted.cache()
+    counted = merged(usable.select("lang", "text").mapInArrow(count_words, COUNTS)).persist()
+    grams = merged(counted.mapInArrow(count_grams, COUNTS)).persist()
     try:
-        languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-
-        def top(items: DataFrame, most: int) -> tuple[list, dict[str, int]]:
-            """The most frequent items with their count in each language: at most ``most`` times the languages."""
-            totals = {r["lang"]: r["n"] for r in items.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-            best = items.groupBy("item").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "item").limit(most).select("item")
-            return items.join(best, "item").groupBy("item", "lang").agg(F.sum("n").alias("n")).collect(), totals
-
-        known, totals = top(counted.select("lang", F.col("word").alias("item"), "n"), MAX_WORDS)
-        marked = F.concat(F.lit("<"), "word", F.lit(">"))
-        spots = F.expr(f"flatten(transform(sequence(1, {LONGEST}), k -> transform(sequence(1, greatest(1, length(marked) - k + 1)), i -> substr(marked, i, k))))")
-        pieces = counted.withColumn("marked", marked).select("lang", "n", F.explode(spots).alias("item"))
-        known_grams, gram_totals = top(pieces, MAX_GRAMS)
+        known, totals = most_frequent(counted, MAX_WORDS)
+        known_grams, gram_totals = most_frequent(grams, MAX_GRAMS)
     finally:
         counted.unpersist()
-    return Model(languages, log_frequencies(known, languages, totals, 0.5), log_frequencies(known_grams, languages, gram_totals, 0.5))
+        grams.unpersist()
+    languages = sorted(totals)
+    return Model(languages, *log_frequencies(known, languages, totals, 0.5), *log_frequencies(known_grams, languages, gram_totals, 0.5))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -156,8 +191,10 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
 
+    key = (documents.sparkSession.sparkContext.applicationId, shared._jbroadcast.id())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(shared.value)
+        scores = scores_of(key, shared.value)
         for batch in batches:
             found = [scores.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
