@@ -45,6 +45,38 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the filter that ``narrowed`` sends to the tasks, and of one of the pieces it is made in.
+FILTER_BITS, FILTER_PIECE = 1 << 23, 1 << 16
+
+
+def filter_piece(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(FILTER_PIECE, dtype=np.uint8)
+    bits[rows.column("cell").to_numpy() % FILTER_PIECE] = 1
+    return pa.table({"piece": rows.column("piece")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def narrowed(texts: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id may be among ``ids`` (one column): all that are, and some others by chance.
+
+    A bit for each hash cell of an id: a megabyte at any size of the input. The more ids there are, the more other rows pass,
+    so a join has to follow; it then shuffles few texts where few are wanted, and no more than all otherwise.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    cells = ids.select(cell(F.col(ids.columns[0])).alias("cell")).distinct().withColumn("piece", (F.col("cell") / FILTER_PIECE).cast("int"))
+    whole = np.zeros(FILTER_BITS, dtype=bool)
+    for r in cells.groupBy("piece").applyInArrow(filter_piece, "piece int, bits binary").collect():
+        whole[r["piece"] * FILTER_PIECE : (r["piece"] + 1) * FILTER_PIECE] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool)
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(whole).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column("_cell").to_numpy()
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))).drop_columns(["_cell"])
+
+    return texts.withColumn("_cell", cell(F.col(column))).mapInArrow(run, texts.schema)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, computed on first sight."""
 

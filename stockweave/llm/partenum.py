@@ -11,15 +11,17 @@ have a partner in the next band also takes part in that band's scheme.
 Rareness comes from a count sketch over the shingles of all documents. It orders signatures and so decides how many
 candidates appear, never which pairs are found: a passage that many documents share is at the end of the order.
 
-Equal sets are one class, known by a 64-bit hash, before anything is exchanged. Of the sets that share a signature all are
-compared, on their words, with one of them; those that then lie in different components are compared further, round by
-round, so a large group of near copies costs one comparison for each member and not one for each pair.
+Equal sets are one class, known by a 64-bit hash, before anything is exchanged. In a large group of sets that share a
+signature all are compared with one of them; those that then lie outside the group's main component are compared with a
+few others in each round and, if that joins them to none, with all; so a group of near copies costs a few comparisons for
+each member and not one for each pair. A comparison begins with
+parity bits: each feature flips one bit of a set's bitmap, so two sets differ in at least as many features as bits, which
+rules out nearly all pairs that only share a passage. The texts of the others are fetched and compared word by word.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +30,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import Stages, WordHashes, finish, grams, utf8
+from stockweave.llm import sketch
+from stockweave.llm.common import Stages, WordHashes, finish, grams, narrowed, utf8
 from stockweave.llm.graph import components
 
 SHINGLE = 5
 #: Largest size of the first band, whose partitions hold one feature each; each later band reaches four times as far.
 FIRST_BAND, RATIO = 64, 4
-#: Cells of the sketch, and of one of the pieces in which tasks send it.
-CELLS, PIECE = 1 << 20, 1 << 16
 #: Signatures that one owner gets on average, and a task holds before it sends them.
 OWNER_SIGNATURES, SEND_SIGNATURES = 1_500_000, 1_000_000
-#: Rounds that compare with one member of a group before what is left is compared pair by pair.
-STAR_ROUNDS = 4
+#: Groups of at most so many sets are compared pair by pair at once, larger ones round by round with one of their members.
+FEW = 8
+#: Rounds in which members outside the main component of a large group are compared with about so many others, before
+#: those that are left are compared with all.
+PROBE_ROUNDS, PROBES = 3, 8
 
 U = np.uint64
 
@@ -90,8 +94,27 @@ def signatures(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-FIRST = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
-FIRST_DDL = "doc_id long, set long, other long, n long, piece int, counts binary"
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each cell, as many as the end of the set's band: whether the features in it are odd in number."""
+    upper = schemes(len(s))[0][0]
+    cells = finish(s ^ U(0x6A09E667F3BCC908)) & U(upper - 1)
+    return np.packbits((np.bincount(cells.astype(np.int64), minlength=upper) & 1).astype(np.uint8)).tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """Features in which two sets differ at least, from their bits; the longer bitmap is folded to the shorter."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def brief(s: np.ndarray) -> list[int]:
+    """Parity bits again, 512 for a set of any size, as eight integers that a join condition can look at."""
+    cells = finish(s ^ U(0xBB67AE8584CAA73B)) & U(511)
+    return np.packbits((np.bincount(cells.astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+FIRST = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("brief", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())])
+FIRST_DDL = "doc_id long, set long, other long, n long, bits binary, brief array<long>, piece int, counts binary"
 
 
 def describe(seed: int):
@@ -99,46 +122,30 @@ def describe(seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        cells = np.zeros(CELLS, dtype=np.int32)
+        cells = np.zeros(sketch.CELLS, dtype=np.int32)
         for batch in batches:
             n = batch.num_rows
             sets, others, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            bits: list[bytes | None] = [None] * n
+            short: list[list[int] | None] = [None] * n
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if len(s := shingles(text, hashes)):
                     sets[i], others[i] = set_hash(s, seed)
                     sizes[i] = len(s)
                     if sets[i] not in seen:
                         seen.add(sets[i])
-                        cells += np.bincount((s & U(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32) if len(s) > CELLS // 8 else 0
-                        if len(s) <= CELLS // 8:
-                            at, count = np.unique((s & U(CELLS - 1)).astype(np.int64), return_counts=True)
-                            cells[at] += count.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets), pa.array(others), pa.array(sizes), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=FIRST)
+                        bits[i], short[i] = parity(s), brief(s)
+                        sketch.add(cells, s)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets), pa.array(others), pa.array(sizes), pa.array(bits, pa.binary()), pa.array(short, FIRST.field("brief").type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=FIRST)
         if seen:
-            k = CELLS // PIECE
-            blobs = [zlib.compress(cells[i * PIECE : (i + 1) * PIECE].tobytes(), 1) for i in range(k)]
+            blobs = sketch.pieces(cells)
+            k = len(blobs)
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], schema=FIRST)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), pa.nulls(k, FIRST.field("brief").type), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], schema=FIRST)
 
     return run
 
 
-def add_pieces(rows: pa.Table) -> pa.Table:
-    total = np.zeros(PIECE, dtype=np.int64)
-    for blob in rows.column("counts").to_pylist():
-        total += np.frombuffer(zlib.decompress(blob), dtype=np.int32)
-    return pa.table({"piece": rows.column("piece")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def levels(first: DataFrame) -> np.ndarray:
-    """Rareness of each cell: the logarithm of its count above the mean. One byte for a cell: a megabyte, always."""
-    pieces = first.filter("piece is not null").groupBy("piece").applyInArrow(add_pieces, "piece int, counts binary").collect()
-    counts = np.zeros(CELLS, dtype=np.int64)
-    for r in pieces:
-        counts[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.clip(np.log2(np.maximum(counts / max(1.0, 2 * counts.mean()), 1.0)) * 2, 0, 63).astype(np.uint8)
-
-
 def send(rareness: Broadcast, owners: int, seed: int):
     """Second pass: signatures of each set that the task meets for the first time, packed by owner."""
 
@@ -174,7 +181,7 @@ def send(rareness: Broadcast, owners: int, seed: int):
                     name = set_hash(s, seed)[0]
                     if name not in seen:
                         seen.add(name)
-                        held.append(signatures(s, level[(s & U(CELLS - 1)).astype(np.int64)]))
+                        held.append(signatures(s, level[sketch.cell_of(s)]))
                         ids.append(name)
                         sizes.append(len(s))
                         waiting += len(held[-1])
@@ -192,7 +199,10 @@ GROUPS_DDL = "gid long, set long, n long, hub long, hub_n long, size long"
 
 
 def meet(rows: pa.Table) -> pa.Table:
-    """One owner: the groups of sets that share a signature, each combination of members once, with its smallest member."""
+    """One owner: of small groups of sets that share a signature the pairs (size 2), of large ones the members.
+
+    Each combination of members comes once. ``hub`` is the first of a pair, or the smallest member.
+    """
     sig, sets, sizes = [], [], []
     for blob in rows.column("blob").to_pylist():
         n, m = (int(x) for x in np.frombuffer(blob, dtype=np.int64, count=2))
@@ -221,11 +231,28 @@ def meet(rows: pa.Table) -> pa.Table:
     lengths = np.diff(starts, append=len(sig))
     gid = np.add.reduceat(finish(sets.astype(np.uint64) ^ U(0x1234567)), starts)
     _, one = np.unique(gid, return_index=True)
-    one = one[lengths[one] > 1]
-    pick = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[one], lengths[one])]) if len(one) else np.zeros(0, dtype=np.int64)
-    wide = lambda x: np.repeat(x[one], lengths[one])
-    columns = [wide(gid).astype(np.int64), sets[pick], sizes[pick], wide(sets[starts]), wide(sizes[starts]), wide(lengths)]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=GROUPS)
+    columns: list[list[np.ndarray]] = []
+    for size in range(2, FEW + 1):
+        at = starts[one[lengths[one] == size]]
+        i, j = np.triu_indices(size, 1)
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        fit = np.minimum(sizes[a], sizes[b]) * 100 >= np.maximum(sizes[a], sizes[b]) * 75
+        a, b = a[fit], b[fit]
+        columns.append([np.zeros(len(a), np.int64), sets[b], sizes[b], sets[a], sizes[a], np.full(len(a), 2)])
+    one = one[lengths[one] > FEW]
+    if len(one):
+        pick = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[one], lengths[one])])
+        wide = lambda x: np.repeat(x[one], lengths[one])
+        columns.append([wide(gid).view(np.int64), sets[pick], sizes[pick], wide(sets[starts]), wide(sizes[starts]), wide(lengths)])
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*columns)], schema=GROUPS)
+
+
+def may_be_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their parity bits don't rule out."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")))
+        good = [7 * differ_at_least(x, y) <= n + m for n, m, x, y in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def word_shingles(text: bytes) -> set[tuple[bytes, ...]]:
@@ -262,54 +289,58 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     stages = Stages(spark, "partenum")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text"))
     first = stages.put("first", texts.mapInArrow(describe(seed), FIRST_DDL))
-    docs = first.filter("piece is null").select("doc_id", "set", "other", "n")
-    classes = stages.put("classes", docs.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("other").alias("o1"), F.max("other").alias("o2")))
+    docs = first.filter("piece is null").select("doc_id", "set", "other", "n", "bits", "brief")
+    classes = stages.put("classes", docs.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.first("bits", ignorenulls=True).alias("bits"), F.first("brief", ignorenulls=True).alias("brief")))
     total, collide = classes.agg(F.sum("n"), F.count(F.when(F.col("o1") != F.col("o2"), 1))).first()
     if collide:
         raise ValueError("two different sets have one id; use another seed")
-    rareness = spark.sparkContext.broadcast(levels(first))
+    rareness = spark.sparkContext.broadcast(sketch.levels(first.filter("piece is not null")))
     owners = max(1, math.ceil(0.45 * (total or 0) / OWNER_SIGNATURES))
     sent = texts.mapInArrow(send(rareness, owners, seed), "owner int, blob binary")
     groups = stages.put("groups", sent.repartition(owners, "owner").groupBy("owner").applyInArrow(meet, GROUPS_DDL))
 
-    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * 75
-    edges = groups.filter("set <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    edges = stages.put("edges-0", edges)
+    edges = groups.filter("set <> hub").filter("least(n, hub_n) * 100 >= greatest(n, hub_n) * 75")
+    edges = edges.select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
     members = groups.filter("size > 2 and set <> hub").select("gid", "set", "n").distinct()
-
-    # texts of the classes that are compared at all
-    named = groups.select("set").distinct().join(classes.select("set", "rep"), "set")
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text"))
-    found = source.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("set", "text")
-    wanted = stages.put("texts", found.dropDuplicates(["set"]))
+    named = groups.select("set").union(groups.select("hub")).distinct()
+    known_sets = stages.put("sets", classes.select("set", "n", "bits", "brief", "rep").join(named, "set"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        with_b = pairs.join(wanted.withColumnsRenamed({"set": "b", "text": "second"}), "b")
+        """Pairs that are near, by bits and then by words."""
+        side = lambda x: known_sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        likely = stages.put(f"likely-{name}", likely.mapInArrow(may_be_near, "a long, b long"))
+        reps = likely.select("a").union(likely.select("b")).distinct().join(known_sets.select(F.col("set").alias("a"), "rep"), "a").select(F.col("a").alias("set"), "rep")
+        reps = stages.put(f"reps-{name}", reps)
+        found = narrowed(texts, "doc_id", reps.select("rep")).join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
+        wanted = stages.put(f"texts-{name}", found.select("set", "text").dropDuplicates(["set"]))
+        with_b = likely.join(wanted.withColumnsRenamed({"set": "b", "text": "second"}), "b")
         with_a = with_b.join(wanted.withColumnsRenamed({"set": "a", "text": "first"}).hint("merge"), "a")
-        return stages.put(name, with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
-
-    links = linked(edges, "links-0")
-    round_ = 0
-    while True:
-        labels = stages.put(f"labels-{round_}", components(links, stages, f"cc-{round_}"))
-        own = F.coalesce("label", "set")
-        known = members.join(labels, F.col("set") == F.col("node"), "left").select("gid", "set", "n", own.alias("label"))
-        open_ = known.groupBy("gid").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("set").alias("hub")).filter("l1 <> l2").select("gid", "hub")
-        known = stages.put(f"open-{round_}", known.join(open_, "gid"))
-        if known.isEmpty():
-            break
+        return stages.put(f"links-{name}", with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
+
+    links = linked(edges, "0")
+    labels = stages.put("labels-0", components(links, stages, "cc-0"))
+    round_, last = 0, False
+    while not last:
         round_ += 1
-        side = known.select("gid", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), "hub")
-        if round_ <= STAR_ROUNDS:
-            side = side.filter("a = hub")
-        pairs = side.drop("hub").join(known.drop("hub").withColumnsRenamed({"set": "b"}), "gid").filter("l_a <> label and a <> b")
-        pairs = pairs.filter("least(n_a, n) * 100 >= greatest(n_a, n) * 75")
-        pairs = stages.put(f"edges-{round_}", pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = links.unionByName(linked(pairs, f"links-{round_}"))
-        if round_ > STAR_ROUNDS:
-            labels = stages.put("labels-last", components(links, stages, "cc-last"))
+        last = round_ > PROBE_ROUNDS
+        known = members.join(labels, F.col("set") == F.col("node"), "left").select("gid", "set", "n", F.coalesce("label", "set").alias("label"))
+        shares = known.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("k"))
+        main = shares.groupBy("gid").agg(F.max_by("label", "k").alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).filter("most < all")
+        short = known_sets.select("set", *[F.col("brief")[i].alias(f"x{i}") for i in range(8)])
+        known = stages.put(f"open-{round_}", known.join(main.select("gid", "main", "all"), "gid").join(short, "set"))
+        if known.isEmpty():
             break
-        members = known.filter("set <> hub").select("gid", "set", "n")
+        # those outside their group's main component against some members, in the last round against all
+        home, asks = (F.pmod(F.xxhash64("set", F.lit(x)), F.greatest(F.lit(1), F.floor(F.col("all") / PROBES))) for x in ("home", f"round {round_}"))
+        odd = known.filter("label <> main").select("gid", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), *[F.col(f"x{i}").alias(f"a{i}") for i in range(8)], (F.lit(0) if last else asks).alias("place"))
+        rest = known.select("gid", F.col("set").alias("b"), "n", "label", *[f"x{i}" for i in range(8)], (F.lit(0) if last else home).alias("place"))
+        differ = " + ".join(f"bit_count(a{i} ^ x{i})" for i in range(8))
+        pairs = odd.join(rest, ["gid", "place"]).filter(f"l_a <> label and least(n_a, n) * 100 >= greatest(n_a, n) * 75 and 7 * ({differ}) <= n_a + n")
+        more = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), str(round_))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = stages.put(f"labels-{round_}", components(links, stages, f"cc-{round_}"))
 
     least = classes.join(labels, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("label", "set").alias("label"))
     smallest = least.groupBy("label").agg(F.min("rep").alias("component"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import bpe, chat, dedup, langid, licences, partenum, pii, substrings, topk
+from stockweave.llm import bpe, chat, dedup, langid, licences, mixing, partenum, pii, substrings, topk
 
 #: Key of the pseudonyms in the registered query; a real run passes its own secret.
 PII_KEY = "query-key"
@@ -26,6 +26,11 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_private")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), labelled, mixing.TARGETS).drop("mark")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_groups(table(spark, sf_dir, "documents")).drop("class_id")
 
@@ -57,7 +62,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_pii_pseudonyms, op4_ngram_jaccard, op5_top_k, op6_exact_dedup, op7_substring_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
+    for f in (op1_language_id, op2_pii_pseudonyms, op3_mixing, op4_ngram_jaccard, op5_top_k, op6_exact_dedup, op7_substring_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -67,8 +72,8 @@ ORACLE_SQL: dict[str, str] = {
               from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
         n as materialized (select doc_id, count(*) as n from s group by doc_id),
         c as materialized (select s, min(doc_id) as rep from s group by s having count(*) > 1),
-        both as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id where a.s in (select s from c) group by 1, 2),
-        links as materialized (select x, y from both join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared)),
+        pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id where a.s in (select s from c) group by 1, 2),
+        links as materialized (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared)),
         sym as materialized (select x, y from links union select y, x from links),
         reach(doc_id, label) as (select x, x from sym union select sym.y, label from reach join sym on sym.x = reach.doc_id where label < sym.y),
         comp as (select doc_id, min(label) as label from reach group by doc_id)
@@ -80,12 +85,12 @@ ORACLE_SQL: dict[str, str] = {
         f as (select h, min(doc_id) as first from win group by h having count(*) > 1),
         hit as (select distinct win.doc_id, win.i + k as pos from win join f using (h), range(50) r(k) where f.first < win.doc_id),
         gone as materialized (select doc_id, list(pos) as pos from hit group by doc_id),
-        k as (select w.doc_id, w.w, pos, case when pos is null then w.w else list_filter(list_transform(w.w, (x, i) -> case when not list_contains(pos, i) then x end), x -> x is not null) end as kept
+        k as (select w.doc_id, w.w, pos, case when pos is null then w.w else list_filter(list_transform(w.w, lambda x, i: case when not list_contains(pos, i) then x end), lambda x: x is not null) end as kept
               from w left join gone using (doc_id))
         select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(pos), 0) as bigint) as n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k""",
     "op5_top_k": """
-        with v as (select vec_id, list_transform(embedding, x -> floor(256 * cast(x as double))) as v from embeddings
-                   where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
               from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
