@@ -50,9 +50,12 @@ def run_for(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = NAIVE_MO
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to four decimals; the cut sits off exact halves so that last-bit differences in sums cannot flip it."""
+    """Doubles to four decimals; the cut sits off exact halves so that last-bit differences in sums cannot flip it.
+
+    NaN, infinity and values too large for decimals to matter stay as they are.
+    """
     return df.select(*[
-        (F.floor(F.col(f.name) * 1e4 + 0.5003) / 1e4).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema
+        F.when(F.abs(f.name) < 1e11, F.floor(F.col(f.name) * 1e4 + 0.5003) / 1e4).otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema
     ])
 
 
@@ -120,7 +123,7 @@ def _(r: Pipeline) -> DataFrame:
     path = f"{r.store.root}/exports/predictions"
     files.write_parquet(r.backtest(), path, ["fold"])
     back = files.read_parquet(r.spark, path, r.backtest().schema)
-    return back.filter("fold = 7").select("model", "upc", "cedis", "h", "target_week", "q50", "y")
+    return back.select("model", "upc", "cedis", "fold", "h", "target_week", "q05", "q10", "q50", "q90", "q95", "y")
 
 
 @register("a10_csv_round_trip")
@@ -392,6 +395,11 @@ def _(r: Pipeline) -> DataFrame:
     return r.holdout()
 
 
+@register("g9_holdout_overall")
+def _(r: Pipeline) -> DataFrame:
+    return r.holdout_overall()
+
+
 @register("g9_holdout_report_all_models", ALL_MODELS)
 def _(r: Pipeline) -> DataFrame:
     return r.holdout()

@@ -27,7 +27,7 @@ def query(needs: str, select: str) -> str:
 
 def r4(expr: str, name: str | None = None) -> str:
     """Four decimals; the cut sits off exact halves so that last-bit differences cannot flip it."""
-    return f"floor(({expr}) * 1e4 + 0.5003) / 1e4 AS {name or expr}"
+    return f"CASE WHEN abs({expr}) < 1e11 THEN floor(({expr}) * 1e4 + 0.5003) / 1e4 ELSE CAST({expr} AS DOUBLE) END AS {name or expr}"
 
 
 def rr(*cols: str) -> str:
@@ -576,7 +576,7 @@ UNION ALL SELECT DISTINCT 'store_nbr', store_nbr FROM inventory ANTI JOIN stores
 register("a8_join_cardinality", "stores catalog_raw catalog sell_out", " UNION ALL ".join(
     f"SELECT CAST(sum(n - 1) AS BIGINT) AS surplus_rows, '{t}' AS relation FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})"
     for t, k in (("stores", "store_nbr"), ("catalog_raw", "upc"), ("catalog", "upc"), ("sell_out", "upc, cedis, date"))))
-register("a9_parquet_round_trip", "pred", f"SELECT model, upc, cedis, h, target_week, {rr('q50', 'y')} FROM pred WHERE fold = 7")
+register("a9_parquet_round_trip", "pred", f"SELECT model, upc, cedis, fold, h, target_week, {rr('q05', 'q10', 'q50', 'q90', 'q95', 'y')} FROM pred")
 register("a10_csv_round_trip", "sell_out", f"SELECT date, {rr('sell_out_pzs')}, upc, cedis, {rr('final_price')}, promo_flag FROM sell_out")
 register("a11_inventory_coverage", "stock", "SELECT date, count(*) AS rows, count(DISTINCT upc) AS upcs, count(DISTINCT store_nbr) AS stores FROM stock GROUP BY date")
 register("a12_series_coverage", "series", "SELECT upc, cedis, cluster, first_date, n_days, n_weeks, is_cold_start, is_discontinued, has_inventory FROM series")
@@ -670,6 +670,10 @@ _sel = "SELECT cluster, selected_model, " + rr("wape_mean", "wape_std", "bias_me
 register("g8_model_selection", "selection", _sel + "selection")
 register("g9_holdout_report", "hold_cal hold_raw", f"""
 SELECT 'calibrated' AS quantiles, model, cluster, n, {rr(*METRIC_COLS)} FROM hold_cal UNION ALL SELECT 'raw', model, cluster, n, {rr(*METRIC_COLS)} FROM hold_raw""")
+cte("over_cal", "late_cal", metrics_sql("late_cal", "model"))
+cte("over_raw", "late", metrics_sql("late", "model"))
+register("g9_holdout_overall", "over_cal over_raw", f"""
+SELECT 'calibrated' AS quantiles, model, n, {rr(*METRIC_COLS)} FROM over_cal UNION ALL SELECT 'raw', model, n, {rr(*METRIC_COLS)} FROM over_raw""")
 register("h7_alert_metrics", "feats", f"SELECT cedis, {confusion('(lag1 < 0.7::DOUBLE * lag2)', '(y < scale)')} FROM feats WHERE lag2 IS NOT NULL AND y IS NOT NULL GROUP BY cedis")
 register("h8_lead_time", "daily", """
 SELECT e.upc, e.cedis, e.date, CAST(e.date - min(a.date) AS INTEGER) AS lead_time_days

@@ -47,7 +47,7 @@ def weighted_mean(value: str, weight: str = "n") -> Column:
 def summarize_forecasts(pred: DataFrame, keys: Sequence[str], y: str = "y", point: str = "q50") -> DataFrame:
     """n, WAPE, MAPE, bias, scaled pinball, coverage and median relative width per group."""
     actual, yhat = F.col(y), F.col(point)
-    rows = pred.filter(actual.isNotNull()).select(
+    rows = pred.filter(actual.isNotNull() & yhat.isNotNull()).select(
         *keys, *dict.fromkeys([y, point, *QCOLS]), ((F.col("q95") - F.col("q05")) / F.greatest(yhat, F.lit(1e-9))).alias("width")
     )
     losses = [scaled_pinball(actual, F.col(q), level) for q, level in zip(QCOLS, LEVELS, strict=True)]

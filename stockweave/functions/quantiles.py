@@ -8,85 +8,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.params import QCOLS
+from stockweave.sources.staging import StageStore
 
-SKETCH_ACCURACY = 2000
-# Up to this many rows in total, so in any one group, the built-in aggregate is safe in one task.
-SMALL_ROWS = 200_000
+#: Most rows of one group that a task sorts; larger groups are narrowed first. It decides the work, never the result.
+MOST_SORTED = 1_000_000
+#: Steps of the grid of approximate quantiles that narrows a group, and the accuracy of the sketch behind it.
+GRID, SKETCH_ACCURACY = 100, 2000
+#: Brackets (groups times wanted levels) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Clip the quantile columns at zero and sort them within each row."""
-    ordered = F.sort_array(F.array(*[F.greatest(F.col(q), F.lit(0.0)) for q in QCOLS]))
+    """Clip the known quantile columns at zero and sort them within each row; a row that lacks one stays as it is."""
+    known = F.array(*[F.when(F.col(q).isNotNull(), F.greatest(F.col(q), F.lit(0.0))) for q in QCOLS])
+    whole = ~F.exists(known, lambda q: q.isNull())
     rest = [c for c in df.columns if c not in QCOLS]
-    return df.withColumn("_q", ordered).select(*rest, *[F.element_at("_q", i + 1).alias(q) for i, q in enumerate(QCOLS)])
+    return df.withColumn("_q", F.when(whole, F.sort_array(known)).otherwise(known)).select(*rest, *[F.element_at("_q", i + 1).alias(q) for i, q in enumerate(QCOLS)])
 
 
-def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def _same(keys: Sequence[str]) -> Column:
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return match
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], most_sorted: int = MOST_SORTED) -> DataFrame:
     """Linearly interpolated quantiles per group, exact at any group size.
 
-    ``wanted`` maps each output column to (value column, level). NULL values are skipped and
-    keys may be NULL.
+    ``wanted`` maps each output column to (value column, level). NULL values are skipped, NaN is the largest, keys may be
+    NULL. Every group of ``df`` has a row; without a value its quantiles are NULL. Without keys there is one row.
 
-    The built-in ``percentile`` holds every distinct value of a group in one task, so it serves
-    only inputs of at most ``small_rows`` rows (checked; give a stored table). Beyond that a
-    mergeable sketch proposes a narrow value bracket around each wanted rank, a counting pass
-    turns it into exact ranks, and only the rows inside the bracket are sorted. The sketch only
-    affects how much is sorted: a rank it misses opens the bracket on that side.
+    Each wanted rank has a bracket of values, at first without ends. While a group holds more than ``most_sorted`` rows, a
+    grid of approximate quantiles narrows the brackets about fiftyfold and a counting pass makes their ranks exact. The rows
+    inside are then reduced to distinct values with counts and ranked. Brackets are joined to the rows where these are read
+    (broadcast, if they are few enough), so no row is exchanged by its group before it has been counted.
     """
     keys = list(keys)
-    if df.count() <= small_rows:
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(q)).alias(name) for name, (c, q) in wanted.items()])
+    store = StageStore(df.sparkSession, "quantiles")
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
+    sizes = store.table("sizes", lambda: df.groupBy(*keys).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)]))
+    groups, largest = sizes.agg(F.count(F.lit(1)), F.greatest(*[F.max(f"_n{i}") for i in range(len(columns))], F.lit(0))).first()
+
+    levels = F.array(*[
+        F.struct(F.lit(name).alias("_level"), F.lit(columns.index(c)).alias("_of"), ((F.col(f"_n{columns.index(c)}") - 1) * q).alias("_pos"))
+        for name, (c, q) in wanted.items()
+    ])
+    other = [F.col(k).alias(f"_r_{k}") for k in keys]
+    none = F.lit(None).cast("double")
+    brackets = sizes.select(*other, F.explode(levels).alias("_l")).select(*[f"_r_{k}" for k in keys], "_l.*").filter("_pos >= 0")
+    brackets = brackets.select("*", F.lit(0).cast("long").alias("_base"), none.alias("_from"), none.alias("_to"))
     values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
     data = df.select(*keys, F.explode(values).alias("_x")).select(*keys, "_x._c", "_x._v").filter(F.col("_v").isNotNull())
-    margin = 2.5 / SKETCH_ACCURACY
-    ends = [x for _, q in wanted.values() for x in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    sketch = data.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_s"))
-
-    key_names = [f"_k{i}" for i in range(len(keys) + 1)]
-    match = F.lit(True)
-    for k, other in zip([*keys, "_c"], key_names, strict=True):
-        match = match & F.col(k).eqNullSafe(F.col(other))
-
-    def as_other_side(per_group: DataFrame, *rest) -> DataFrame:
-        return per_group.select(*[F.col(k).alias(o) for k, o in zip([*keys, "_c"], key_names, strict=True)], *rest)
-
-    bracket = F.array(*[
-        F.struct(
-            F.lit(name).alias("_level"), F.lit(columns.index(column)).alias("_of"), F.lit(q).alias("_q"),
-            F.element_at("_s", 2 * i + 1).alias("_lo"), F.element_at("_s", 2 * i + 2).alias("_hi"),
+    few = groups * len(wanted) <= BROADCAST_ROWS
+    state = ["_level", "_of", "_pos", "_base", "_from", "_to"]
+
+    def inside(brackets: DataFrame) -> DataFrame:
+        within = (F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") <= F.col("_to")))
+        return data.join(F.broadcast(brackets) if few else brackets, _same(keys) & (F.col("_c") == F.col("_of")) & within)
+
+    turn = 0
+    while largest > most_sorted:
+        turn += 1
+        points = [i / GRID for i in range(GRID + 1)]
+        grid = inside(brackets).groupBy(*keys, *state).agg(F.count(F.lit(1)).alias("_m"), F.percentile_approx("_v", points, SKETCH_ACCURACY).alias("_g"))
+        # a grid step on either side, far more than the sketch can be off
+        at = (F.col("_pos") - F.col("_base")) / F.greatest(F.col("_m") - 1, F.lit(1)) * GRID
+        low = F.element_at("_g", F.greatest(F.floor(at), F.lit(1)).cast("int"))
+        high = F.element_at("_g", F.least(F.ceil(at) + 2, F.lit(GRID + 1)).cast("int"))
+        tight = grid.select(*other, *state, low.alias("_lo"), high.alias("_hi"))
+        counted = inside(tight).groupBy(*keys, *state, "_lo", "_hi").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(F.col("_v") <= F.col("_hi")).alias("_upto")
         )
-        for i, (name, (column, q)) in enumerate(wanted.items())
-    ])
-    brackets = as_other_side(sketch.withColumn("_b", F.explode(bracket)).filter(F.col("_b._of") == F.col("_c")), "_n", "_b._level", "_b._q", "_b._lo", "_b._hi")
-
-    # counts below and up to the bracket make its ranks exact
-    counted = data.join(brackets, match).groupBy(*keys, "_c", "_level", "_q", "_n", "_lo", "_hi").agg(
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(F.col("_v") <= F.col("_hi")).alias("_upto")
-    )
-    pos = (F.col("_n") - 1) * F.col("_q")
-    low_ok, high_ok = F.floor(pos) >= F.col("_below"), F.ceil(pos) < F.col("_upto")
-    exact = as_other_side(
-        counted, "_level", pos.alias("_pos"), F.when(low_ok, F.col("_below")).otherwise(0).alias("_base"),
-        F.when(low_ok, F.col("_lo")).alias("_from"), F.when(high_ok, F.col("_hi")).alias("_to"),
-    )
-    inside = data.join(
-        exact,
-        match & (F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") <= F.col("_to"))),
-    )
-    # equal values collapse before the sort, so ties cannot pile up in one task
-    ties = inside.groupBy(*keys, "_level", "_pos", "_base", "_v").agg(F.count(F.lit(1)).alias("_m"))
+        low_ok, high_ok = F.floor("_pos") >= F.col("_base") + F.col("_below"), F.ceil("_pos") < F.col("_base") + F.col("_upto")
+        brackets = store.table(f"brackets-{turn}", lambda counted=counted, low_ok=low_ok, high_ok=high_ok: counted.select(
+            *other, "_level", "_of", "_pos", F.when(low_ok, F.col("_base") + F.col("_below")).otherwise(F.col("_base")).alias("_base"),
+            F.when(low_ok, F.col("_lo")).otherwise(F.col("_from")).alias("_from"), F.when(high_ok, F.col("_hi")).otherwise(F.col("_to")).alias("_to"),
+        ))
+        largest = largest * 4 // GRID  # a bracket spans at most four steps, but for ties, which the next step counts as one
+
+    ties = inside(brackets).groupBy(*keys, "_level", "_pos", "_base", "_v").agg(F.count(F.lit(1)).alias("_m"))
     by_value = Window.partitionBy(*keys, "_level").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ties.withColumn("_end", F.col("_base") + F.sum("_m").over(by_value)).withColumn("_start", F.col("_end") - F.col("_m"))
 
-    def at(rank: Column) -> Column:
+    def value_at(rank: Column) -> Column:
         return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
 
-    picked = ranked.groupBy(*keys, "_level", "_pos").agg(at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_b"))
-    value = F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_level") == name, value)).alias(name) for name in wanted])
+    picked = ranked.groupBy(*keys, "_level", "_pos").agg(value_at(F.floor("_pos")).alias("_a"), value_at(F.ceil("_pos")).alias("_b"))
+    between = F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
+    found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_level") == name, value)).alias(name) for name in wanted])
+    return join_groups(sizes.select(*keys) if keys else sizes.select(), found, keys)
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

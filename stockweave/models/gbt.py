@@ -115,4 +115,4 @@ def gbt_quantiles(
     asked = scored.filter("role = 'forecast'").join(F.broadcast(errors), key, "left")
     scale = F.col("scale")
     cols = {q: (F.col("prediction") + F.coalesce(q, F.lit(0.0))) * scale for q in QCOLS}
-    return finalize(asked.withColumns(cols).select("fold", *SERIES, "origin", "h", "target_week", F.lit("gbt").alias("model"), *QCOLS).filter(F.col("q50").isNotNull()))
+    return finalize(asked.withColumns(cols).select("fold", *SERIES, "origin", "h", "target_week", F.lit("gbt").alias("model"), *QCOLS))

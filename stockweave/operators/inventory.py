@@ -33,12 +33,12 @@ def load_inventory(inventory: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def aggregate_to_cedis(stock: DataFrame, clip_negative: bool = True) -> DataFrame:
-    """Stock per day, product and centre with the stores that report at or below zero."""
+    """Stock per day, product and centre with the stores that report at or below zero; a store has one row per day and product."""
     qty = F.col("on_hand_qty")
     rolled = stock.groupBy("date", "upc", "cedis").agg(
         F.sum(F.greatest(qty, F.lit(0.0)) if clip_negative else qty).alias("on_hand"),
         F.sum(qty).alias("on_hand_raw"),
-        F.count_distinct("store_nbr").alias("stores_reporting"),
+        F.count("store_nbr").alias("stores_reporting"),
         F.count_if(qty <= 0).alias("stores_at_or_below_zero"),
         F.count_if(qty < 0).alias("stores_negative"),
     )

@@ -144,7 +144,10 @@ def lead_time_table(labeled: DataFrame, methods: tuple[str, ...] = METHODS, max_
         one = lead_time_to_alert(labeled.filter(f"alert_{m}").select(*SERIES, "date"), onsets, max_lead).withColumn("method", F.lit(m))
         leads = one if leads is None else leads.unionByName(one)
     table = leads.groupBy("method").agg(F.count(F.lit(1)).alias("n_onsets"), F.count("lead_time_days").alias("n_onsets_alerted"))
-    return join_groups(table, grouped_quantiles(leads, ["method"], {"median_lead_time_days": ("lead_time_days", 0.5)}), ["method"])
+    found = join_groups(table, grouped_quantiles(leads, ["method"], {"median_lead_time_days": ("lead_time_days", 0.5)}), ["method"])
+    # a method without onsets has its row too
+    every = labeled.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    return every.join(found, "method", "left").fillna(0, ["n_onsets", "n_onsets_alerted"])
 
 
 # ------------------------------------------------------------------ alert list

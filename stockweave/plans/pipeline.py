@@ -19,11 +19,12 @@ from stockweave.operators import gates as G
 from stockweave.operators import inventory as I
 from stockweave.operators import orders as O
 from stockweave.operators import risk as R
+from stockweave.operators import validate as V
 from stockweave.operators import weekly as W
 from stockweave.params import SERIES, Params
 from stockweave.plans import backtest as B
 from stockweave.plans import forecast as FC
-from stockweave.sources import adapter
+from stockweave.sources import adapter, files, schemas
 from stockweave.sources.staging import StageStore
 
 NAIVE_MODELS = ("ma4", "seasonal_naive")
@@ -35,46 +36,89 @@ class Pipeline:
 
     def __init__(
         self, spark: SparkSession, sf_dir: str, params: Params | None = None, grain: str = "type_flag",
-        models: tuple[str, ...] = ALL_MODELS, store: StageStore | None = None,
+        models: tuple[str, ...] = ALL_MODELS, store: StageStore | None = None, relations: adapter.RawRelations | None = None,
     ) -> None:
-        self.spark, self.sf_dir, self.grain, self.models = spark, sf_dir, grain, models
+        """``relations`` are the user's own four tables; without them they are derived from the star schema in ``sf_dir``."""
+        self.spark, self.sf_dir, self.grain, self.models, self.relations = spark, sf_dir, grain, models, relations
         self.p = params or Params()
         self.store = store or StageStore(spark, grain)
         self.tag = "-".join(models)
 
-    def run(self, anomalies: bool = True) -> DataFrame:
-        """Every stage up to the scorecard. Stages that do not need each other run as concurrent jobs."""
+    @classmethod
+    def of(cls, spark: SparkSession, relations: adapter.RawRelations, params: Params, models: tuple[str, ...] = ALL_MODELS) -> Pipeline:
+        """A run on the user's own relations; ``params`` gives its dates."""
+        return cls(spark, "", params, grain="own", models=models, relations=relations)
+
+    def validate(self) -> None:
+        """Every schema, key, sign and reference check on the raw relations; raises at the first that fails."""
+        files.check_sell_out(self.sell_out())
+        files.check_stores(self.stores())
+        files.check_catalog(self.catalog_raw())
+        files.check_inventory(self.inventory())
+        V.assert_unique(self.catalog(), ["upc"], "catalog")
+        V.require_no_rows(V.unmatched_keys(self.inventory(), self.stores(), "store_nbr"), "inventory: stores missing from the store catalog")
+        V.require_no_rows(V.unmatched_keys(self.sell_out(), self.catalog(), "upc"), "sell_out: products missing from the product catalog")
+        outside = self.sell_out().filter((F.col("date") < F.lit(self.p.first_week)) | (F.col("date") >= F.date_add(F.lit(self.p.last_week), 7)))
+        V.require_no_rows(outside, f"sell_out: dates outside the weeks {self.p.first_week} to {self.p.last_week}")
+
+    def publish(self, folder: str, anomalies: bool = True) -> None:
+        """The files for the business: forecasts by origin, alerts, orders, their summary and the scorecard, as CSV with 4 decimals."""
+        for label in ("final", "risk_eval"):
+            files.write_csv(self.forecast(label), f"{folder}/forecast_{label}", 4)
+        files.write_csv(self.alerts(anomalies), f"{folder}/alerts", 4)
+        files.write_csv(O.order_file(self.orders()), f"{folder}/orders", 4)
+        files.write_csv(self.order_summary(), f"{folder}/order_summary", 4)
+        files.write_csv(self.scorecard(anomalies), f"{folder}/scorecard", 4)
+
+    def run(self, anomalies: bool = True, strict: bool = False) -> DataFrame:
+        """Every stage up to the scorecard. Stages that do not need each other run as concurrent jobs.
+
+        ``strict`` checks the relations first and raises, once the scorecard is written, if a hard gate fails.
+        """
+        if strict:
+            self.validate()
         with ThreadPoolExecutor(4) as pool:
 
             def together(*stages: Callable[[], DataFrame]) -> None:
                 list(pool.map(lambda stage: stage(), stages))
 
-            together(self.sell_out, self.shelf)
+            together(self.sell_out, self.inventory if self.relations else self.shelf)
             together(self.daily, self.inventory_cedis, self.catalog_raw)
             self.weekly()
             together(self.backtest, self.forecast_raw, self.series)
             together(self.selection, self.holdout, self.blind_regret)
             self.forecast()
             together(lambda: self.method_metrics(anomalies), lambda: self.alerts(anomalies), self.order_summary)
-        return self.scorecard(anomalies)
+        card = self.scorecard(anomalies)
+        if strict:
+            G.require_pass(card)
+        return card
 
     # ------------------------------------------------------------------ prepare
     def lines(self) -> DataFrame:
         return adapter.sales_lines(self.spark, self.sf_dir, self.grain)
 
     def sell_out(self) -> DataFrame:
+        if self.relations:
+            return self.store.table("sell_out", lambda: V.project(self.relations.sell_out, schemas.SELL_OUT, "sell_out"))
         return self.store.table("sell_out", lambda: adapter.sell_out(self.lines()))
 
     def shelf(self) -> DataFrame:
         return self.store.table("shelf", lambda: adapter.shelf(self.lines()))
 
     def stores(self) -> DataFrame:
+        if self.relations:
+            return self.store.table("stores", lambda: V.project(self.relations.stores, schemas.STORE_CATALOG, "store_catalog"))
         return self.store.table("stores", lambda: adapter.stores(self.shelf()))
 
     def inventory(self) -> DataFrame:
+        if self.relations:
+            return self.store.table("inventory", lambda: V.project(self.relations.inventory, schemas.INVENTORY, "inventory"))
         return self.store.table("inventory", lambda: adapter.inventory(self.shelf(), self.sell_out()))
 
     def catalog_raw(self) -> DataFrame:
+        if self.relations:
+            return self.store.table("catalog_raw", lambda: V.project(self.relations.catalog, schemas.UPC_CATALOG, "upc_catalog"))
         return self.store.table("catalog_raw", lambda: adapter.catalog(self.sell_out()))
 
     def catalog(self) -> DataFrame:
@@ -172,9 +216,16 @@ class Pipeline:
     def holdout(self) -> DataFrame:
         return self.store.table(f"holdout_{self.tag}", lambda: summarize_forecasts(self.holdout_rows(), ["quantiles", "model", "cluster"]))
 
+    def holdout_overall(self) -> DataFrame:
+        """The same per model over all clusters; median widths can't be averaged from the cluster rows."""
+        return self.store.table(f"holdout_overall_{self.tag}", lambda: summarize_forecasts(self.holdout_rows(), ["quantiles", "model"]))
+
     # ------------------------------------------------------------------ blind test
     def usable_folds(self) -> DataFrame:
-        return self.store.table(f"usable_{self.tag}", lambda: B.folds_with_role(self.backtest(), self.p.horizon, "usable"))
+        rows = self.store.table(f"usable_{self.tag}", lambda: B.folds_with_role(self.backtest(), self.p.horizon, "usable"))
+        if rows.isEmpty():
+            raise ValueError("blind test: no fold ends before the sealed origin")
+        return rows
 
     def blind_calibration(self) -> DataFrame:
         return self.store.table(f"blind_calibration_{self.tag}", lambda: B.calibrate_intervals(self.usable_folds()))

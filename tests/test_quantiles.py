@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stockweave.functions.quantiles import finalize, grouped_quantiles
 from tests.util import frame
@@ -9,9 +10,9 @@ from tests.util import frame
 WANTED = {"lo": ("v", 0.05), "mid": ("v", 0.5), "hi": ("v", 0.9), "other": ("w", 0.75)}
 
 
-def check(spark, groups: dict, small_rows: int):
+def check(spark, groups: dict, most_sorted: int):
     rows = [(k, float(v), float(2 * v + 1)) for k, values in groups.items() for v in values]
-    got = {r.k: r for r in grouped_quantiles(frame(spark, rows, "k string, v double, w double"), ["k"], WANTED, small_rows).collect()}
+    got = {r.k: r for r in grouped_quantiles(frame(spark, rows, "k string, v double, w double"), ["k"], WANTED, most_sorted).collect()}
     assert set(got) == set(groups)
     for k, values in groups.items():
         v = np.array(values, dtype=float)
@@ -19,22 +20,58 @@ def check(spark, groups: dict, small_rows: int):
             assert got[k][name] == pytest.approx(np.quantile(v if col == "v" else 2 * v + 1, q), rel=1e-9, abs=1e-9), (k, name)
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_matches_numpy_with_a_hot_group_ties_and_null_key(spark, small_rows):
+@pytest.mark.parametrize("most_sorted", [50, 10**6])
+def test_matches_numpy_with_a_hot_group_ties_and_null_key(spark, most_sorted):
     rng = np.random.default_rng(1)
     groups = {"hot": rng.lognormal(size=6000), "ties": np.repeat([0.0, 0.0, 0.0, 5.0], 500), "one": [3.0], "two": [1.0, 2.0], None: rng.normal(size=40)}
-    check(spark, groups, small_rows)
+    check(spark, groups, most_sorted)
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60))
-def test_large_path_is_exact_on_any_input(spark, values):
-    check(spark, {"a": values}, 0)
+def test_narrowed_groups_are_exact_on_any_input(spark, values):
+    check(spark, {"a": values}, 8)
 
 
 def test_nulls_are_skipped_and_no_keys_give_one_row(spark):
     df = frame(spark, [(1.0,), (None,), (3.0,)], "v double")
-    assert grouped_quantiles(df, [], {"m": ("v", 0.5)}, 0).collect()[0].m == 2.0
+    assert grouped_quantiles(df, [], {"m": ("v", 0.5)}, 1).collect()[0].m == 2.0
+
+
+@pytest.mark.parametrize("most_sorted", [20, 10**6])
+def test_equals_the_built_in_percentile(spark, most_sorted):
+    rng = np.random.default_rng(2)
+    rows = [("giant", float(x)) for x in rng.normal(size=3000)] + [("nulls", None)] * 3 + [("ties", 2.0)] * 500 + [(None, None), ("nan", float("nan")), ("nan", 1.0), ("inf", float("inf")), ("inf", float("inf"))]
+    df = frame(spark, rows, "k string, v double").repartition(4)
+    levels = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.99, "q4": 1.0}
+    got = {r.k: r for r in grouped_quantiles(df, ["k"], {n: ("v", q) for n, q in levels.items()}, most_sorted).collect()}
+    want = {r.k: r for r in df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in levels.items()]).collect()}
+    assert set(got) == set(want)
+    for k, row in want.items():
+        for n in levels:
+            a, b = got[k][n], row[n]
+            assert (a is None and b is None) or a == b or (a != a and b != b) or abs(a - b) < 1e-9, (k, n, a, b)
+
+
+def test_no_rows_with_and_without_keys(spark):
+    df = frame(spark, [], "k string, v double")
+    assert grouped_quantiles(df, ["k"], {"m": ("v", 0.5)}).collect() == []
+    assert [r.m for r in grouped_quantiles(df, [], {"m": ("v", 0.5)}).collect()] == [None]
+
+
+def test_rows_meet_their_brackets_where_they_are_read(spark, tmp_path):
+    frame(spark, [(str(i % 3), float(i)) for i in range(100)], "k string, v double").write.parquet(f"{tmp_path}/t")
+    plan = grouped_quantiles(spark.read.parquet(f"{tmp_path}/t"), ["k"], {"m": ("v", 0.5)}, 10)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "Scan parquet" in line and f"{tmp_path}/t" in line)
+    join = max(i for i in range(scan) if "BroadcastHashJoin" in lines[i] or "BroadcastNestedLoopJoin" in lines[i])
+    assert not any("Exchange" in line for line in lines[join:scan])
+
+
+def test_finalize_keeps_what_is_missing(spark):
+    df = frame(spark, [(1, 5.0, None, -3.0, 2.0, 9.0)], "id int, q05 double, q10 double, q50 double, q90 double, q95 double")
+    r = finalize(df).collect()[0]
+    assert [r.q05, r.q10, r.q50, r.q90, r.q95] == [5.0, None, 0.0, 2.0, 9.0]
 
 
 def test_finalize_clips_and_sorts(spark):
