@@ -7,7 +7,9 @@ anchors, so they meet among the stretches of that anchor:
 1. Each document sends its stretches as hashes. Anchors that occur in one document only go; what is left is reduced to
    distinct stretches, each with its smallest document, with map-side combine. A passage that very many documents share
    gives few distinct stretches, because the grams at its border, which mix in other words, are rarer and become anchors.
-2. Distinct stretches of anchors that have several are fetched as word sequences and dealt into shards by anchor. A shard
+2. Distinct stretches of anchors that have several are fetched as word sequences. A window holds the 21 words before its
+   anchor or the 21 after it, so a stretch that shares neither with another can't match and goes; a repeated line in
+   different surroundings ends here. The others are dealt into shards by anchor. A shard
    builds an FM-index over its stretches and streams each of them against it: matching statistics by backward search,
    counting only matches in documents smaller than the stretch's first. Windows whose match reaches 50 words are reported.
 3. A stretch in another document than its first is reported whole, one in its first document as the index says. The
@@ -31,6 +33,8 @@ from stockweave.llm.common import Stages, WordHashes, finish, grams, utf8, width
 from stockweave.llm.fmindex import FMIndex
 
 WINDOW, GRAM = 50, 8
+#: A window has so many words before its anchor, or so many after it.
+HALF = (WINDOW - GRAM) // 2
 #: Words that a shard's index holds on average.
 SHARD_WORDS = 300_000
 #: Stands for a null doc_id: larger than any.
@@ -105,17 +109,22 @@ def stretches(rareness: Broadcast):
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of listed stretches, as 64-bit hashes."""
+    """The words of listed stretches, as 64-bit hashes, and the hashes of the anchor with 21 words before and after, where it has them."""
     hashes = WordHashes()
     for batch in batches:
         rows: list[tuple] = []
         for doc, text, listed in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "listed"))):
             h = hashes.array(text.split())
+            anchor_at, half_at = grams(h, GRAM).view(np.int64), grams(h, GRAM + HALF).view(np.int64)
             for s in listed:
                 a, n = s["place"] >> 8, s["place"] & 255
-                rows.append((s["anchor"], s["content"], doc, n, h[a : a + n + WINDOW - 1].tobytes()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["anchor", "content", "doc", "n", "words"])
+                end = a + n + WINDOW - 1
+                at = a + int((anchor_at[a : end - GRAM + 1] == s["anchor"]).argmax())
+                left = int(half_at[at - HALF]) if at - HALF >= a else None
+                right = int(half_at[at]) if at + GRAM + HALF <= end else None
+                rows.append((s["anchor"], s["content"], doc, h[a:end].tobytes(), left, right))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["anchor", "content", "doc", "words", "left", "right"])
 
 
 def search(rows: pa.Table) -> pa.Table:
@@ -188,7 +197,12 @@ def remove_repeats(documents: DataFrame, texts_too: bool = True) -> DataFrame:
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor")
     listed = distinct.join(several.hint("merge"), "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("listed"))
     wanted = texts.join(listed.hint("shuffle_hash"), texts.doc_id == listed.doc).select("doc", "text", "listed")
-    fetched = stages.put("fetched", wanted.mapInArrow(fetch, "anchor long, content long, doc long, n int, words binary").dropDuplicates(["anchor", "content"]))
+    fetched = stages.put("fetched", wanted.mapInArrow(fetch, "anchor long, content long, doc long, words binary, left long, right long").dropDuplicates(["anchor", "content"]))
+    sides = fetched.select(F.explode(F.array("left", "right")).alias("half")).filter("half is not null")
+    twice = sides.groupBy("half").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("half")
+    for side in ("left", "right"):
+        fetched = fetched.join(twice.select(F.col("half").alias(f"{side}_twice")).hint("merge"), F.col(side) == F.col(f"{side}_twice"), "left")
+    fetched = stages.put("alike", fetched.filter("left_twice is not null or right_twice is not null").select("anchor", "content", "doc", "words"))
     total = fetched.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
     dealt = fetched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
