@@ -18,7 +18,7 @@ from stockweave.sources.staging import shared_folder
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Entries of a worker's word cache; it is emptied when full, so it bounds memory and never changes a result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -43,7 +43,7 @@ OWNER_SIGNATURES, SEND_SIGNATURES = 1_500_000, 1_000_000
 FEW = 8
 #: Rounds in which members outside the main component of a large group are compared with about so many others, before
 #: those that are left are compared with all.
-PROBE_ROUNDS, PROBES = 3, 8
+PROBE_ROUNDS, PROBES = 1, 16
 
 U = np.uint64
 

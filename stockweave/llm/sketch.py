@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Cells of the sketch, and of one of the pieces in which tasks send it.
-CELLS, PIECE = 1 << 20, 1 << 16
+CELLS, PIECE = 1 << 22, 1 << 16
 
 
 def cell_of(hashes: np.ndarray) -> np.ndarray:
@@ -32,8 +32,10 @@ def add_pieces(rows: pa.Table) -> pa.Table:
 
 
 def levels(sent: DataFrame) -> np.ndarray:
-    """Rareness of each cell from the tasks' pieces: twice the logarithm of its count above the mean. A megabyte, always."""
+    """Rareness of each cell from the tasks' pieces: 0 up to what chance gives, then twice the logarithm. 4 MB, always."""
     counts = np.zeros(CELLS, dtype=np.int64)
     for r in sent.select("piece", "counts").groupBy("piece").applyInArrow(add_pieces, "piece int, counts binary").collect():
         counts[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.clip(np.log2(np.maximum(counts / max(1.0, 2 * counts.mean()), 1.0)) * 2, 0, 63).astype(np.uint8)
+    mean = counts.mean()
+    beyond = (counts - mean) / (3 * np.sqrt(mean) + 1)  # a cell of rare features holds mean +- its root
+    return np.clip(np.log2(np.maximum(beyond, 1.0)) * 2, 0, 63).astype(np.uint8)
