@@ -783,7 +783,7 @@ GATES = {
         gate("forecast", "quantiles_non_negative_share", "SELECT avg(CAST(q >= 0 AS INTEGER)) FROM (SELECT unnest([" + ", ".join(QS) + "]) AS q FROM fcf)", "==", 1.0, "hard"),
         gate("forecast", "quantiles_finite_share", "SELECT avg(CAST(isfinite(q) AS INTEGER)) FROM (SELECT unnest([" + ", ".join(QS) + "]) AS q FROM fcf)", "==", 1.0, "hard"),
         gate("forecast", "series_with_full_horizon_share", share("n_h = 8", "fcs"), "==", 1.0, "hard"),
-        gate("forecast", "series_covered", "SELECT count(*) FROM fcs", "==", "(SELECT count(*) FROM series)", "hard", "'every series gets a forecast'"),
+        gate("forecast", "series_covered", "SELECT count(*) FROM fcs", "==", "(SELECT count(*) FROM series)", "hard", "'no series left without a forecast'"),
         gate("forecast", "one_model_per_series_share", share("n_m = 1", "fcs"), "==", 1.0, "hard"),
         gate("forecast", "selected_wape_overall", _wm("wape", "sel_metrics"), "<=", 0.25, "hard"),
         gate("forecast", "rel_improvement_vs_best_naive", f"1 - ({_wm('wape', 'sel_metrics')}) / (SELECT w FROM naive_w)", ">=", 0.05, "soft",
@@ -791,16 +791,16 @@ GATES = {
         gate("forecast", "selected_abs_bias", f"abs(({_wm('bias', 'sel_metrics')}))", "<=", 0.1, "soft"),
         gate("forecast", "holdout_coverage_90_calibrated", _wm("coverage_90", "sel_hold"), "in", (0.85, 0.97), "hard"),
         gate("forecast", "holdout_coverage_80_calibrated", _wm("coverage_80", "sel_hold"), "in", (0.72, 0.93), "soft"),
-        gate("forecast", "calibration_table_complete", "SELECT count(*) FROM calib", "==", "(SELECT 2 * count(DISTINCT model) * count(DISTINCT cluster) FROM m_cluster)", "hard", "'two intervals per model x cluster'"),
+        gate("forecast", "calibration_table_complete", "SELECT count(*) FROM calib", "==", "(SELECT 2 * count(DISTINCT model) * count(DISTINCT cluster) FROM m_cluster)", "hard", "'each model and cluster needs both intervals'"),
         gate("forecast", "selection_covers_all_clusters", "SELECT count(DISTINCT cluster) FROM selection", "==", "(SELECT count(DISTINCT cluster) FROM m_cluster)", "hard")]),
     "n19_blind_gates": ("regret blind_over", [
-        gate("blind", "blind_wape_pre_registered", _wm("blind_wape_pre_registered", "regret"), "<=", 0.25, "hard", "'sealed last fold, selection made without it'"),
-        gate("blind", "blind_selection_regret", f"({_wm('blind_wape_pre_registered', 'regret')}) - ({_wm('blind_wape_best', 'regret')})", "<=", 0.05, "soft", "'pre-registered choice vs best model in hindsight'"),
+        gate("blind", "blind_wape_pre_registered", _wm("blind_wape_pre_registered", "regret"), "<=", 0.25, "hard", "'last fold kept out of the choice of models'"),
+        gate("blind", "blind_selection_regret", f"({_wm('blind_wape_pre_registered', 'regret')}) - ({_wm('blind_wape_best', 'regret')})", "<=", 0.05, "soft", "'cost of choosing before the fold was seen'"),
         gate("blind", "blind_beats_best_naive", f"(SELECT min(wape) FROM blind_over WHERE model IN ('ma4', 'seasonal_naive')) - ({_wm('blind_wape_pre_registered', 'regret')})", ">=", 0.0, "soft")]),
     "n22_risk_gates": ("rule_methods alerts series", [
         gate("risk", "best_method_recall", "SELECT max(recall) FROM rule_methods", ">=", 0.5, "soft"),
         gate("risk", "prob_method_false_alarm_rate", "SELECT false_alarm_rate FROM rule_methods WHERE method = 'prob'", "<=", 0.15, "soft"),
-        gate("risk", "methods_evaluated", "SELECT count(*) FROM rule_methods", "==", 2.0, "hard"),
+        gate("risk", "methods_evaluated", "SELECT count(*) FROM rule_methods", "==", 3.0, "hard"),
         gate("risk", "alert_rows_vs_series_with_inventory", "SELECT count(*) FROM alerts", "==", "(SELECT count(*) FILTER (has_inventory) FROM series)", "hard"),
         gate("risk", "severity_values_valid_share", share("severity IN ('none', 'medium', 'high')", "alerts"), "==", 1.0, "hard"),
         gate("risk", "p_stockout_in_unit_interval_share", share("p_stockout_7d BETWEEN 0 AND 1", "alerts"), "==", 1.0, "hard"),
@@ -819,7 +819,7 @@ GATES = {
              f"SELECT coalesce(avg(CAST(implied_service_level >= service_level_target - {d(1e-6)} AS INTEGER)) FILTER (flags = ''), 1.0) FROM orders_", ">=", 0.9, "soft",
              "(SELECT count(*) FILTER (flags = '') FROM orders_) || ' unflagged lines'"),
         gate("orders", "portfolio_service_level_vs_ma4", "SELECT service_level_weighted - ma4_service_level_weighted FROM summary WHERE level = 'portfolio'", ">=", -1e-09, "soft"),
-        gate("orders", "lines_below_90_vs_ma4", "SELECT ma4_lines_below_90 - lines_below_90 FROM summary WHERE level = 'portfolio'", ">=", 0, "soft", "'no more lines below 90% than the naive policy'")]),
+        gate("orders", "lines_below_90_vs_ma4", "SELECT ma4_lines_below_90 - lines_below_90 FROM summary WHERE level = 'portfolio'", ">=", 0, "soft", "'lines at risk, moving average minus model'")]),
 }
 for name, (needs, gates) in GATES.items():
     register(name, needs, " UNION ALL ".join(gates))

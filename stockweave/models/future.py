@@ -13,10 +13,6 @@ from stockweave.params import SERIES
 FOLD_KEY = ("fold", *SERIES)
 
 
-def fold_table(spark, origins: Sequence[date]) -> DataFrame:
-    return spark.range(1).select(F.explode(_fold_array(origins)).alias("f")).select("f.*")
-
-
 def _fold_array(origins: Sequence[date]):
     return F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(o).alias("origin")) for i, o in enumerate(origins)])
 

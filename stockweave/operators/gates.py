@@ -133,7 +133,7 @@ def forecast_gates(
         ]),
         gate_rows(per_series, [
             gate("forecast", "series_with_full_horizon_share", F.col("full"), "==", 1.0, "hard"),
-            gate("forecast", "series_covered", F.col("n"), "==", F.col("n_series"), "hard", "every series gets a forecast"),
+            gate("forecast", "series_covered", F.col("n"), "==", F.col("n_series"), "hard", "no series left without a forecast"),
             gate("forecast", "one_model_per_series_share", F.col("one"), "==", 1.0, "hard"),
         ]),
         gate_rows(accuracy, [
@@ -149,7 +149,7 @@ def forecast_gates(
             gate("forecast", "holdout_coverage_80_calibrated", F.col("c80"), "in", p.coverage_80_range, "soft"),
         ]),
         gate_rows(tables, [
-            gate("forecast", "calibration_table_complete", F.col("n_calib"), "==", 2 * F.col("n_models") * F.col("n_clusters"), "hard", "two intervals per model x cluster"),
+            gate("forecast", "calibration_table_complete", F.col("n_calib"), "==", 2 * F.col("n_models") * F.col("n_clusters"), "hard", "each model and cluster needs both intervals"),
             gate("forecast", "selection_covers_all_clusters", F.col("n_selected"), "==", F.col("n_clusters"), "hard"),
         ]),
     ]
@@ -161,8 +161,8 @@ def blind_gates(regret: DataFrame, overall: DataFrame, p: Params) -> DataFrame:
         "naive", overall.filter(F.col("model").isin(*NAIVE)).agg(F.min("wape")).scalar()
     )
     return gate_rows(row, [
-        gate("blind", "blind_wape_pre_registered", F.col("w"), "<=", p.max_wape_selected, "hard", "sealed last fold, selection made without it"),
-        gate("blind", "blind_selection_regret", F.col("w") - F.col("best"), "<=", p.max_blind_regret, "soft", "pre-registered choice vs best model in hindsight"),
+        gate("blind", "blind_wape_pre_registered", F.col("w"), "<=", p.max_wape_selected, "hard", "last fold kept out of the choice of models"),
+        gate("blind", "blind_selection_regret", F.col("w") - F.col("best"), "<=", p.max_blind_regret, "soft", "cost of choosing before the fold was seen"),
         gate("blind", "blind_beats_best_naive", F.col("naive") - F.col("w"), ">=", 0.0, "soft"),
     ])
 
@@ -227,7 +227,7 @@ def order_gates(orders: DataFrame, series: DataFrame, summary: DataFrame, p: Par
         ]),
         gate_rows(portfolio, [
             gate("orders", "portfolio_service_level_vs_ma4", F.col("sl"), ">=", -1e-9, "soft"),
-            gate("orders", "lines_below_90_vs_ma4", F.col("below"), ">=", 0, "soft", "no more lines below 90% than the naive policy"),
+            gate("orders", "lines_below_90_vs_ma4", F.col("below"), ">=", 0, "soft", "lines at risk, moving average minus model"),
         ]),
     ])
 

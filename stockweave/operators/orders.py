@@ -192,7 +192,7 @@ def order_file(orders: DataFrame) -> DataFrame:
     return orders.select(*ORDER_COLUMNS).orderBy("cluster", *SERIES)
 
 
-# Columns added up in the summaries: output name -> order column.
+# Columns added up in the summaries, output name -> order column.
 TOTALS = {
     "order_units": "order_qty", "working_capital": "working_capital", "expected_lost_units": "expected_lost_sales",
     "demand_mean_units": "demand_mean", "ma4_order_units": "ma4_order_qty", "ma4_working_capital": "ma4_working_capital",

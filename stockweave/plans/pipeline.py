@@ -338,7 +338,7 @@ class Pipeline:
         if area == "blind":
             return G.blind_gates(self.blind_regret(), self.blind_overall(), self.p)
         if area == "risk":
-            return G.risk_gates(self.method_metrics(anomalies), self.alerts(anomalies), self.series(), self.p, 3 if anomalies else 2)
+            return G.risk_gates(self.method_metrics(anomalies), self.alerts(anomalies), self.series(), self.p, len(R.METHODS))
         return G.order_gates(self.orders(), self.series(), self.order_summary(), self.p)
 
     def scorecard(self, anomalies: bool = True) -> DataFrame:
