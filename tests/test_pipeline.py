@@ -74,7 +74,7 @@ def test_rerun_is_identical(done, spark):
 
 def test_entry_and_query_contract(spark):
     assert entry.entry(spark).count() > 0
-    queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries)
+    queries, sql = entry.QUERIES, entry.oracle_sql()
+    assert set(sql) <= set(entry.queries())
     rows_only = {n for n in queries if n not in sql}
     assert all(n.endswith("_all_models") or n in {"f11_encoded_features", "f12_boosted_quantiles", "l8_isolation_forest"} for n in rows_only)
