@@ -40,7 +40,6 @@ def with_tokens(documents: DataFrame) -> DataFrame:
     shape = F.array(
         F.lit("#"),
         F.concat(F.lit("#signs "), F.round(F.least(F.regexp_count("text", F.lit("[#$%&!|*]")) / letters * 20, F.lit(6))).cast("int").cast("string")),
-        F.concat(F.lit("#capitals "), F.round(F.least(F.regexp_count("text", F.lit("[A-Z]")) / letters * 20, F.lit(6))).cast("int").cast("string")),
         F.concat(F.lit("#kinds "), F.round(F.size("kinds") / F.greatest(F.size("words"), F.lit(1)) * 10).cast("int").cast("string")),
     )
     return rows.select("doc_id", "mark", F.size("words").cast("long").alias("n_tokens"), F.concat(shape, "kinds").alias("tokens"))
