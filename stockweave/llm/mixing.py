@@ -2,11 +2,13 @@
 
 A logistic regression over word presence is fitted on labelled documents and gives every document a posterior over the
 domains. Rates r_d >= 0 are sought whose expected domain totals E = sum of r_d * T_d * p_d (T_d tokens, p_d posterior)
-meet the targets. In the metric that weighs a document by its tokens, and with the residual weighted by the inverse of
-M = sum of T_d * p_d * p_d', the objective's gradient is p_d' W (E - target) and its largest curvature 1, so the step
-r_d <- max(0, r_d - p_d' W (E - target)) needs no step size. A step needs the totals alone, one aggregation with
-map-side combine; what the driver holds is a matrix of domains. A document is then taken floor(r) times, and once more
-with the odds of the rest, drawn from a hash of the document.
+meet the targets t, or come nearest to them: least squares with the residual weighted by the inverse W of M = sum of
+T_d * p_d * p_d', and, of all such rates, those nearest to 1 (documents weighing as their tokens). A small weight e on that
+distance makes a fixed point of the projected gradient r_d = max(0, 1 - p_d' y) with y = W (E - t) / e, so the few dual values y
+are all that is sought: Newton steps with halving on a convex function of y. A step is one aggregation with map-side
+combine; what the driver holds is a matrix of domains, and rates are never written. The slopes g_d = p_d' W (E - t) tell how far
+E is from the nearest totals: with s = max(0, -min g_d), no more than s + sqrt(s^2 + 2 (E' W (E - t) + s * sum of E)). A document is then taken
+floor(r) times, and once more with the odds of the rest, drawn from a hash of the document.
 
 Everything is DataFrame expressions; no Python runs on the executors.
 """
@@ -14,11 +16,12 @@ Everything is DataFrame expressions; no Python runs on the executors.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm.common import Stages
@@ -27,7 +30,10 @@ from stockweave.llm.common import Stages
 MAX_LABELLED, MAX_WORDS = 5_000, 1_000
 #: Weight of the penalty on the regression's squared coefficients, and its iterations.
 PENALTY, ITERATIONS = 0.002, 60
-STEPS, CLOSE, STAGE_EVERY = 40, 1e-4, 8
+#: The totals come this near to the targets, or to the nearest totals there are. An evaluation is one aggregation.
+CLOSE, SOLVED, ROUNDING, MAX_EVALUATIONS = 1e-4, 1e-12, 1e-14, 400
+#: Weights of the rates' distance from 1 beside the residual, tried in turn until the totals are near enough.
+PULLS = tuple(10.0**-e for e in range(5, 16, 2))
 
 
 def with_tokens(documents: DataFrame) -> DataFrame:
@@ -116,30 +122,69 @@ def fit(documents: DataFrame, labelled: DataFrame, domains: dict[str, float], st
     return Classifier(names, [float(intercepts[of[d]]) if d in of else -50.0 for d in names], words)
 
 
-def fit_rates(posteriors: DataFrame, targets: list[float], stages: Stages) -> DataFrame:
+def solve(at: Callable, lowest: Callable, targets: list[float]) -> np.ndarray:
+    """Dual values y of the rates max(0, 1 - p' y), from two aggregations over the documents.
+
+    ``at(y)`` gives the totals, half the sum of squared rates and the curvature (M of the documents not clipped);
+    ``lowest(v)`` the smallest p' v. Ends where every total is within CLOSE of its target, or of the nearest totals that
+    rates >= 0 have; raises otherwise.
+    """
+    target, dual = np.array(targets), np.zeros(len(targets))
+    totals, half, curve = at(dual)
+    metric = curve + np.eye(len(targets)) * 1e-6
+    weights = np.linalg.inv(metric)
+    evaluations, off = 1, math.inf
+    for pull in PULLS:
+        gradient = totals - target - pull * metric @ dual
+        while np.abs(totals - target).max() >= CLOSE and np.abs(gradient).max() > SOLVED + ROUNDING * np.abs(dual).max() and evaluations < MAX_EVALUATIONS:
+            step, value = np.linalg.solve(curve + pull * metric, gradient), half + target @ dual + pull / 2 * dual @ metric @ dual
+            along, was, size = gradient @ step, np.abs(gradient).max(), 1.0
+            while evaluations < MAX_EVALUATIONS:
+                moved = dual + size * step
+                totals, half, curve = at(moved)
+                evaluations += 1
+                gradient = totals - target - pull * metric @ moved
+                lower = half + target @ moved + pull / 2 * moved @ metric @ moved <= value - 1e-4 * size * along
+                if lower or np.abs(gradient).max() < was / 2 or size < 1e-6:  # near the end values differ by less than rounding
+                    break
+                size /= 2
+            dual = moved
+            if size < 1e-6:
+                break
+        if np.abs(totals - target).max() < CLOSE:
+            return dual
+        # the distance to the nearest totals is no more than this (see the module's text)
+        slope = weights @ (totals - target)
+        short = max(0.0, -lowest(slope))
+        off = short + math.sqrt(short * short + 2 * max(0.0, slope @ totals + short * totals.sum()))
+        if off < CLOSE:
+            return dual
+    raise RuntimeError(f"mixing rates not found in {evaluations} evaluations: totals {totals.tolist()} for targets {targets}, up to {off:.2g} from the nearest")
+
+
+def fit_rates(posteriors: DataFrame, targets: list[float]) -> DataFrame:
     """``posteriors`` (n_tokens, p0, p1, ...) with a column rate; ``targets`` are shares of the present total of tokens."""
     k = len(targets)
-    sums = [F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(i, k)]
-    first = posteriors.agg(F.sum("n_tokens"), *sums).first()
-    total = first[0] or 0
-    rows = posteriors.withColumn("rate", F.lit(1.0))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    total = posteriors.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
-        return rows
-    gram = np.zeros((k, k))
-    gram[np.triu_indices(k)] = np.array([float(x) for x in first[1:]]) / total
-    gram = gram + np.triu(gram, 1).T
-    weights = np.linalg.inv(gram + np.eye(k) * 1e-6)
-    for step in range(1, STEPS + 1):
-        reached = np.array([float(x) for x in rows.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")) for i in range(k)]).first()]) / total
-        residual = reached - np.array(targets)
-        if np.abs(residual).max() < CLOSE:
-            break
-        gradient = weights @ residual
-        move = sum((F.col(f"p{i}") * float(g) for i, g in enumerate(gradient)), F.lit(0.0))
-        rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
-        if step % STAGE_EVERY == 0:
-            rows = stages.put(f"rates-{step}", rows)
-    return rows
+        return posteriors.withColumn("rate", F.lit(1.0))
+
+    def along(v: np.ndarray) -> Column:
+        return sum((F.col(f"p{i}") * float(x) for i, x in enumerate(v)), F.lit(0.0))
+
+    def at(dual: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        share, raw = F.col("n_tokens") / float(total), 1.0 - along(dual)
+        rows = posteriors.select("*", F.greatest(F.lit(0.0), raw).alias("rate"), share.alias("share"), F.when(raw > 0, share).otherwise(0.0).alias("kept"))
+        sums = [F.sum(F.col("rate") * F.col("share") * F.col(f"p{i}")) for i in range(k)] + [F.sum(F.col("rate") * F.col("rate") * F.col("share")) / 2]
+        got = [float(x) for x in rows.agg(*sums, *[F.sum(F.col("kept") * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k + 1 :]):
+            curve[i, j] = curve[j, i] = x
+        return np.array(got[:k]), got[k], curve
+
+    dual = solve(at, lambda v: float(posteriors.agg(F.min(along(v))).first()[0]), targets)
+    return posteriors.withColumn("rate", F.greatest(F.lit(0.0), 1.0 - along(dual)))
 
 
 def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: str = "mix") -> DataFrame:
@@ -155,7 +200,7 @@ def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, f
     shares = {d: t / sum(targets.values()) for d, t in sorted(targets.items())}
     model = fit(documents, labelled, shares, stages)
     known = stages.put("posteriors", model.posteriors(with_tokens(documents)))
-    rates = fit_rates(known, list(shares.values()), stages)
+    rates = fit_rates(known, list(shares.values()))
     # a hash in [0, 1) of the document decides about the part of a copy
     draw = F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")

@@ -3,6 +3,7 @@ import random
 import re
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,55 @@ def test_mixing_edges(spark):
         mixing.mixing_rates(df, none, {"x": 0})
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 1), (5, None, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.domain for r in mixing.label_domains(labels).collect()} == {1: "good", 2: "plain", 3: "toxic", 4: "toxic"}
+
+
+def plain_rates(n, p, targets):
+    """``mixing.solve`` over arrays: rates and totals."""
+    n = n / n.sum()
+
+    def at(dual):
+        raw = 1 - p @ dual
+        rate = np.maximum(raw, 0)
+        return (rate * n) @ p, (rate**2 * n).sum() / 2, (p * (n * (raw > 0))[:, None]).T @ p
+
+    rate = np.maximum(1 - p @ mixing.solve(at, lambda v: (p @ v).min(), targets), 0)
+    return rate, (rate * n) @ p
+
+
+def hot_domain(soft, rows=4000):
+    rng = np.random.default_rng(5)
+    p = np.exp(rng.normal(0, 1, (rows, 3)) + soft * np.eye(3)[rng.choice(3, rows, p=[0.98, 0.01, 0.01])])
+    return rng.integers(5, 400, rows), p / p.sum(axis=1, keepdims=True)
+
+
+def test_mixing_meets_targets_with_soft_posteriors_and_a_hot_domain(spark):
+    n, p = hot_domain(2.5)
+    df = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(n, p)], "n_tokens long, p0 double, p1 double, p2 double").coalesce(2)
+    out = mixing.fit_rates(df, [0.3, 0.4, 0.3]).collect()
+    got = sum(r.rate * r.n_tokens * np.array([r.p0, r.p1, r.p2]) for r in out) / n.sum()
+    assert len(out) == 4000 and min(r.rate for r in out) == 0 and np.abs(got - [0.3, 0.4, 0.3]).max() < mixing.CLOSE
+    rate, _ = plain_rates(n, p, [0.3, 0.4, 0.3])
+    assert np.abs(np.array([r.rate for r in out]) - rate).max() < 1e-6
+
+
+@pytest.mark.parametrize("soft", [0.5, 1.0, 2.5, 6.0])
+@pytest.mark.parametrize("targets", [[0.3, 0.4, 0.3], [0.9, 0.08, 0.02], [0.4, 0.3, 0.3]])
+def test_mixing_targets_within_reach_are_met(soft, targets):
+    rate, totals = plain_rates(*hot_domain(soft), targets)
+    assert rate.min() >= 0 and np.abs(totals - targets).max() < mixing.CLOSE
+
+
+def test_mixing_finds_the_nearest_totals_where_targets_are_out_of_reach():
+    n, p = np.array([10, 30, 20, 40]), np.array([[0.5, 0.5], [0.6, 0.4], [0.8, 0.2], [0.55, 0.45]])
+    w = np.linalg.inv((p * (n / 100)[:, None]).T @ p + np.eye(2) * 1e-6)
+    best = p[0] * (p[0] @ w @ [0.1, 0.9]) / (p[0] @ w @ p[0])  # on the edge of the cone, the first row's ray
+    rate, totals = plain_rates(n, p, [0.1, 0.9])
+    assert np.abs(totals - best).max() < mixing.CLOSE and rate[1:].max() < 0.01
+    rate, totals = plain_rates(np.array([10, 30]), np.array([[1.0, 1e-22]] * 2), [0.7, 0.3])
+    assert np.abs(totals - [0.7, 0]).max() < 1e-3
+
+
+def test_mixing_raises_when_no_solution_is_reached(monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_EVALUATIONS", 1)
+    with pytest.raises(RuntimeError, match="mixing rates not found"):
+        plain_rates(*hot_domain(1.0), [0.3, 0.4, 0.3])
