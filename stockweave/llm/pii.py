@@ -19,6 +19,8 @@ ROUNDS = 8
 
 #: The formats, as regular expressions; the first that fits a match names its kind.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+QUADS = r"(?:[3-6]\d|2[2-7])\d\d(?:[ -]\d{4}){3}"
+CARD = rf"(?:\d{{13,19}}|{QUADS}(?:[ -]\d{{3}})?|3\d{{3}}[ -]\d{{6}}[ -]\d{{4,5}})(?![\w-])"
 KINDS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}",
     "iso_date": r"(?<![\d.-])(?:1[89]|2[01])\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
@@ -26,8 +28,10 @@ KINDS = {
     "eu_date": r"(?<![\d.])(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:1[89]|2[01])\d\d(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    # +1 or brackets mark a phone, so any digits do; the rest is held to the numbering plan
+    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[ .-]?)?[2-9]\d\d[ .-][2-9]\d\d[ .-]\d{4})(?![\w-])",
+    # one run or regular groups; else any grouping, but not over the start of a card in regular form or into an address or date
+    "card": rf"(?<![\w.-])(?:{CARD}|\d(?:\d|[ -](?!{CARD})\d){{12,18}}(?![\w-]|[./]\d))",
 }
 #: 400 years of the calendar have 146,097 days, which is 627 * 233.
 DATE_FORMATS = {"iso_date": "yyyy-MM-dd", "us_date": "MM/dd/yyyy", "eu_date": "dd.MM.yyyy"}
@@ -72,13 +76,23 @@ def card(key: str) -> str:
     body = f"concat(substr(d, 1, 1), lpad(cast(f.a as string), {half}, '0'), lpad(cast(f.b as string), length(d) - 2 - {half}, '0'))"
     checked = let("n", body, f"concat(n, cast((10 - {luhn_sum('concat(n, 0)')} % 10) % 10 as string))")
     made = let("f", pair, let("g", checked, refill("m", "g")))
-    return let("d", digits_of("m"), f"if({luhn_sum('d')} % 10 = 0, {made}, null)")
+    valid = let("d", digits_of("m"), f"if({luhn_sum('d')} % 10 = 0, {made}, null)")
+    # three digits after four groups are part of the card or a number beside it
+    beside = f"if(m rlike {text_literal('^' + QUADS + '[ -][0-9]{3}$')}, concat({let('m', 'substr(m, 1, 19)', valid)}, substr(m, 20)), null)"
+    return f"coalesce({valid}, {beside})"
 
 
 def phone(key: str) -> str:
+    """Numbers of the numbering plan (area and exchange from 200) stay such; the 3.6e9 others are permuted among themselves."""
     pair = feistel("substr(d, -10, 3) - 200", "substr(d, -7, 7) - 2000000", "800L", "8000000L", "phone", key)
     made = "concat(substr(d, 1, length(d) - 10), cast(200 + f.a as string), cast(2000000 + f.b as string))"
-    return let("d", digits_of("m"), let("f", pair, let("g", made, refill("m", "g"))))
+    area, rest = "cast(substr(d, -10, 3) as bigint)", "cast(substr(d, -7, 7) as bigint)"
+    place = f"if({area} < 200, {area} * 10000000 + {rest}, 2000000000 + ({area} - 200) * 2000000 + {rest})"
+    other = feistel("n div 60000", "n % 60000", "60000L", "60000L", "phone-other", key)
+    number = "if(x < 2000000000, x, 2000000000 + ((x - 2000000000) div 2000000) * 10000000 + (x - 2000000000) % 2000000)"
+    remade = let("n", place, let("f", other, let("x", "f.a * 60000 + f.b", f"concat(substr(d, 1, length(d) - 10), lpad(cast({number} as string), 10, '0'))")))
+    planned = f"{area} >= 200 and {rest} >= 2000000"
+    return let("d", digits_of("m"), let("g", f"if({planned}, {let('f', pair, made)}, {remade})", refill("m", "g")))
 
 
 def ssn(key: str) -> str:
