@@ -460,7 +460,8 @@ def _(r: Pipeline) -> DataFrame:
 
 
 # ------------------------------------------------------------------ forecast
-@register("j1_forecast_all_models")
+@register("j1_forecast_naive_models")
+@register("j1_forecast_all_models", ALL_MODELS)
 def _(r: Pipeline) -> DataFrame:
     return r.forecast_all()
 

@@ -686,7 +686,7 @@ register("i2_blind_preselection", "preselection", _sel + "preselection")
 register("i3_blind_regret", "regret", f"SELECT cluster, pre_registered_model, best_model_in_hindsight, n, choice_held, {rr('blind_wape_pre_registered', 'blind_wape_best', 'regret', 'coverage_90_pre_registered')} FROM regret")
 register("i4_weighted_means", "regret", f"SELECT {r4('sum(blind_wape_pre_registered * n) / sum(n)', 'blind_wape')}, {r4('sum(blind_wape_best * n) / sum(n)', 'blind_wape_best')} FROM regret")
 _fc = "upc, cedis, h, target_week, origin, model, n_weeks_at_origin, origin_label, cluster, " + rr(*QS)
-register("j1_forecast_all_models", "fc_all", f"SELECT {_fc} FROM fc_all")
+register("j1_forecast_naive_models", "fc_all", f"SELECT {_fc} FROM fc_all")
 for name, label in (("j2_selected_forecast", "final"), ("j3_risk_origin_forecast", "risk_eval")):
     register(name, "fc", f"SELECT {_fc}, is_discontinued, is_high_promo, is_cold_start FROM fc WHERE origin_label = '{label}'")
 register("k_lognormal_maths", "fc series", f"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stockweave.params import QCOLS, SERIES
-from stockweave.plans.pipeline import ALL_MODELS, Pipeline
+from stockweave.plans.pipeline import ALL_MODELS, NAIVE_MODELS, Pipeline
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +78,9 @@ def test_entry_and_query_contract(spark):
     assert set(sql) <= set(entry.queries())
     rows_only = {n for n in queries if n not in sql}
     assert all(n.endswith("_all_models") or n in {"f11_encoded_features", "f12_boosted_quantiles", "l8_isolation_forest"} for n in rows_only)
+
+
+def test_forecast_of_all_models_has_all_of_them(spark):
+    models = lambda name: {r.model for r in entry.QUERIES[name](spark, SF).select("model").distinct().collect()}
+    assert models("j1_forecast_all_models") == set(ALL_MODELS) and models("j1_forecast_naive_models") == set(NAIVE_MODELS)
+    assert "j1_forecast_all_models" not in entry.oracle_sql() and "j1_forecast_naive_models" in entry.oracle_sql()
