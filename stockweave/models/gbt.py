@@ -1,8 +1,8 @@
 """Global boosted-tree model on scaled targets with split-conformal quantiles.
 
-Spark ML has no quantile objective, so one model is trained per origin and every quantile, the
-median included, is its prediction plus that quantile of the scaled errors on held-back target
-weeks, per (cluster, h).
+Spark ML has no quantile objective, so every quantile, the median included, is a prediction plus
+that quantile of the scaled errors on held-back target weeks, per (cluster, h). At each origin one
+model without those weeks gives the errors, and one trained on all known rows the prediction.
 """
 
 from __future__ import annotations
@@ -90,10 +90,11 @@ def gbt_quantiles(
             featureSubsetStrategy=s.column_share, minInstancesPerNode=s.rows_per_leaf, maxBins=64, seed=s.seed, checkpointInterval=10,
         )
         # every boosting round is a handful of jobs over the same rows: few, full tasks instead of many tiny ones
-        model = booster.fit(known.filter(F.col("target_week") <= cut).coalesce(n_tasks))
+        early = booster.fit(known.filter(F.col("target_week") <= cut).coalesce(n_tasks))
+        newest = booster.fit(known.coalesce(n_tasks))
         asked = inference(ready, origin).withColumn("role", F.lit("forecast"))
         held = known.filter(F.col("target_week") > cut).withColumn("role", F.lit("held_back"))
-        scored = model.transform(asked.unionByName(held))
+        scored = newest.transform(asked).unionByName(early.transform(held))
         return scored.select(
             F.lit(fold).alias("fold"), *SERIES, F.lit(origin).alias("origin"), "cluster", "h", "target_week", "scale", "role", "prediction",
             (F.col("y_scaled") - F.col("prediction")).alias("error"),
