@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import bpe, chat, dedup, langid, licences, mixing, partenum, pii, substrings, topk
+from stockweave.llm import audit, bpe, centroids, chat, dedup, langid, licences, mixing, partenum, pii, secrets, substrings, topk
 
 #: Key of the pseudonyms in the registered query; a real run passes its own secret.
 PII_KEY = "query-key"
@@ -60,10 +60,23 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_id, op2_pii_pseudonyms, op3_mixing, op4_ngram_jaccard, op5_top_k, op6_exact_dedup, op7_substring_dedup, op8_byte_bpe, op9_chat_format, op10_licence_scan)
 }
+QUERIES |= {f.__name__: f for f in (op11_filter_audit, op12_secret_scan, op13_centroids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard": r"""
@@ -113,3 +126,50 @@ ORACLE_SQL: dict[str, str] = {
                      cast(sum(chars) as bigint) as formatted_chars, bool_and(ok) as valid from v group by conv_id)
         select conv_id, n_turns, sha256(whole) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, valid from a""",
 }
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+    with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+    f as (select w.part, coalesce(l.good, 0) as good, coalesce(l.toxic, 0) as toxic,
+                 case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+                 || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+                 || case when coalesce(doc_id > min(doc_id) over (partition by t), false) then 'E' else '' end as bad
+          from w left join l using (doc_id)),
+    cells as materialized (select part, bad, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, bad),
+    x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    orders as materialized (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e
+                            where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    gone as (select part, bad, n, good, toxic, filter_order, coalesce(list_min(list_transform(string_split(bad, ''), lambda f: instr(filter_order, f))), 6) as first
+             from (select part, bad, n, good, toxic, filter_order from cells, orders where bad <> '')
+             union all select part, bad, n, good, toxic, filter_order, 6 from cells, orders where bad = ''),
+    steps as (select part, filter_order, step, substr(filter_order, step, 1) as f,
+                     sum(case when first > step then n else 0 end) as kept, sum(case when first = step then n else 0 end) as removed,
+                     sum(case when first < step and contains(bad, substr(filter_order, step, 1)) then n else 0 end) as redundant,
+                     sum(case when bad = substr(filter_order, step, 1) then n else 0 end) as unique_fails,
+                     sum(case when first = step then good else 0 end) as good_lost, sum(case when first = step then toxic else 0 end) as toxic_lost
+              from gone, (select unnest([1, 2, 3, 4, 5]) as step) group by part, filter_order, step)
+    select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+           cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+           cast(sum(removed) over (partition by part, f) as bigint) as shapley from steps"""
+
+
+def centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round is a pair of relations: the assignment and the moved centroids. Distances are exact in doubles at these sizes."""
+    ctes = [
+        """v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"c0 as materialized (select cast(row_number() over (order by sha256('2:' || cast(vec_id as varchar)), q) - 1 as integer) as cluster, q from v order by sha256('2:' || cast(vec_id as varchar)), q limit {k})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} as materialized (select r, first(cluster order by d, cluster) as cluster, min(d) as d from
+            (select v.r, c.cluster, list_dot_product(v.q, v.q) - 2 * list_dot_product(v.q, c.q) + list_dot_product(c.q, c.q) as d from v, c{i} c) group by r)""")
+        if i < rounds:
+            ctes.append(f"""m{i} as (select a.cluster, p, floor(sum(v.q[p]) / count(*)) as x from v join a{i} a using (r), (select unnest(generate_series(1, 64)) as p) group by a.cluster, p)""")
+            ctes.append(f"""c{i + 1} as materialized (select c.cluster, coalesce(n.q, c.q) as q from c{i} c left join (select cluster, list(x order by p) as q from m{i} group by cluster) n using (cluster))""")
+    return f"""with {", ".join(ctes)}
+        select v.vec_id, a.cluster, cast(a.d as bigint) as distance, cast(sum(a.d) over (partition by a.cluster) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia,
+               sha256(array_to_string(list_transform(c.q, lambda x: cast(cast(x as bigint) as varchar)), ',')) as centroid_sha256
+        from v join a{rounds} a using (r) join c{rounds} c using (cluster)"""
+
+
+ORACLE_SQL["op13_centroids"] = centroid_sql()
