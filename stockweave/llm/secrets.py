@@ -32,6 +32,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 MAX_DOCS = 5000
 #: Thousandths of the natural logarithm: a run is random if it is e ** 16 times as likely under that model.
 THRESHOLD = 16_000
+#: Weight, in counts, of a character's overall frequency in its frequency after another.
+BACKOFF = 10.0
 #: Numbers that one loop of a running sum goes over.
 BLOCK = 256
 
@@ -95,18 +97,23 @@ def labelled_strings(documents: DataFrame, max_docs: int = MAX_DOCS) -> DataFram
 def train(labelled: DataFrame) -> list[int]:
     """Scores of (last, next), row by row of last; row 0 is the start, characters outside the alphabet have code 0.
 
-    Thousandths of the log-likelihood ratio, counts with one added. Without strings of a class all its characters are as likely.
+    Thousandths of the log-likelihood ratio. Without strings of a class all its characters are as likely.
     """
     codes = F.transform(F.split("value", ""), lambda c: F.instr(F.lit(ALPHABET), c))
     pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.slice("codes", F.lit(1), F.size("codes") - 1)), "codes", lambda a, b: F.struct(a.alias("last"), b.alias("next")))
     usable = labelled.filter("length(value) > 0 and secret is not null").select("secret", codes.alias("codes"))
     counted = usable.select("secret", F.explode(pairs).alias("p")).groupBy("secret", "p.last", "p.next").agg(F.count(F.lit(1)).alias("n"))
     size = len(ALPHABET) + 1
-    counts = {s: [[1] * size for _ in range(size)] for s in (True, False)}
+    counts = {s: [[0] * size for _ in range(size)] for s in (True, False)}
     for r in counted.collect():  # 2 x 68 x 68 rows at most
         counts[r["secret"]][r["last"]][r["next"]] += r["n"]
-    log = {s: [[math.log(n / sum(row)) for n in row] for row in counts[s]] for s in counts}
-    return [round(1000 * (a - b)) for x, y in zip(log[True], log[False]) for a, b in zip(x, y)]
+
+    def likelihood(table: list[list[int]]) -> list[float]:
+        """log P(next | last); a character rarely or never seen as last leans on how often the next one occurs at all."""
+        anywhere = [1 + sum(row[b] for row in table) for b in range(size)]
+        return [math.log((n + BACKOFF * anywhere[b] / sum(anywhere)) / (sum(row) + BACKOFF)) for row in table for b, n in enumerate(row)]
+
+    return [round(1000 * (x - y)) for x, y in zip(likelihood(counts[True]), likelihood(counts[False]))]
 
 
 def ratio(value: Column, scores: list[int]) -> Column:
