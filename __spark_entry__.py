@@ -316,12 +316,10 @@ def _(r: Pipeline) -> DataFrame:
 
 @register("f11_encoded_features")
 def _(r: Pipeline) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     from stockweave.models import gbt
 
     rows = features.inference(r.horizon_rows(), r.p.last_week)
-    return gbt.vectorize(rows).select(*SERIES, "h", vector_to_array("features").alias("features"))
+    return gbt.encode(rows).select(*SERIES, *gbt.FEATURES)
 
 
 @register("f12_boosted_quantiles", ALL_MODELS)

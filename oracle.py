@@ -654,6 +654,25 @@ SELECT f.upc, f.cedis, CAST(h.h AS INTEGER) AS h, f.week_start + CAST(7 * h.h AS
 FROM (SELECT * FROM feats QUALIFY row_number() OVER (PARTITION BY upc, cedis ORDER BY week_start DESC) = 1) f CROSS JOIN (SELECT unnest(range(1, 9)) AS h) h
 LEFT JOIN feats l ON l.upc = f.upc AND l.cedis = f.cedis AND l.week_start = f.week_start + CAST(7 * h.h - 364 AS INTEGER)
 LEFT JOIN weekly_cal c ON c.week_start = f.week_start + CAST(7 * h.h AS INTEGER)""")
+cte("one_step", "feats", """
+SELECT upc, cedis, week_start, coalesce(cluster, '') AS cluster, y_capped / lag(scale) OVER (PARTITION BY upc, cedis ORDER BY week_start) AS r FROM feats""")
+for _key, _name in (("cluster", "k"), ("upc", "u"), ("cedis", "c")):
+    cte(f"stat_{_key}", "one_step", f"""
+SELECT {_key}, week_start, coalesce(sum(s) OVER w, 0.0::DOUBLE) AS {_name}_s, coalesce(sum(n) OVER w, 0) AS {_name}_n
+FROM (SELECT {_key}, week_start, sum(r) AS s, count(r) AS n FROM one_step GROUP BY ALL)
+WINDOW w AS (PARTITION BY {_key} ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+_codes = {"cluster": [f"{a}-{x}" for a in "ABC" for x in "XYZ"], "abc_class": list("ABC"), "xyz_class": list("XYZ")}
+_own = ["log_scale", *_f_doubles[2:]]
+register("f11_encoded_features", "feats weekly_cal stat_cluster stat_upc stat_cedis", f"""
+SELECT f.upc, f.cedis, {r4('h.h', 'h')}, {', '.join(r4(f'f.{c}', c) for c in _own)}, {r4('f.zero_days_last', 'zero_days_last')}, {r4('f.series_age', 'series_age')},
+       {r4('l.y_capped / f.scale', 'lag52_target')}, {', '.join(r4(f'c.{c.strip()}', c.strip()) for c in _cal7.split(','))},
+       {r4('(u_s + 20.0 * (k_s + 20.0) / (k_n + 20.0)) / (u_n + 20.0)', 'upc_stat')}, {r4('(c_s + 20.0 * (k_s + 20.0) / (k_n + 20.0)) / (c_n + 20.0)', 'cedis_stat')},
+       {', '.join(r4(f"nullif(list_position({v!r}, f.{k}), 0)", f'{k}_code') for k, v in _codes.items())}
+FROM (SELECT * FROM feats WHERE week_start = DATE '2001-10-29') f CROSS JOIN (SELECT unnest(range(1, 9)) AS h) h
+JOIN stat_cluster k ON k.cluster = coalesce(f.cluster, '') AND k.week_start = f.week_start
+JOIN stat_upc u ON u.upc = f.upc AND u.week_start = f.week_start JOIN stat_cedis s ON s.cedis = f.cedis AND s.week_start = f.week_start
+LEFT JOIN feats l ON l.upc = f.upc AND l.cedis = f.cedis AND l.week_start = f.week_start + CAST(7 * h.h - 364 AS INTEGER)
+LEFT JOIN weekly_cal c ON c.week_start = f.week_start + CAST(7 * h.h AS INTEGER)""")
 register("f13_calendar_union", "weekly weekly_cal", f"""
 SELECT week_start, {_cal7} FROM weekly_cal WHERE week_start IN (SELECT week_start FROM weekly WHERE week_start <= DATE '2001-10-01')
    OR week_start IN (SELECT CAST(DATE '2001-10-01' + CAST(7 * h AS INTEGER) AS DATE) FROM range(1, 9) r(h))""")

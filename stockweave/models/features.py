@@ -51,6 +51,33 @@ def series_features(weekly: DataFrame) -> DataFrame:
     )
 
 
+#: Rows at which a product's or centre's own mean counts as much as its cluster's.
+STAT_WEIGHT = 20.0
+
+
+def target_statistics(features: DataFrame) -> DataFrame:
+    """Adds ``upc_stat`` and ``cedis_stat``: smoothed means of the one-step target over the weeks before each row's week.
+
+    The target of a week is its capped sales over the scale known a week earlier. A mean is drawn to that of the cluster, and the
+    cluster's to 1. Sums are taken per key and week first, so a window has a row for each week and no target of the row's own
+    week or later enters.
+    """
+    label = F.col("y_capped") / F.lag("scale").over(_by_week())
+    rows = features.withColumns({"_label": label, "_cluster": F.coalesce("cluster", F.lit(""))})
+
+    def before(key: str, name: str) -> DataFrame:
+        weekly = rows.groupBy(key, "week_start").agg(F.sum("_label").alias("s"), F.count("_label").alias("n"))
+        past = Window.partitionBy(key).orderBy("week_start").rowsBetween(Window.unboundedPreceding, -1)
+        return weekly.select(key, "week_start", *[F.coalesce(F.sum(c).over(past), F.lit(0)).cast("double").alias(f"{name}_{c}") for c in ("s", "n")])
+
+    for key, name in (("_cluster", "k"), ("upc", "u"), ("cedis", "c")):
+        rows = rows.join(before(key, name), [key, "week_start"])
+    weight = F.lit(STAT_WEIGHT)
+    prior = (F.col("k_s") + weight) / (F.col("k_n") + weight)
+    stats = {f"{key}_stat": (F.col(f"{n}_s") + weight * prior) / (F.col(f"{n}_n") + weight) for key, n in (("upc", "u"), ("cedis", "c"))}
+    return rows.withColumns(stats).select(*features.columns, *stats)
+
+
 def lag52_lookup(weekly: DataFrame) -> DataFrame:
     """Capped sales keyed by the week they are last year's value of."""
     return weekly.select(*SERIES, F.date_add("week_start", 7 * SEASON_WEEKS).alias("target_week"), F.col("y_capped").alias("lag52_target_raw"))
@@ -75,8 +102,8 @@ def horizon_rows(weekly: DataFrame, weekly_cal: DataFrame, horizon: int) -> Data
         )
         for h in range(1, horizon + 1)
     ])
-    base = series_features(weekly).withColumn("_steps", steps)
-    rows = base.select(*SERIES, "week_start", "cluster", "abc_class", "xyz_class", *LEVEL_COLS, F.explode("_steps").alias("s"))
+    base = target_statistics(series_features(weekly).withColumn("_steps", steps))
+    rows = base.select(*SERIES, "week_start", "cluster", "abc_class", "xyz_class", *LEVEL_COLS, "upc_stat", "cedis_stat", F.explode("_steps").alias("s"))
     rows = rows.select(
         *[c for c in rows.columns if c != "s"], "s.*", F.date_add("week_start", F.col("s.h") * 7).alias("target_week"),
         (F.col("s.y_target") / F.col("scale")).alias("y_scaled"), (F.col("s.lag52_target_raw") / F.col("scale")).alias("lag52_target"),

@@ -13,7 +13,6 @@ from stockweave.functions import calendar as cal
 from stockweave.functions.metrics import summarize_forecasts, summarize_levels
 from stockweave.functions.quantiles import grouped_quantiles
 from stockweave.models import ets, features, gbt, iforest, naive
-from stockweave.models.future import eligible_series, with_folds
 from stockweave.operators import daily as D
 from stockweave.operators import gates as G
 from stockweave.operators import inventory as I
@@ -162,7 +161,7 @@ class Pipeline:
     def horizon_rows(self) -> DataFrame:
         return features.horizon_rows(self.weekly(), self.weekly_calendar(), self.p.horizon)
 
-    def _model(self, name: str, label: str, min_weeks: int) -> B.Model:
+    def _model(self, name: str, label: str) -> B.Model:
         h = self.p.horizon
         if name == "ma4":
             return lambda weekly, origins: naive.moving_average(weekly, origins, h)
@@ -172,25 +171,23 @@ class Pipeline:
             return lambda weekly, origins: ets.ets_damped(weekly, origins, h)
 
         def run_gbt(weekly: DataFrame, origins) -> DataFrame:
-            def eligible(rows: DataFrame, origin: date) -> DataFrame:
-                ok = eligible_series(with_folds(weekly.select(*SERIES, "week_start", "y"), [origin]), min_weeks)
-                return rows.join(ok.select(*SERIES), list(SERIES), "left_semi")
-
-            # the encoded rows serve every set of origins, the scored ones only theirs
-            def stage(stage_name: str, build) -> DataFrame:
-                return self.store.table(stage_name if stage_name == "gbt_rows" else f"{stage_name}_{label}", build)
-
-            return gbt.gbt_quantiles(self.horizon_rows(), eligible, origins, stage, gbt.GbtSettings(seed=self.p.seed))
+            found = gbt.gbt_quantiles(self.horizon_rows(), self.weekly(), self._gbt_tasks(), self.store.table, gbt.GbtSettings(seed=self.p.seed))
+            return found.filter(F.col("label") == label).drop("label")
 
         return run_gbt
 
-    def _models(self, label: str, min_weeks: int) -> list[B.Model]:
-        return [self._model(m, label, min_weeks) for m in self.models]
+    def _gbt_tasks(self) -> list[gbt.Task]:
+        """The models of the backtest and of the forecast, which one run trains together."""
+        past = [gbt.Task("backtest", i, o, self.p.cold_start_weeks) for i, o in enumerate(self.p.fold_origins())]
+        return past + [gbt.Task("forecast", i, o, 1) for i, o in enumerate((self.p.last_week, self.p.risk_origin))]
+
+    def _models(self, label: str) -> list[B.Model]:
+        return [self._model(m, label) for m in self.models]
 
     # ------------------------------------------------------------------ backtest
     def backtest(self) -> DataFrame:
         return self.store.table(f"backtest_{self.tag}", lambda: B.run_backtest(
-            self.weekly(), self._models("backtest", self.p.cold_start_weeks), self.p.fold_origins(), self.p.cold_start_weeks
+            self.weekly(), self._models("backtest"), self.p.fold_origins(), self.p.cold_start_weeks
         ))
 
     def metrics(self) -> DataFrame:
@@ -258,7 +255,7 @@ class Pipeline:
     # ------------------------------------------------------------------ forecast
     def forecast_raw(self) -> DataFrame:
         origins = {"final": self.p.last_week, "risk_eval": self.p.risk_origin}
-        return self.store.table(f"forecast_raw_{self.tag}", lambda: FC.forecast_at_origins(self.weekly(), self._models("forecast", 1), origins))
+        return self.store.table(f"forecast_raw_{self.tag}", lambda: FC.forecast_at_origins(self.weekly(), self._models("forecast"), origins))
 
     def forecast_all(self) -> DataFrame:
         return self.store.table(f"forecast_all_{self.tag}", lambda: FC.calibrated_forecast(self.forecast_raw(), self.series(), self.calibration()))

@@ -87,7 +87,9 @@ def test_models_tell_held_out_strings_apart(spark, scores):
 def test_training_from_documents_finds_unlisted_keys_and_leaves_prose_alone(spark):
     rng = random.Random(1)
     stems = ["ther", "ing", "onde", "schaft", "keit", "ation", "ment", "leque"]
-    prose = lambda: " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 5))) for _ in range(60))
+    word = lambda: "".join(rng.choice(stems) for _ in range(rng.randint(1, 5)))
+    styles = [word, lambda: rng.choice(S.ALPHABET[:26]) + word(), lambda: word().upper(), lambda: str(rng.randrange(10**9, 10**10))]
+    prose = lambda: " ".join(rng.choice(styles)() for _ in range(60))
     rows = [(i, prose() + f" token = \"{token(rng, 40, '0123456789abcdef')}\" " + prose()) for i in range(40)]
     rows += [(100 + i, prose() + f" {token(rng, 32)} card 4111111111111111 " + prose()) for i in range(4)] + [(200 + i, prose()) for i in range(120)]
     got = {r.doc_id: r for r in S.scan(frame(spark, rows)).collect()}
