@@ -44,10 +44,10 @@ N_LEVELS = len(LEVELS)
 
 @dataclass(frozen=True)
 class GbtSettings:
-    rounds: int = 6
-    trees: int = 8
+    rounds: int = 8
+    trees: int = 4
     depth: int = 4
-    step: float = 0.6
+    step: float = 0.5
     row_share: float = 0.8
     column_share: float = 0.5
     rows_per_leaf: int = 40
@@ -82,7 +82,7 @@ def encode(rows: DataFrame) -> DataFrame:
 
 
 def cuts(coded: DataFrame) -> list[list[float]]:
-    """Upper ends of the bins of each feature but the last, from one aggregation over all rows."""
+    """Upper ends of the bins of each feature but the last, from one aggregation over the rows (those every model may see)."""
     points = F.array(*[F.lit(i / (BINS - 1)) for i in range(1, BINS - 1)])
     found = coded.agg(*[F.percentile_approx(F.nanvl(F.col(c), F.lit(None).cast("double")), points, BIN_ACCURACY).alias(c) for c in FEATURES]).first()
     return [sorted(set(found[c] or [])) for c in FEATURES]
@@ -118,7 +118,7 @@ def taught(rows: DataFrame, weekly: DataFrame, tasks: Sequence[Task]) -> DataFra
 # ------------------------------------------------------------------ trees
 def leaf_of(bins: np.ndarray, splits: list[tuple[int, int]]) -> np.ndarray:
     """Leaf (or node) numbers; ``bins`` has a row for each feature."""
-    at = np.zeros(bins.shape[1], dtype=np.int32)
+    at = np.zeros(bins.shape[1], dtype=np.intp)
     for feature, upto in splits:
         at = at * 2 + (bins[feature] > upto)
     return at
@@ -134,7 +134,7 @@ def predict(bins: np.ndarray, rounds: list[list[Tree]], step: float) -> np.ndarr
 
 
 def in_sample(ticket: np.ndarray, mix: int, share: float) -> np.ndarray:
-    """Whether a row is in a tree's sample, by its hash."""
+    """Whether a row is in a round's sample, by its hash."""
     return ((ticket * np.uint64(mix)) >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))
 
 
@@ -167,25 +167,28 @@ def counting(shared, settings: GbtSettings):
             target = rows.column("y_scaled").to_numpy()
             bits, ticket = rows.column("models").to_numpy(), rows.column("ticket").to_numpy().view(np.uint64)
             for j, rounds in enumerate(models):
-                mine = np.flatnonzero(bits >> j & 1)
-                if not len(mine):
+                if not growing[j]:
                     continue
+                drawn = in_sample(ticket, growing[j][0].mix, settings.row_share) if rounds else True
+                mine = np.flatnonzero((bits >> j & 1).astype(bool) & drawn)
                 bins, y = np.ascontiguousarray(whole[:, mine]), target[mine]
                 now = predict(bins, rounds, settings.step)
-                above = (y < now).sum(axis=0)
+                if grown:
+                    cell = np.searchsorted(GRID, y - now) + np.arange(N_LEVELS)[:, None] * (len(GRID) + 1)
+                else:
+                    classes = N_LEVELS + 1
+                    above = (y < now).sum(axis=0, dtype=np.intp)
+                    scaled = bins.astype(np.intp) * classes
                 for k, tree in enumerate(growing[j]):
-                    pick = np.flatnonzero(in_sample(ticket[mine], tree.mix, settings.row_share)) if rounds else np.arange(len(mine))
-                    node = leaf_of(bins[:, pick], tree.splits)
                     nodes = 1 << len(tree.splits)
+                    node = leaf_of(bins, tree.splits)
                     if grown:
-                        cell = np.searchsorted(GRID, y[pick] - now[:, pick])
-                        flat = ((node * N_LEVELS + np.arange(N_LEVELS)[:, None]) * (len(GRID) + 1) + cell).ravel()
-                        found = np.bincount(flat, minlength=nodes * N_LEVELS * (len(GRID) + 1))
+                        size = N_LEVELS * (len(GRID) + 1)
+                        found = np.bincount((node * size + cell).ravel(), minlength=nodes * size)
                     else:
-                        classes = N_LEVELS + 1
-                        base, size = node * (BINS * classes) + above[pick], nodes * BINS * classes
-                        each = [np.bincount(base + bins[c, pick].astype(np.int32) * classes, minlength=size) for c in tree.columns]
-                        found = np.stack(each).reshape(len(each), nodes, BINS, classes).transpose(1, 0, 2, 3).ravel()
+                        base, size = node * (BINS * classes) + above, nodes * BINS * classes
+                        each = np.stack([np.bincount(base + scaled[c], minlength=size) for c in tree.columns])
+                        found = each.reshape(len(each), nodes, BINS, classes).transpose(1, 0, 2, 3).ravel()
                     sums[j, k] = sums[j, k] + found if (j, k) in sums else found
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in sums], pa.int32()), pa.array([k for _, k in sums], pa.int32()), pa.array([s.astype(np.int64).tobytes() for s in sums.values()], pa.binary())], names=["model", "tree", "counts"])
@@ -282,8 +285,9 @@ def train(rows: DataFrame, n_models: int, settings: GbtSettings) -> list[list[li
             models[j].append(trees)
     wide = max(1, round(settings.column_share * len(FEATURES)))
     for _ in range(settings.rounds):
-        drawn = [(np.sort(rng.permutation(len(FEATURES))[:wide]), int(rng.integers(1 << 62)) * 2 + 1) for _ in range(settings.trees)]
-        growing = [[Tree(columns, mix) for columns, mix in drawn] if m else [] for m in models]
+        mix = int(rng.integers(1 << 62)) * 2 + 1  # the trees of a round learn from one sample of the rows, each from columns of its own
+        drawn = [np.sort(rng.permutation(len(FEATURES))[:wide]) for _ in range(settings.trees)]
+        growing = [[Tree(columns, mix) for columns in drawn] if m else [] for m in models]
         for _ in range(settings.depth):
             pass_over(growing, grown=False)
         pass_over(growing, grown=True)
@@ -334,7 +338,7 @@ def gbt_quantiles(
     keep = [*SERIES, "week_start", "target_week", "step", "scale", "y_scaled", "models", "ticket"]
     # every pass is heavy per row and reads this table: its files are as many as the session has shuffle partitions
     ready = stage("gbt_rows", lambda: binned(
-        spread(taught(coded, weekly, tasks).select("*", F.col("h").cast("int").alias("step"), ticket), "ticket"), cuts(coded), keep
+        spread(taught(coded, weekly, tasks).select("*", F.col("h").cast("int").alias("step"), ticket), "ticket"), cuts(coded.filter(F.col("week_start") <= F.lit(min(t.origin for t in tasks)))), keep
     ).withColumnRenamed("step", "h"))
 
     def build() -> DataFrame:

@@ -125,23 +125,3 @@ def test_isolation_forest_ranks_the_odd_row_first_whatever_the_partitioning(spar
     second = {r.id: r.iforest_score for r in iforest.isolation_scores(df.repartition(5), ["a", "b"], ["id"], n_trees=30).collect()}
     assert first == second
     assert max(first, key=first.get) == 999 and 0 < min(first.values()) and max(first.values()) < 1
-
-
-def test_boosted_forecast_is_fitted_on_all_known_weeks(spark, monkeypatch):
-    class Newest:
-        """Predicts the day number of the newest week it was fitted on."""
-
-        def __init__(self, **_):
-            pass
-
-        def fit(self, df):
-            newest = df.agg(F.max("target_week")).first()[0]
-            return type("Model", (), {"transform": lambda _, rows: rows.withColumn("prediction", F.lit(float(newest.toordinal())))})()
-
-    monkeypatch.setattr(gbt, "GBTRegressor", Newest)
-    w = weekly(spark, {1: [float(i % 7) + 5 for i in range(60)]})
-    cal = w.select("week_start", *[F.lit(0).alias(c) for c in features.CALENDAR_COLS]).distinct()
-    rows, staged = features.horizon_rows(w, cal, 2), {}
-    gbt.gbt_quantiles(rows, lambda df, origin: df, [ORIGIN], lambda name, make: staged.setdefault(name, make()))
-    got = {r.role: date.fromordinal(int(r.prediction)) for r in staged["gbt_scored"].select("role", "prediction").distinct().collect()}
-    assert got == {"forecast": ORIGIN, "held_back": ORIGIN - timedelta(weeks=13)}
