@@ -560,6 +560,13 @@ def _(r: Pipeline) -> DataFrame:
     return r.alerts()
 
 
+# all three alert methods on the forecasts of the naive models
+register("l12_three_methods")(lambda r: r.method_metrics())
+register("l14_three_methods")(lambda r: R.lead_time_table(r.labeled()))
+register("l16_three_methods")(lambda r: r.alerts())
+register("o3_three_methods")(lambda r: RP.alert_activity(r.labeled(), R.METHODS))
+
+
 # ------------------------------------------------------------------ orders
 @register("m1_moq_rounding")
 def _(r: Pipeline) -> DataFrame:

@@ -725,15 +725,89 @@ register("l12_method_metrics", "by_method", f"SELECT method, {confusion('alert',
 register("l13_threshold_sweep", "labeled", " UNION ALL ".join(
     [f"SELECT 'cover' AS method, {r4(d(float(k)), 'threshold')}, {confusion(f'(cover_days < {k})', 'label_7d = 1')} FROM labeled WHERE label_7d IS NOT NULL" for k in (3, 5, 7, 10, 14, 21, 28)]
     + [f"SELECT 'prob' AS method, {r4(d(p), 'threshold')}, {confusion(f'(p_stockout_7d > {d(p)})', 'label_7d = 1')} FROM labeled WHERE label_7d IS NOT NULL" for p in (0.1, 0.2, 0.3, 0.5, 0.7, 0.9)]))
-register("l14_lead_times", "by_method", f"""
+
+
+def lead_times_sql(source: str) -> str:
+    return f"""
 SELECT method, count(*) AS n_onsets, count(lead) AS n_onsets_alerted, {r4('median(lead)', 'median_lead_time_days')}
 FROM (SELECT e.method, e.upc, e.cedis, e.date, e.date - min(a.date) AS lead
-      FROM (SELECT * FROM by_method WHERE episode_onset) e LEFT JOIN (SELECT * FROM by_method WHERE alert) a
+      FROM (SELECT * FROM {source} WHERE episode_onset) e LEFT JOIN (SELECT * FROM {source} WHERE alert) a
         ON a.method = e.method AND a.upc = e.upc AND a.cedis = e.cedis AND a.date >= e.date - 7 AND a.date < e.date
-      GROUP BY e.method, e.upc, e.cedis, e.date) GROUP BY method""")
+      GROUP BY e.method, e.upc, e.cedis, e.date) GROUP BY method"""
+
+
+register("l14_lead_times", "by_method", lead_times_sql("by_method"))
 register("l16_alert_list", "alerts", f"""
 SELECT upc, cedis, cluster, date, stores_reporting, cover_threshold, alert_cover, alert_prob, severity, {rr('on_hand', 'stockout_store_share', 'daily_mean_7d', 'cover_days', 'p_stockout_7d')},
        {r4('fwd50', 'demand_7d_p50')}, {r4('fwd90', 'demand_7d_p90')} FROM alerts""")
+# ------------------------------------------------------------------ isolation forest: whole numbers, level by level
+_IF_FEATURES = ("log_cover", "p_stockout_7d", "sales_ratio_1d", "sales_ratio_7d", "on_hand_change_3d", "promo_flag")
+_IF_PRIME, _IF_ROWS, _IF_TREES, _IF_SEED = 2147483647, 256, 100, 42
+
+
+def _hex(text: str, digits: int) -> str:
+    """The first hex digits of an MD5 as a number."""
+    return f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
+
+
+def _path(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1000000 ELSE CAST(round(1000000 * (2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + {d(0.5772156649015329)}) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n})) AS BIGINT) END"
+
+
+def forest(prefix: str, source: str) -> None:
+    """CTEs up to ``<prefix>_scores``: (upc, cedis, date, iforest_score) of every row of the source."""
+    fs = [f"f{i}" for i in range(len(_IF_FEATURES))]
+    values = ", ".join(f"CAST(floor(least(greatest(coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE), -1e8::DOUBLE), 1e8::DOUBLE) * 10000.0::DOUBLE + 0.5003::DOUBLE) AS BIGINT) AS {f}" for c, f in zip(_IF_FEATURES, fs))
+    key = "upc || '|' || cedis || '|' || date"
+    cte(f"{prefix}_rows", source, f"SELECT upc, cedis, date, {_hex(key, 12)} % {_IF_PRIME} AS h1, CAST('0x' || substr(md5({key}), 13, 12) AS BIGINT) % {_IF_PRIME} AS h2, {values} FROM {source}")
+    part = lambda name: _hex(f"'{_IF_SEED}:' || tree || ':{name}'", 8) + f" % {_IF_PRIME - 1}"
+    cte(f"{prefix}_trees", "", f"SELECT tree, {part('a')} + 1 AS a, {part('b')} AS b, {part('c')} + 1 AS c, {part('d')} AS d FROM range({_IF_TREES}) r(tree)")
+    cte(f"{prefix}_1", f"{prefix}_rows {prefix}_trees", f"""
+SELECT tree, CAST(1 AS BIGINT) AS node, {', '.join(fs)} FROM (
+  SELECT tree, {', '.join(fs)}, row_number() OVER (PARTITION BY tree ORDER BY (h1 * a + b) % {_IF_PRIME}, (h2 * c + d) % {_IF_PRIME}, {', '.join(fs)}) AS place
+  FROM {prefix}_rows, {prefix}_trees) WHERE place <= {_IF_ROWS}""")
+    cte(f"{prefix}_size", f"{prefix}_rows", f"SELECT least(count(*), {_IF_ROWS}) AS n FROM {prefix}_rows")
+    pick = "list_extract({}, feature + 1)".format("[" + ", ".join(fs) + "]")
+    for level in range(1, 10):
+        spans = "[" + ", ".join(f"max({f}) - min({f})" for f in fs) + "]"
+        lows = "[" + ", ".join(f"min({f})" for f in fs) + "]"
+        cte(f"{prefix}_n{level}", f"{prefix}_{level} {prefix}_size", f"""
+SELECT tree, node, feature, CASE WHEN feature >= 0 THEN list_extract(lows, feature + 1) + (list_extract(spans, feature + 1) * {_hex(f"'{_IF_SEED}:' || tree || ':' || node || ':cut'", 5)}) // 1048576 END AS threshold,
+       {level - 1} * 1000000 + {_path('n')} AS path
+FROM (SELECT *, CASE WHEN len(usable) = 0 OR {level - 1} >= (SELECT length(bin(greatest(n - 1, 1))) FROM {prefix}_size) THEN -1
+                     ELSE list_extract(usable, 1 + {_hex(f"'{_IF_SEED}:' || tree || ':' || node || ':feature'", 8)} % len(usable)) END AS feature
+      FROM (SELECT tree, node, count(*) AS n, {lows} AS lows, {spans} AS spans, list_filter([{', '.join(str(i) for i in range(len(fs)))}], lambda i: list_extract({spans}, i + 1) > 0) AS usable
+            FROM {prefix}_{level} GROUP BY tree, node))""")
+        if level < 9:
+            cte(f"{prefix}_{level + 1}", f"{prefix}_{level} {prefix}_n{level}", f"""
+SELECT tree, 2 * node + CAST({pick} > threshold AS BIGINT) AS node, {', '.join(fs)} FROM {prefix}_{level} JOIN {prefix}_n{level} USING (tree, node) WHERE feature >= 0""")
+    cte(f"{prefix}_nodes", " ".join(f"{prefix}_n{i}" for i in range(1, 10)), " UNION ALL ".join(f"SELECT * FROM {prefix}_n{i}" for i in range(1, 10)))
+    walk = f"SELECT upc, cedis, date, {', '.join(fs)}, tree, CAST(1 AS BIGINT) AS node FROM {prefix}_rows, {prefix}_trees"
+    for _ in range(8):
+        walk = f"SELECT upc, cedis, date, {', '.join(fs)}, w.tree, CASE WHEN feature >= 0 THEN 2 * w.node + CAST({pick} > threshold AS BIGINT) ELSE w.node END AS node FROM ({walk}) w JOIN {prefix}_nodes n ON n.tree = w.tree AND n.node = w.node"
+    cte(f"{prefix}_scores", f"{prefix}_rows {prefix}_trees {prefix}_nodes {prefix}_size", f"""
+SELECT upc, cedis, date, pow(2.0::DOUBLE, -CAST(sum(path) AS DOUBLE) / CAST({_IF_TREES} * (SELECT greatest({_path('n')}, 1) FROM {prefix}_size) AS DOUBLE)) AS iforest_score
+FROM ({walk}) w JOIN {prefix}_nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY upc, cedis, date""")
+    cte(f"{prefix}_scored", f"{source} {prefix}_scores", f"""
+SELECT s.*, i.iforest_score, coalesce(i.iforest_score > (SELECT quantile_cont(iforest_score, {d(1 - 0.05)}) FROM {prefix}_scores), false) AS alert_iforest
+FROM {source} s JOIN {prefix}_scores i USING (upc, cedis, date)""")
+
+
+forest("win", "labeled")
+forest("asof", "scored_asof")
+register("l8_isolation_forest", "win_scored", f"SELECT upc, cedis, date, promo_flag, {rr(*_IF_FEATURES[:5])}, {rr('iforest_score')}, alert_iforest FROM win_scored")
+cte("by_three", "win_scored", """
+SELECT upc, cedis, date, cover_days, label_7d, episode_onset, method, CASE method WHEN 'cover' THEN alert_cover WHEN 'prob' THEN alert_prob ELSE alert_iforest END AS alert
+FROM win_scored CROSS JOIN (SELECT unnest(['cover', 'prob', 'iforest']) AS method)""")
+register("l12_three_methods", "by_three", f"SELECT method, {confusion('alert', 'label_7d = 1')}, {r4('median(cover_days) FILTER (alert)', 'median_cover_at_alert')} FROM by_three WHERE label_7d IS NOT NULL GROUP BY method")
+register("l14_three_methods", "by_three", lead_times_sql("by_three"))
+register("l16_three_methods", "asof_scored", f"""
+SELECT upc, cedis, cluster, date, stores_reporting, cover_threshold, alert_cover, alert_prob, alert_iforest, {rr('iforest_score')},
+       CASE WHEN p_stockout_7d > 0.75 OR cover_days < lead_time_days THEN 'high' WHEN alert_cover OR alert_prob OR alert_iforest THEN 'medium' ELSE 'none' END AS severity,
+       {rr('on_hand', 'stockout_store_share', 'daily_mean_7d', 'cover_days', 'p_stockout_7d')}, {r4('fwd50', 'demand_7d_p50')}, {r4('fwd90', 'demand_7d_p90')}
+FROM asof_scored WHERE date = DATE '2001-11-01'""")
+register("o3_three_methods", "win_scored", f"""
+SELECT upc, cedis, count(*) FILTER (event) AS events, count(*) FILTER (alert_cover OR alert_prob OR alert_iforest) AS alerts, {r4('median(cover_days)', 'cover')} FROM win_scored GROUP BY upc, cedis""")
 register("m1_moq_rounding", "weekly", f"""
 SELECT upc, cedis, week_start, {r4('y - 100', 'qty')}, moq, {r4('CASE WHEN y - 100 <= 0 THEN 0.0::DOUBLE ELSE ceil((y - 100) / moq) * moq END', 'order_qty')} FROM weekly WHERE y IS NOT NULL""")
 register("m2_protection_demand", "protect", f"SELECT upc, cedis, {rr(*QS)}, weeks_available FROM protect")

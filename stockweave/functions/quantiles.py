@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.params import QCOLS
-from stockweave.sources.staging import StageStore
 
-#: Most rows of one group that a task sorts; larger groups are narrowed first. It decides the work, never the result.
-MOST_SORTED = 1_000_000
-#: Steps of the grid of approximate quantiles that narrows a group, and the accuracy of the sketch behind it.
-GRID, SKETCH_ACCURACY = 100, 2000
-#: Brackets (groups times wanted levels) that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Buckets of values for each power of two. It decides how large a group's last sorted piece is, never the result.
+PER_OCTAVE = 256
+#: No double's logarithm lies below.
+_LEAST_LOG = 746.0
+_NULLS = -(2**31)
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -26,79 +24,64 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.withColumn("_q", F.when(whole, F.sort_array(known)).otherwise(known)).select(*rest, *[F.element_at("_q", i + 1).alias(q) for i, q in enumerate(QCOLS)])
 
 
-def _same(keys: Sequence[str]) -> Column:
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return match
+def _bucket(v: Column, per_octave: int) -> Column:
+    """A number that never falls as the value grows: sign, power of two and its fraction; NaN comes last."""
+    size = F.floor((F.log(F.abs(v)) + _LEAST_LOG) * (per_octave / 0.6931471805599453)).cast("int")
+    last = 2**31 - 1
+    return (
+        F.when(F.isnan(v), F.lit(last)).when(v == float("inf"), F.lit(last - 1)).when(v == float("-inf"), F.lit(-last))
+        .when(v > 0, size + 1).when(v < 0, -size - 1).when(v == 0, F.lit(0))
+    )
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], most_sorted: int = MOST_SORTED) -> DataFrame:
-    """Linearly interpolated quantiles per group, exact at any group size.
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], per_octave: int = PER_OCTAVE) -> DataFrame:
+    """Linearly interpolated quantiles per group, exact at any group size; lazy, the input is read once.
 
     ``wanted`` maps each output column to (value column, level). NULL values are skipped, NaN is the largest, keys may be
     NULL. Every group of ``df`` has a row; without a value its quantiles are NULL. Without keys there is one row.
 
-    Each wanted rank has a bracket of values, at first without ends. While a group holds more than ``most_sorted`` rows, a
-    grid of approximate quantiles narrows the brackets about fiftyfold and a counting pass makes their ranks exact. The rows
-    inside are then reduced to distinct values with counts and ranked. Brackets are joined to the rows where these are read
-    (broadcast, if they are few enough), so no row is exchanged by its group before it has been counted.
+    A selection by digits: values are counted by (group, value), so a group of any size is spread over all tasks and
+    exchanged as counts; those are summed by bucket (a few thousand for each group), which tells the buckets that hold the
+    wanted ranks; only the values of these are put in order. Both uses of the counts share one exchange.
     """
     keys = list(keys)
-    store = StageStore(df.sparkSession, "quantiles")
     columns = list(dict.fromkeys(column for column, _ in wanted.values()))
-    sizes = store.table("sizes", lambda: df.groupBy(*keys).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)]))
-    groups, largest = sizes.agg(F.count(F.lit(1)), F.greatest(*[F.max(f"_n{i}") for i in range(len(columns))], F.lit(0))).first()
-
-    levels = F.array(*[
-        F.struct(F.lit(name).alias("_level"), F.lit(columns.index(c)).alias("_of"), ((F.col(f"_n{columns.index(c)}") - 1) * q).alias("_pos"))
-        for name, (c, q) in wanted.items()
-    ])
-    other = [F.col(k).alias(f"_r_{k}") for k in keys]
-    none = F.lit(None).cast("double")
-    brackets = sizes.select(*other, F.explode(levels).alias("_l")).select(*[f"_r_{k}" for k in keys], "_l.*").filter("_pos >= 0")
-    brackets = brackets.select("*", F.lit(0).cast("long").alias("_base"), none.alias("_from"), none.alias("_to"))
     values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
-    data = df.select(*keys, F.explode(values).alias("_x")).select(*keys, "_x._c", "_x._v").filter(F.col("_v").isNotNull())
-    few = groups * len(wanted) <= BROADCAST_ROWS
-    state = ["_level", "_of", "_pos", "_base", "_from", "_to"]
-
-    def inside(brackets: DataFrame) -> DataFrame:
-        within = (F.col("_from").isNull() | (F.col("_v") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_v") <= F.col("_to")))
-        return data.join(F.broadcast(brackets) if few else brackets, _same(keys) & (F.col("_c") == F.col("_of")) & within)
-
-    turn = 0
-    while largest > most_sorted:
-        turn += 1
-        points = [i / GRID for i in range(GRID + 1)]
-        grid = inside(brackets).groupBy(*keys, *state).agg(F.count(F.lit(1)).alias("_m"), F.percentile_approx("_v", points, SKETCH_ACCURACY).alias("_g"))
-        # a grid step on either side, far more than the sketch can be off
-        at = (F.col("_pos") - F.col("_base")) / F.greatest(F.col("_m") - 1, F.lit(1)) * GRID
-        low = F.element_at("_g", F.greatest(F.floor(at), F.lit(1)).cast("int"))
-        high = F.element_at("_g", F.least(F.ceil(at) + 2, F.lit(GRID + 1)).cast("int"))
-        tight = grid.select(*other, *state, low.alias("_lo"), high.alias("_hi"))
-        counted = inside(tight).groupBy(*keys, *state, "_lo", "_hi").agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(F.col("_v") <= F.col("_hi")).alias("_upto")
-        )
-        low_ok, high_ok = F.floor("_pos") >= F.col("_base") + F.col("_below"), F.ceil("_pos") < F.col("_base") + F.col("_upto")
-        brackets = store.table(f"brackets-{turn}", lambda counted=counted, low_ok=low_ok, high_ok=high_ok: counted.select(
-            *other, "_level", "_of", "_pos", F.when(low_ok, F.col("_base") + F.col("_below")).otherwise(F.col("_base")).alias("_base"),
-            F.when(low_ok, F.col("_lo")).otherwise(F.col("_from")).alias("_from"), F.when(high_ok, F.col("_hi")).otherwise(F.col("_to")).alias("_to"),
-        ))
-        largest = largest * 4 // GRID  # a bracket spans at most four steps, but for ties, which the next step counts as one
-
-    ties = inside(brackets).groupBy(*keys, "_level", "_pos", "_base", "_v").agg(F.count(F.lit(1)).alias("_m"))
-    by_value = Window.partitionBy(*keys, "_level").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.withColumn("_end", F.col("_base") + F.sum("_m").over(by_value)).withColumn("_start", F.col("_end") - F.col("_m"))
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
-
-    picked = ranked.groupBy(*keys, "_level", "_pos").agg(value_at(F.floor("_pos")).alias("_a"), value_at(F.ceil("_pos")).alias("_b"))
-    between = F.col("_a") + (F.col("_pos") - F.floor("_pos")) * (F.col("_b") - F.col("_a"))
-    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
-    found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_level") == name, value)).alias(name) for name in wanted])
-    return join_groups(sizes.select(*keys) if keys else sizes.select(), found, keys)
+    counted = df.select(*keys, F.explode(values).alias("_x")).groupBy(*keys, F.col("_x._c").alias("_c"), F.col("_x._v").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    # NULLs have a bucket of their own: a filter on them would reach the input of one use of the counts only
+    counted = counted.withColumn("_b", F.coalesce(_bucket(F.col("_v"), per_octave), F.lit(_NULLS)))
+
+    group = Window.partitionBy(*keys, "_c")
+    buckets = counted.groupBy(*keys, "_c", "_b").agg(F.sum("_m").alias("_m"))
+    known = F.when(F.col("_b") > _NULLS, F.col("_m")).otherwise(F.lit(0))
+    buckets = buckets.withColumns({"_end": F.sum(known).over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum(known).over(group)})
+    ranks = []
+    for name, (column, level) in wanted.items():
+        place = (F.col("_n") - 1) * F.lit(level)
+        ranks += [
+            F.struct(F.lit(columns.index(column)).alias("of"), F.lit(name).alias("name"), F.lit(side).alias("side"), rank(place).cast("long").alias("rank"), (place - F.floor(place)).alias("share"))
+            for side, rank in enumerate((F.floor, F.ceil))
+        ]
+    start = F.col("_end") - F.col("_m")
+    within = lambda r: (r["of"] == F.col("_c")) & (r["rank"] >= start) & (r["rank"] < F.col("_end"))
+    asked = buckets.withColumn("_picks", F.filter(F.array(*ranks), within)).filter((F.size("_picks") > 0) & (F.col("_n") > 0))
+    other = [F.col(k).alias(f"_r_{k}") for k in keys]
+    asked = asked.select(*other, F.col("_c").alias("_rc"), F.col("_b").alias("_rb"), start.alias("_base"), "_picks")
+    match = (F.col("_c") == F.col("_rc")) & (F.col("_b") == F.col("_rb"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    in_order = Window.partitionBy(*keys, "_c", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(asked, match).withColumn("_end", F.col("_base") + F.sum("_m").over(in_order))
+    hit = placed.select(*keys, "_v", F.explode(F.filter("_picks", lambda r: (r["rank"] >= F.col("_end") - F.col("_m")) & (r["rank"] < F.col("_end")))).alias("_p"))
+    found = hit.select(*keys, "_v", "_p.name", "_p.side", "_p.share")
+    every = buckets.filter("_n = 0").select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in (("_v", "double"), ("name", "string"), ("side", "int"), ("share", "double"))])
+
+    def quantile(name: str) -> Column:
+        low, high = (F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_v"))) for side in (0, 1))
+        share = F.max(F.when(F.col("name") == name, F.col("share")))
+        return F.when(low == high, low).otherwise(low + share * (high - low)).alias(name)
+
+    return found.unionByName(every).groupBy(*keys).agg(*[quantile(name) for name in wanted])
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
