@@ -12,9 +12,12 @@ Rareness comes from a count sketch over the shingles of all documents. It orders
 candidates appear, never which pairs are found: a passage that many documents share is at the end of the order.
 
 Equal sets are one class, known by a 64-bit hash, before anything is exchanged. In a large group of sets that share a
-signature all are compared with one of them; those that then lie outside the group's main component are compared with a
-few others in each round and, if that joins them to none, with all; so a group of near copies costs a few comparisons for
-each member and not one for each pair. A comparison begins with
+signature all are compared with its smallest set, the hub, so a group of near copies costs one comparison for each member
+and not one for each pair. What the hub leaves open is split further, by this: let h be no larger than b, and a and b be
+similar but a and h not. Then a and b share more features than a and h, so they share one outside h. Members therefore meet
+again on (hub, feature), with the rarest of their features outside the hub, as many as a pair needs to meet, and pairs
+are formed only there and only if one of the two is outside the hub's component. What many members share and the hub lacks
+gives large groups again, each with a hub of its own, round by round. A comparison begins with
 parity bits: each feature flips one bit of a set's bitmap, so two sets differ in at least as many features as bits, which
 rules out nearly all pairs that only share a passage. The texts of the others are fetched and compared word by word.
 """
@@ -39,11 +42,12 @@ SHINGLE = 5
 FIRST_BAND, RATIO = 64, 4
 #: Signatures that one owner gets on average, and a task holds before it sends them.
 OWNER_SIGNATURES, SEND_SIGNATURES = 1_500_000, 1_000_000
-#: Groups of at most so many sets are compared pair by pair at once, larger ones round by round with one of their members.
+#: Groups of at most so many sets are compared pair by pair at once.
 FEW = 8
-#: Rounds in which members outside the main component of a large group are compared with about so many others, before
-#: those that are left are compared with all.
-PROBE_ROUNDS, PROBES = 1, 16
+#: Groups on (hub, feature) of at most so many sets are compared pair by pair; larger ones get a hub, for so many rounds.
+FEW_OPEN, ROUNDS = 32, 4
+#: Members that get one copy of their hub's text.
+HUB_SHARE = 2000
 
 U = np.uint64
 
@@ -201,7 +205,7 @@ GROUPS_DDL = "gid long, set long, n long, hub long, hub_n long, size long"
 def meet(rows: pa.Table) -> pa.Table:
     """One owner: of small groups of sets that share a signature the pairs (size 2), of large ones the members.
 
-    Each combination of members comes once. ``hub`` is the first of a pair, or the smallest member.
+    Each combination of members comes once. ``hub`` is the first of a pair, or the member with the fewest features.
     """
     sig, sets, sizes = [], [], []
     for blob in rows.column("blob").to_pylist():
@@ -220,7 +224,7 @@ def meet(rows: pa.Table) -> pa.Table:
     shared[:-1] |= same
     order = order[shared]
     sig, sets, sizes = sig[order], sets[order], sizes[order]
-    order = np.lexsort((sets, sig))
+    order = np.lexsort((sets, sizes, sig))
     sig, sets, sizes = sig[order], sets[order], sizes[order].astype(np.int64)
     fresh = np.ones(len(sig), dtype=bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])  # a set that several tasks have sent
@@ -277,13 +281,64 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
 
 
+def with_ids(seed: int):
+    """Set id and text of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [set_hash(s, seed)[0] if len(s := shingles(t, hashes)) else None for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], names=["set", "text"])
+
+    return run
+
+
+OUTSIDE_DDL = "hub long, feature long, set long, n long, label long, odd boolean"
+
+
+def needed_outside(n: int, hub_n: int, inside: int, odd: bool) -> int:
+    """Features outside the hub that a set shares at least with any partner it is to meet there."""
+    partner = max(hub_n, math.ceil(3 * n / 4))
+    needed = -(-3 * (n + partner) // 7) - inside
+    if not odd:  # its partner is not similar to the hub, so they share less than 3/7 of both sizes with the hub
+        needed = max(needed, 3 * (n - hub_n) // 7 + 1)
+    return max(needed, 1)
+
+
+def outside(rareness: Broadcast):
+    """The rarest features outside the hub of each member; a hub's row comes before its members'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, level, mine, core = WordHashes(), rareness.value, None, None
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(6)]
+            for hub, name, n, label, odd, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "set", "n", "label", "odd", "text"))):
+                s = shingles(text, hashes)
+                if hub == name:
+                    mine, core = hub, s
+                    continue
+                if hub != mine:
+                    raise ValueError("a member came before its hub")
+                rest = s[~np.isin(s, core, assume_unique=True)]
+                first = len(rest) - needed_outside(len(s), len(core), len(s) - len(rest), odd) + 1
+                if first > 0:
+                    order = (level[sketch.cell_of(rest)].astype(np.uint64) << U(58)) | (rest >> U(6))
+                    rest = rest[np.argsort(order, kind="stable")[:first]]
+                    for column, values in zip(columns, ([hub] * first, rest.view(np.int64), [name] * first, [n] * first, [label] * first, [odd] * first)):
+                        column.extend(values)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.bool_())], names=["hub", "feature", "set", "n", "label", "odd"])
+
+    return run
+
+
 def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
     Words are lower-cased in A-Z; a set holds the distinct 5-word shingles, of fewer words the whole sequence. Sets link when
     100 * shared >= 75 * united. component_id is the smallest doc_id that links reach, class_id the smallest with an equal
-    set. No words (or null text): 0 shingles and the document's own id. Repeated rows each have a row; a null doc_id is no
-    component's smallest unless alone. Other columns aren't read; no rows give no rows.
+    set. No words (or null text): 0 shingles and the document's own id. Repeated rows, and rows that share a doc_id with
+    different texts, each have a row; a null doc_id is no component's smallest unless alone. Other columns aren't read; no
+    rows give no rows.
     """
     spark = documents.sparkSession
     stages = Stages(spark, "partenum")
@@ -301,46 +356,69 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
 
     edges = groups.filter("set <> hub").filter("least(n, hub_n) * 100 >= greatest(n, hub_n) * 75")
     edges = edges.select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
-    members = groups.filter("size > 2 and set <> hub").select("gid", "set", "n").distinct()
     named = groups.select("set").union(groups.select("hub")).distinct()
     known_sets = stages.put("sets", classes.select("set", "n", "bits", "brief", "rep").join(named, "set"))
 
+    def fetched(wanted: DataFrame, name: str) -> DataFrame:
+        """set and a text of it, for a column of set ids. Found by the id of each text, as several texts may have one doc_id."""
+        wanted = stages.put(f"wanted-{name}", known_sets.join(wanted.distinct(), "set").select("set", "rep"))
+        likely = narrowed(texts, "doc_id", wanted.select("rep")).select("text").mapInArrow(with_ids(seed), "set long, text binary")
+        return stages.put(f"texts-{name}", likely.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs that are near, by bits and then by words."""
         side = lambda x: known_sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
         likely = stages.put(f"likely-{name}", likely.mapInArrow(may_be_near, "a long, b long"))
-        reps = likely.select("a").union(likely.select("b")).distinct().join(known_sets.select(F.col("set").alias("a"), "rep"), "a").select(F.col("a").alias("set"), "rep")
-        reps = stages.put(f"reps-{name}", reps)
-        found = narrowed(texts, "doc_id", reps.select("rep")).join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
-        wanted = stages.put(f"texts-{name}", found.select("set", "text").dropDuplicates(["set"]))
+        wanted = fetched(likely.select(F.col("a").alias("set")).union(likely.select("b")), name)
         with_b = likely.join(wanted.withColumnsRenamed({"set": "b", "text": "second"}), "b")
         with_a = with_b.join(wanted.withColumnsRenamed({"set": "a", "text": "first"}).hint("merge"), "a")
         return stages.put(f"links-{name}", with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
 
     links = linked(edges, "0")
     labels = stages.put("labels-0", components(links, stages, "cc-0"))
-    round_, last = 0, False
-    while not last:
-        round_ += 1
-        last = round_ > PROBE_ROUNDS
-        known = members.join(labels, F.col("set") == F.col("node"), "left").select("gid", "set", "n", F.coalesce("label", "set").alias("label"))
-        shares = known.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("k"))
-        main = shares.groupBy("gid").agg(F.max_by("label", "k").alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).filter("most < all")
-        short = known_sets.select("set", *[F.col("brief")[i].alias(f"x{i}") for i in range(8)])
-        known = stages.put(f"open-{round_}", known.join(main.select("gid", "main", "all"), "gid").join(short, "set"))
-        if known.isEmpty():
-            break
-        # those outside their group's main component against some members, in the last round against all
-        home, asks = (F.pmod(F.xxhash64("set", F.lit(x)), F.greatest(F.lit(1), F.floor(F.col("all") / PROBES))) for x in ("home", f"round {round_}"))
-        odd = known.filter("label <> main").select("gid", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), *[F.col(f"x{i}").alias(f"a{i}") for i in range(8)], (F.lit(0) if last else asks).alias("place"))
-        rest = known.select("gid", F.col("set").alias("b"), "n", "label", *[f"x{i}" for i in range(8)], (F.lit(0) if last else home).alias("place"))
-        differ = " + ".join(f"bit_count(a{i} ^ x{i})" for i in range(8))
-        pairs = odd.join(rest, ["gid", "place"]).filter(f"l_a <> label and least(n_a, n) * 100 >= greatest(n_a, n) * 75 and 7 * ({differ}) <= n_a + n")
-        more = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), str(round_))
+
+    def joined(pairs: DataFrame, name: str) -> None:
+        nonlocal links, labels
+        more = linked(pairs, name)
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = stages.put(f"labels-{round_}", components(links, stages, f"cc-{round_}"))
+            labels = stages.put(f"labels-{name}", components(links, stages, f"cc-{name}"))
+
+    differ = " + ".join(f"bit_count(a.brief[{i}] ^ b.brief[{i}])" for i in range(8))
+    members = groups.filter("size > 2").select("hub", "hub_n", "set", "n").distinct()
+    for round_ in range(1, ROUNDS + 1):
+        label_of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
+        known = members.join(label_of("set"), "set", "left").join(label_of("hub"), "hub", "left")
+        label = F.coalesce("l_set", "set")
+        known = known.select("hub", "hub_n", "set", "n", label.alias("label"), (label != F.coalesce("l_hub", "hub")).alias("odd"))
+        some = known.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("open")).filter("open")
+        known = stages.put(f"open-{round_}", known.join(some.select("hub", "k"), "hub"))
+        if known.isEmpty():
+            break
+        wanted = fetched(known.select("set").union(known.select("hub")), f"open-{round_}")
+        # a hub's text travels once for some of its members, so large groups are dealt to several tasks
+        shares = F.greatest(F.lit(1), F.ceil(F.col("k") / HUB_SHARE))
+        member = known.filter("set <> hub").select("hub", F.pmod(F.xxhash64("set"), shares).cast("int").alias("share"), "set", "n", "label", "odd")
+        hubs = known.select("hub", "k", "hub_n").distinct().select("hub", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int"))).alias("share"), F.col("hub").alias("set"), F.col("hub_n").alias("n"), F.col("hub").alias("label"), F.lit(False).alias("odd"))
+        rows = member.unionByName(hubs).join(wanted, "set")
+        rows = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("set") != F.col("hub"))
+        met = stages.put(f"met-{round_}", rows.select("hub", "set", "n", "label", "odd", "text").mapInArrow(outside(rareness), OUTSIDE_DDL))
+        sizes = met.groupBy("hub", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("some"), F.min(F.struct("n", "set")).alias("least")).filter("some and k > 1")
+        sizes = stages.put(f"sizes-{round_}", sizes)
+        small = sizes if round_ == ROUNDS else sizes.filter(F.col("k") <= FEW_OPEN)
+        meeting = stages.put(f"meeting-{round_}", met.join(small.select("hub", "feature"), ["hub", "feature"]).join(known_sets.select("set", "brief"), "set"))
+        either = meeting.alias("a").join(meeting.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.feature") == F.col("b.feature")) & F.expr(
+            f"a.odd and a.label <> b.label and (not b.odd or a.set < b.set) and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75 and 7 * ({differ}) <= a.n + b.n"
+        ))
+        joined(either.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct(), str(round_))
+        if round_ == ROUNDS:
+            break
+        large = sizes.filter(F.col("k") > FEW_OPEN).select("hub", "feature", F.col("least.set").alias("next"), F.col("least.n").alias("next_n"))
+        members = met.join(large, ["hub", "feature"]).select(F.col("next").alias("hub"), F.col("next_n").alias("hub_n"), "set", "n").distinct()
+        members = stages.put(f"members-{round_}", members)
+        again = members.filter("set <> hub and least(n, hub_n) * 100 >= greatest(n, hub_n) * 75").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
+        joined(again, f"{round_}-hubs")
 
     least = classes.join(labels, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("label", "set").alias("label"))
     smallest = least.groupBy("label").agg(F.min("rep").alias("component"))

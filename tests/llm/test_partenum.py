@@ -94,3 +94,53 @@ def test_empty_table_repeated_rows_null_id(spark):
     assert out == [(-1, 4, 3), (2, 1, 2), (3, 4, 3), (3, 4, 3)]
     kept = partenum.keep_one(frame(spark, rows))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3] and len(kept.columns) == 5
+
+
+def passage_documents(seed, n, shared, own, copies):
+    """Documents that are a common passage for the most part, with words of their own; some have near copies."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}x{i}" for i in range(shared)] for k in range(2)]
+    rows = []
+    while len(rows) < n:
+        text = passages[rng.random() < 0.3] + ([f"s{i}" for i in range(own)] if rng.random() < 0.4 else []) + [f"d{len(rows)}x{i}" for i in range(rng.randint(own // 2, 2 * own))]
+        for c in range(rng.choice([1, 1, copies])):
+            rows.append((len(rows), " ".join(text + [f"c{len(rows)}x{i}" for i in range(c % 3)])))
+    return rows
+
+
+def test_documents_of_mostly_one_passage_equal_brute_force(spark):
+    rows = passage_documents(3, 220, 70, 25, 3) + passage_documents(4, 60, 80, 9, 2)[:60]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_large_groups_on_hub_and_feature_get_hubs_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "FEW_OPEN", 4)
+    rows = passage_documents(7, 160, 60, 24, 4)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_what_members_share_outside_the_hub(spark):
+    rng = np.random.default_rng(3)
+    hits = 0
+    for _ in range(4000):
+        core = set(range(60))
+        make = lambda: {*rng.choice(60, int(rng.integers(30, 61)), replace=False).tolist()} | {*(100 + rng.choice(40, int(rng.integers(0, 30)), replace=False)).tolist()}
+        h, a, b = sorted((make(), make(), make()), key=len)
+        a, b = (a, b) if rng.random() < 0.5 else (b, a)
+        near = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+        if near(a, b) and not near(a, h):
+            hits += 1
+            assert core and len((a & b) - h) >= partenum.needed_outside(len(a), len(h), len(a & h), True)
+            assert len((a & b) - h) >= partenum.needed_outside(len(b), len(h), len(b & h), not near(b, h))
+    assert hits > 50
+
+
+def test_null_and_shared_ids_lose_no_link(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    near = lambda words, tail: " ".join(words + [tail])
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (7, near(a, "x")), (8, near(b, "y")), (9, near(b, "z"))]
+    out = {(r.doc_id, r.component_id) for r in partenum.near_groups(frame(spark, rows)).collect()}
+    assert out == {(None, 7), (None, 8), (7, 7), (8, 8), (9, 8)}
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (8, near(b, "y"))]
+    assert {(r.doc_id, r.component_id) for r in partenum.near_groups(frame(spark, rows)).collect()} == {(1, 1), (8, 1)}
