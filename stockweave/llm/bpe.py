@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.llm.common import cache_of
+
 #: Characters of a chunk and of what it shares with the next one.
 CHUNK, OVERLAP = 32_768, 256
 #: Pieces whose ids a worker keeps; emptied when full.
@@ -104,15 +106,13 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, whole))
 
 
-_kept: dict[tuple, Encoder] = {}
-
-
 def encoder_of(key: tuple, ranks: dict[bytes, int], pattern: str) -> Encoder:
     """The worker's encoder, with the pieces that its earlier tasks have met; one vocabulary is kept at a time."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Encoder(ranks, pattern)
-    return _kept[key]
+    kept = cache_of("bpe")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(ranks, pattern)
+    return kept[key]
 
 
 def boundaries(pattern: regex.Pattern, text: str) -> list[int]:

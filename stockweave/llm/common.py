@@ -77,9 +77,38 @@ def narrowed(texts: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return texts.withColumn("_cell", cell(F.col(column))).mapInArrow(run, texts.schema)
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_of(owner: str) -> dict:
+    """What a Python worker keeps for the later tasks of one operator; the caches of other operators are emptied."""
+    for name, cache in _caches.items():
+        if name != owner:
+            cache.clear()
+    return _caches.setdefault(owner, {})
+
+
+def unused(name: str) -> str:
+    """A column name that no input has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+#: Hashes below it are as good as random; ``sampled`` compares with a part of it.
+HASH_SPAN = 1 << 60
+
+
+def sampled(rows: DataFrame, key: str, seed: str, most: int, n: int) -> DataFrame:
+    """About ``most`` of ``n`` rows, by the hash of a key and the same at any partitioning; all of them if there are no more."""
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(HASH_SPAN)) < HASH_SPAN * most // n)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, computed on first sight."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        cache_of("words")  # empties what other operators have left in this worker
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()

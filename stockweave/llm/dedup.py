@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import SPACES, Stages, utf8, width
+from stockweave.llm.common import SPACES, Stages, unused, utf8, width
 
 #: Bits of a fingerprint. Chance matches only add suspects, which the byte comparison clears.
 PRINT_BITS = 48
@@ -157,6 +157,7 @@ def exact_groups(documents: DataFrame) -> DataFrame:
 
 def keep_first(documents: DataFrame) -> DataFrame:
     """The documents that stay, all columns; repeated rows of one doc_id and text count once."""
-    kept = exact_groups(documents).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused("kept")
+    kept = exact_groups(documents).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    stay = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])

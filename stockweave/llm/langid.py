@@ -14,9 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockweave.llm.common import cache_of, sampled
+
 #: The classifier is fitted on a sample of about so many labelled documents, chosen by a hash of doc_id.
 MAX_DOCS = 5_000
 MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 50_000, 5
@@ -89,15 +92,13 @@ class Scores(dict):
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-_kept: dict[tuple, Scores] = {}
-
-
 def scores_of(key: tuple, model: Model) -> Scores:
     """The worker's scores, with the words that its earlier tasks have met; those of one model are kept at a time."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Scores(model)
-    return _kept[key]
+    kept = cache_of("langid")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Scores(model)
+    return kept[key]
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -169,9 +170,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """
     usable = labelled.filter("text is not null and lang is not null").select("doc_id", "lang", "text")
     n = usable.count()
-    if n > max_docs:
-        share = int(max_docs / n * 1_000_000)
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share)
+    usable = sampled(usable, "doc_id", "langid", max_docs, n)
     counted = merged(usable.select("lang", "text").mapInArrow(count_words, COUNTS)).persist()
     grams = merged(counted.mapInArrow(count_grams, COUNTS)).persist()
     try:
@@ -181,17 +180,23 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         counted.unpersist()
         grams.unpersist()
     languages = sorted(totals)
+    if n and not languages and usable.isEmpty():
+        raise ValueError("the sample of labelled documents is empty")
     return Model(languages, *log_frequencies(known, languages, totals, 0.5), *log_frequencies(known_grams, languages, gram_totals, 0.5))
 
 
+def sharing(spark: SparkSession, model: Model) -> tuple[Broadcast, tuple]:
+    """The model for the tasks, bounded by MAX_WORDS and MAX_GRAMS, and the key under which workers keep its scores."""
+    shared = spark.sparkContext.broadcast(model)
+    return shared, (spark.sparkContext.applicationId, shared._jbroadcast.id())
+
+
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row, from its whole text alone; ``und`` and 0 for a text that is null or has no letter.
 
     Languages with equal scores: the first in alphabetical order. Repeated rows each have a row.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
-
-    key = (documents.sparkSession.sparkContext.applicationId, shared._jbroadcast.id())
+    shared, key = sharing(documents.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scores_of(key, shared.value)
@@ -209,7 +214,16 @@ def identify(documents: DataFrame) -> DataFrame:
 
 
 def keep_known(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose language is recognised with a score of ``least`` or more, all columns; duplicates of a row stay."""
-    accepted = identify(documents).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    ids = accepted.select(F.col("doc_id").alias("_kept"))
-    return documents.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """Documents whose language is recognised with a score of ``least`` or more, all columns; duplicates of a row stay.
+
+    Each row is judged by its own text, whatever its doc_id.
+    """
+    shared, key = sharing(documents.sparkSession, train(documents.filter(~held_out())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scores_of(key, shared.value)
+        for batch in batches:
+            found = [scores.predict(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

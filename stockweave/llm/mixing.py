@@ -24,7 +24,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import Stages
+from stockweave.llm.common import Stages, sampled, unused
 
 #: The classifier is fitted on about so many labelled documents, chosen by a hash of doc_id, and uses so many words.
 MAX_LABELLED, MAX_WORDS = 5_000, 1_000
@@ -92,8 +92,7 @@ def fit(documents: DataFrame, labelled: DataFrame, domains: dict[str, float], st
     names = sorted(domains)
     labels = labelled.filter(F.col("domain").isin(names)).groupBy(F.col("doc_id").cast("long").alias("l")).agg(F.min("domain").alias("domain"))
     n = labels.count()
-    if n > MAX_LABELLED:
-        labels = labels.filter(F.pmod(F.xxhash64("l", F.lit("mixing")), F.lit(1_000_000)) < int(MAX_LABELLED / n * 1_000_000))
+    labels = sampled(labels, "l", "mixing", MAX_LABELLED, n)
     chosen = documents.select("doc_id", "text").join(F.broadcast(labels), F.col("doc_id").cast("long") == F.col("l")).drop("l")  # MAX_LABELLED rows
     sample = with_tokens(chosen).join(F.broadcast(labels), F.col("doc_id") == F.col("l")).drop("l")
     sample = stages.put("sample", sample.dropDuplicates(["doc_id"]))
@@ -210,9 +209,10 @@ def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, f
 def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: str = "mix") -> DataFrame:
     """The documents, each as often as its rate says, with all columns; repeated rows are each taken so."""
     take = mixing_rates(documents, labelled, targets, seed).filter("copies > 0")
-    take = take.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_mark"))
-    return documents.join(take, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    id_, mark, copies, copy = map(unused, ("id", "mark", "copies", "copy"))
+    take = take.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("copies").alias(copies))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(mark))
+    return documents.join(take, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm import sketch
-from stockweave.llm.common import Stages, WordHashes, finish, grams, narrowed, utf8
+from stockweave.llm.common import Stages, WordHashes, finish, grams, narrowed, unused, utf8
 from stockweave.llm.graph import components
 
 SHINGLE = 5
@@ -46,8 +46,8 @@ OWNER_SIGNATURES, SEND_SIGNATURES = 1_500_000, 1_000_000
 FEW = 8
 #: Groups on (hub, feature) of at most so many sets are compared pair by pair; larger ones get a hub, for so many rounds.
 FEW_OPEN, ROUNDS = 32, 4
-#: Members that get one copy of their hub's text.
-HUB_SHARE = 2000
+#: Members that get one copy of their hub's text, and features that a task holds before it passes them on.
+HUB_SHARE, SEND_FEATURES = 2000, 100_000
 
 U = np.uint64
 
@@ -310,9 +310,19 @@ def outside(rareness: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, level, mine, core = WordHashes(), rareness.value, None, None
+        held: list[tuple[np.ndarray, tuple]] = []
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(features) for features, _ in held]
+            hub, name, n, label, odd = (np.repeat(np.array(c), sizes) for c in zip(*(facts for _, facts in held)))
+            features = np.concatenate([features for features, _ in held]).view(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(features), pa.array(name), pa.array(n), pa.array(label), pa.array(odd)], names=["hub", "feature", "set", "n", "label", "odd"])
+
+        waiting = 0
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for hub, name, n, label, odd, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "set", "n", "label", "odd", "text"))):
+            for i in range(batch.num_rows):
+                hub, name, n, label, odd, text = (batch.column(c)[i].as_py() for c in ("hub", "set", "n", "label", "odd", "text"))
                 s = shingles(text, hashes)
                 if hub == name:
                     mine, core = hub, s
@@ -323,10 +333,13 @@ def outside(rareness: Broadcast):
                 first = len(rest) - needed_outside(len(s), len(core), len(s) - len(rest), odd) + 1
                 if first > 0:
                     order = (level[sketch.cell_of(rest)].astype(np.uint64) << U(58)) | (rest >> U(6))
-                    rest = rest[np.argsort(order, kind="stable")[:first]]
-                    for column, values in zip(columns, ([hub] * first, rest.view(np.int64), [name] * first, [n] * first, [label] * first, [odd] * first)):
-                        column.extend(values)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.bool_())], names=["hub", "feature", "set", "n", "label", "odd"])
+                    held.append((rest[np.argsort(order, kind="stable")[:first]], (hub, name, n, label, odd)))
+                    waiting += first
+                if waiting >= SEND_FEATURES:
+                    yield flush()
+                    waiting = 0
+        if held:
+            yield flush()
 
     return run
 
@@ -365,12 +378,12 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
         likely = narrowed(texts, "doc_id", wanted.select("rep")).select("text").mapInArrow(with_ids(seed), "set long, text binary")
         return stages.put(f"texts-{name}", likely.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that are near, by bits and then by words."""
+    def linked(pairs: DataFrame, name: str, kept: DataFrame | None = None) -> DataFrame:
+        """Pairs that are near, by bits and then by words; ``kept`` has the texts if they are at hand."""
         side = lambda x: known_sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
         likely = stages.put(f"likely-{name}", likely.mapInArrow(may_be_near, "a long, b long"))
-        wanted = fetched(likely.select(F.col("a").alias("set")).union(likely.select("b")), name)
+        wanted = kept if kept is not None else fetched(likely.select(F.col("a").alias("set")).union(likely.select("b")), name)
         with_b = likely.join(wanted.withColumnsRenamed({"set": "b", "text": "second"}), "b")
         with_a = with_b.join(wanted.withColumnsRenamed({"set": "a", "text": "first"}).hint("merge"), "a")
         return stages.put(f"links-{name}", with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
@@ -378,9 +391,9 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     links = linked(edges, "0")
     labels = stages.put("labels-0", components(links, stages, "cc-0"))
 
-    def joined(pairs: DataFrame, name: str) -> None:
+    def joined(pairs: DataFrame, name: str, kept: DataFrame) -> None:
         nonlocal links, labels
-        more = linked(pairs, name)
+        more = linked(pairs, name, kept)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = stages.put(f"labels-{name}", components(links, stages, f"cc-{name}"))
@@ -396,7 +409,8 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
         known = stages.put(f"open-{round_}", known.join(some.select("hub", "k"), "hub"))
         if known.isEmpty():
             break
-        wanted = fetched(known.select("set").union(known.select("hub")), f"open-{round_}")
+        if round_ == 1:  # later rounds have no other sets
+            wanted = fetched(known.select("set").union(known.select("hub")), "open")
         # a hub's text travels once for some of its members, so large groups are dealt to several tasks
         shares = F.greatest(F.lit(1), F.ceil(F.col("k") / HUB_SHARE))
         member = known.filter("set <> hub").select("hub", F.pmod(F.xxhash64("set"), shares).cast("int").alias("share"), "set", "n", "label", "odd")
@@ -411,14 +425,14 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
         either = meeting.alias("a").join(meeting.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.feature") == F.col("b.feature")) & F.expr(
             f"a.odd and a.label <> b.label and (not b.odd or a.set < b.set) and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75 and 7 * ({differ}) <= a.n + b.n"
         ))
-        joined(either.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct(), str(round_))
+        joined(either.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct(), str(round_), wanted)
         if round_ == ROUNDS:
             break
         large = sizes.filter(F.col("k") > FEW_OPEN).select("hub", "feature", F.col("least.set").alias("next"), F.col("least.n").alias("next_n"))
         members = met.join(large, ["hub", "feature"]).select(F.col("next").alias("hub"), F.col("next_n").alias("hub_n"), "set", "n").distinct()
         members = stages.put(f"members-{round_}", members)
         again = members.filter("set <> hub and least(n, hub_n) * 100 >= greatest(n, hub_n) * 75").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
-        joined(again, f"{round_}-hubs")
+        joined(again, f"{round_}-hubs", wanted)
 
     least = classes.join(labels, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("label", "set").alias("label"))
     smallest = least.groupBy("label").agg(F.min("rep").alias("component"))
@@ -429,6 +443,7 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component, the smallest doc_id, with all columns; repeated rows of it count once."""
-    stay = near_groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = documents.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    name = unused("stay")
+    stay = near_groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = documents.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.llm.common import unused
+
 ROUNDS = 8
 
 #: The formats, as regular expressions; the first that fits a match names its kind.
@@ -143,14 +145,15 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     safe = F.when(F.col("text").rlike(f"[{mark}{esc}]"), F.replace(F.replace("text", F.lit(esc), F.lit(esc + "\x04")), F.lit(mark), F.lit(esc + "\x03"))).otherwise(F.col("text"))
     # without a digit or an @ there is nothing to find
     marked = F.when(F.col("text").rlike("[0-9@]"), F.regexp_replace(safe, f"(?:{every})", f"{mark}$0{mark}")).otherwise(safe)
-    parts = F.when(F.col("_marked").contains(mark), F.split("_marked", mark))
+    marks, pieces, new = map(unused, ("marked", "parts", "new"))
+    parts = F.when(F.col(marks).contains(mark), F.split(marks, mark))
     # after the split every second part is a match
-    new = f"transform(_parts, (m, k) -> if(k % 2 = 0, named_struct('t', m, 'hit', 0), {let('q', pseudonym(key), 'named_struct(' + chr(39) + 't' + chr(39) + ', coalesce(q, m), ' + chr(39) + 'hit' + chr(39) + ', if(q is null, 0, 1))')}))"
-    plain = F.coalesce(F.array_join(F.col("_new.t"), ""), F.col("_marked"))
+    made = f"transform({pieces}, (m, k) -> if(k % 2 = 0, named_struct('t', m, 'hit', 0), {let('q', pseudonym(key), 'named_struct(' + chr(39) + 't' + chr(39) + ', coalesce(q, m), ' + chr(39) + 'hit' + chr(39) + ', if(q is null, 0, 1))')}))"
+    plain = F.coalesce(F.array_join(F.col(f"{new}.t"), ""), F.col(marks))
     back = F.when(plain.contains(esc), F.replace(F.replace(plain, F.lit(esc + "\x03"), F.lit(mark)), F.lit(esc + "\x04"), F.lit(esc))).otherwise(plain)
     rest = [c for c in documents.columns if c not in ("text", "n_private")]
-    out = documents.select(*rest, marked.alias("_marked")).withColumn("_parts", parts)
-    out = out.select(*rest, "_marked", F.expr(new).alias("_new"))
-    hits = F.coalesce(F.aggregate(F.col("_new.hit"), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
+    out = documents.select(*rest, marked.alias(marks)).withColumn(pieces, parts)
+    out = out.select(*rest, marks, F.expr(made).alias(new))
+    hits = F.coalesce(F.aggregate(F.col(f"{new}.hit"), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
     order = [c for c in documents.columns if c != "n_private"]
     return out.select(*rest, back.alias("text"), hits.alias("n_private")).select(*order, "n_private")

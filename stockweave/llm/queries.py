@@ -173,3 +173,47 @@ def centroid_sql(k: int = 40, rounds: int = 5) -> str:
 
 
 ORACLE_SQL["op13_centroids"] = centroid_sql()
+
+
+def secret_sql(max_docs: int = secrets.MAX_DOCS, threshold: int = secrets.THRESHOLD) -> str:
+    """Patterns, training and scores once more. Letters of the keywords are spelt in both cases: (?i) folds more than ASCII here."""
+    both = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(both(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = "(?:" + words + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    access, hex_, run, short = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}", "[A-Za-z0-9+/_-]{16,}={0,2}", "[A-Za-z0-9+/_-]{8,}={0,2}"
+    letters = secrets.ALPHABET
+
+    def spans(name: str, pattern: str) -> str:
+        return f"""{name} as materialized (select r, h, cast(e - length(h) as bigint) as s, cast(e as bigint) as e from (
+            select r, h, sum(length(g) + length(h)) over (partition by r order by i) as e from (
+                select r, unnest(hits) as h, unnest(gaps[1:len(hits)]) as g, unnest(range(len(hits))) as i
+                from (select r, regexp_extract_all(t, '{pattern}') as hits, string_split_regex(t, '{pattern}') as gaps from d))))"""
+
+    pairs = f"case when i = 1 then 0 else instr('{letters}', v[i - 1]) end as last, instr('{letters}', v[i]) as next"
+    return rf"""
+        with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+        {spans('assigns', assign)}, {spans('accesses', access)}, {spans('hexes', hex_)}, {spans('runs', run)},
+        base as materialized (select r, 0 as rank, s, e from assigns where length(regexp_extract(h, '{assign}', 1)) >= 8
+                 union all select r, 1, s, e from accesses union all select r, 2, s, e from hexes),
+        sample as materialized (select doc_id, t from d where md5(cast(doc_id as varchar)) <= (select max(h) from (select md5(cast(doc_id as varchar)) as h from d where doc_id is not null order by h limit {max_docs}))),
+        made as (select unnest([substr(x, 1, 40), to_base64(unhex(x)), upper(regexp_replace(to_base64(unhex(x)), '[+/=]', '', 'g'))]) as v from (select sha256(cast(doc_id as varchar)) as x from sample)),
+        labelled as (select v, true as secret from made
+                     union all select v, true from (select unnest(regexp_extract_all(t, '{assign}', 1)) as v from sample) where length(v) >= 8
+                     union all select unnest(regexp_extract_all(t, '{access}')), true from sample union all select unnest(regexp_extract_all(t, '{hex_}')), true from sample
+                     union all select unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, '{assign}', ' ', 'g'), '{access}', ' ', 'g'), '{hex_}', ' ', 'g'), '{short}')), false from sample),
+        counts as (select secret, last, next, count(*) as n from (select secret, {pairs} from (select secret, v, unnest(range(1, length(v) + 1)) as i from labelled)) group by all),
+        grid as (select secret, a.x as last, b.x as next from (select unnest([true, false]) as secret) cross join range({len(letters) + 1}) a(x) cross join range({len(letters) + 1}) b(x)),
+        cells as (select secret, last, next, coalesce(n, 0) as n from grid left join counts using (secret, last, next)),
+        likely as (select secret, last, next, ln((n + {secrets.BACKOFF}::double * anywhere / sum(anywhere) over (partition by secret, last)) / (sum(n) over (partition by secret, last) + {secrets.BACKOFF}::double)) as p
+                   from (select *, 1 + sum(n) over (partition by secret, next) as anywhere from cells)),
+        scores as materialized (select x.last, x.next, cast(round(1000 * (x.p - y.p)) as bigint) as score from likely x join likely y using (last, next) where x.secret and not y.secret),
+        random as (select r, 3 as rank, s, e from (select r, s, e, sum(score) as score from (select r, s, e, {pairs} from (select r, s, e, h as v, unnest(range(1, length(h) + 1)) as i from runs)) join scores using (last, next) group by r, s, e) q
+                   where score >= {threshold} and not exists (select 1 from base b where b.r = q.r and b.s < q.e and q.s < b.e)),
+        every as (select *, ['assign', 'access', 'hex', 'random'][rank + 1] || ':' || s || ':' || e as named from (select * from base union all select * from random)),
+        per as (select r, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, count(*) filter (rank = 3) as n_random,
+                       coalesce(string_agg(named, ',' order by s, rank, e) filter (rank < 3), '') as joined, string_agg(named, ',' order by s, rank, e) as spans from every group by r)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(joined, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_random, 0) as n_random
+        from d left join per using (r)"""
+
+
+ORACLE_SQL["op12_secret_scan"] = secret_sql()
