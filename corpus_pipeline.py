@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stockweave.llm import bpe, dedup, langid, mixing, partenum
+from stockweave.llm.common import Stages
 
 #: Classifiers and iterations are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -45,7 +46,9 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("ngram_ja
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's result is written below ``spark.checkpoint.dir`` and read again as the next one's input."""
+    stages = Stages(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stages.put(name, stage(spark, docs, sf_dir))
     return docs
