@@ -21,7 +21,7 @@ def query(needs: str, select: str) -> str:
 
     for name in needs.split():
         add(name)
-    recursive = "RECURSIVE " if any(n in order for n in ("ets_state",)) else ""
+    recursive = "RECURSIVE " if any(n.startswith("ets_state") for n in order) else ""
     return f"WITH {recursive}" + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + select.strip()
 
 
@@ -267,11 +267,49 @@ FROM ets_start, (VALUES {', '.join(f'({d(a)}, {d(b)}, {d(p)})' for a, b, p in GR
 UNION ALL
 SELECT fold, upc, cedis, a, b, phi, t + 1, sse + (ys[t + 1] - (l + phi * tr)) * (ys[t + 1] - (l + phi * tr)), l + phi * tr + a * (ys[t + 1] - (l + phi * tr)), phi * tr + b * (ys[t + 1] - (l + phi * tr)), ys
 FROM ets_state WHERE t < len(ys)""")
-cte("ets_fit", "ets_start ets_state", """
-SELECT s.fold, s.origin, s.upc, s.cedis, s.mean, s.n, sse, alpha, beta, phi, level, trend
-FROM ets_start s LEFT JOIN (
-  SELECT fold, upc, cedis, sse, a AS alpha, b AS beta, phi, l AS level, tr AS trend, row_number() OVER (PARTITION BY fold, upc, cedis ORDER BY sse, a, b, phi) AS rk
-  FROM ets_state WHERE t = len(ys)) g ON s.fold = g.fold AND s.upc = g.upc AND s.cedis = g.cedis AND g.rk = 1""")
+_GN = ("l", "tr", "l1", "l2", "l3", "b1", "b2", "b3", "g1", "g2", "g3", "h11", "h12", "h13", "h22", "h23", "h33")
+
+
+def ets_fold(suffix: str, source: str) -> None:
+    """One walk over the weeks at the parameters of each row of ``source`` (fold, upc, cedis, trial, a, b, phi), sensitivities carried along."""
+    key = "fold, upc, cedis, trial, a, b, phi"
+    base, err = "(l + phi * tr)", "(ys[t + 1] - (l + phi * tr))"
+    s1, s2, s3, rest = "(l1 + phi * b1)", "(l2 + phi * b2)", "(l3 + phi * b3 + tr)", "(1.0::DOUBLE - a)"
+    nxt = [f"{base} + a * {err}", f"phi * tr + b * {err}", f"{rest} * {s1} + {err}", f"{rest} * {s2}", f"{rest} * {s3}",
+           f"phi * b1 - b * {s1}", f"phi * b2 - b * {s2} + {err}", f"phi * b3 + tr - b * {s3}",
+           *[f"g{i} + {err} * {s}" for i, s in enumerate((s1, s2, s3), 1)],
+           f"h11 + {s1} * {s1}", f"h12 + {s1} * {s2}", f"h13 + {s1} * {s3}", f"h22 + {s2} * {s2}", f"h23 + {s2} * {s3}", f"h33 + {s3} * {s3}"]
+    cte(f"ets_state{suffix}", f"ets_start {source}", f"""
+SELECT fold, upc, cedis, trial, a, b, phi, 0 AS t, 0.0::DOUBLE AS sse, {_m(1, 10)} - 5.5::DOUBLE * (({_m(6, 10)} - {_m(1, 5)}) / 5.0::DOUBLE) AS l, ({_m(6, 10)} - {_m(1, 5)}) / 5.0::DOUBLE AS tr,
+       {', '.join(f'0.0::DOUBLE AS {c}' for c in _GN[2:])}, ys
+FROM ets_start JOIN {source} USING (fold, upc, cedis)
+UNION ALL
+SELECT {key}, t + 1, sse + {err} * {err}, {', '.join(nxt)}, ys FROM ets_state{suffix} WHERE t < len(ys)""")
+    cte(f"ets_end{suffix}", f"ets_state{suffix}", f"SELECT {key}, sse, {', '.join(_GN)} FROM ets_state{suffix} WHERE t = len(ys)")
+
+
+cte("ets_at", "ets_state", """
+SELECT fold, upc, cedis, 0 AS trial, a, b, phi
+FROM (SELECT *, row_number() OVER (PARTITION BY fold, upc, cedis ORDER BY sse, a, b, phi) AS rk FROM ets_state WHERE t = len(ys)) WHERE rk = 1""")
+ets_fold("_0", "ets_at")
+cte("ets_best_0", "ets_end_0", "SELECT * FROM ets_end_0")
+for _i in range(1, 4):
+    _a = {i: f"(h{i}{i} * 1.01::DOUBLE + 1e-6::DOUBLE * (h11 + h22 + h33))" for i in (1, 2, 3)}
+    _m11, _m12, _m13 = f"({_a[2]} * {_a[3]} - h23 * h23)", f"(h12 * {_a[3]} - h23 * h13)", f"(h12 * h23 - {_a[2]} * h13)"
+    _n1, _n2, _n3 = f"(g2 * {_a[3]} - h23 * g3)", f"(g2 * h23 - {_a[2]} * g3)", "(h12 * g3 - g2 * h13)"
+    _det = f"nullif({_a[1]} * {_m11} - h12 * {_m12} + h13 * {_m13}, 0.0::DOUBLE)"
+    _by = [f"(g1 * {_m11} - h12 * {_n1} + h13 * {_n2}) / {_det}", f"({_a[1]} * {_n1} - g1 * {_m12} + h13 * {_n3}) / {_det}", f"(0.0::DOUBLE - {_a[1]} * {_n2} - h12 * {_n3} + g1 * {_m13}) / {_det}"]
+    cte(f"ets_to_{_i}", f"ets_best_{_i - 1}", f"""
+SELECT fold, upc, cedis, trial, a, least(greatest(b1_, 0.0001::DOUBLE), a) AS b, least(greatest(p1_, 0.8::DOUBLE), 0.98::DOUBLE) AS phi
+FROM (SELECT fold, upc, cedis, s.trial, least(greatest(coalesce(a + s.share * d1_, a), 0.001::DOUBLE), 0.99::DOUBLE) AS a, coalesce(b + s.share * d2_, b) AS b1_, coalesce(phi + s.share * d3_, phi) AS p1_
+      FROM (SELECT * EXCLUDE (trial), {_by[0]} AS d1_, {_by[1]} AS d2_, {_by[2]} AS d3_ FROM ets_best_{_i - 1}) CROSS JOIN (VALUES (1, 1.0::DOUBLE), (2, 0.25::DOUBLE)) s(trial, share))""")
+    ets_fold(f"_{_i}", f"ets_to_{_i}")
+    cte(f"ets_best_{_i}", f"ets_best_{_i - 1} ets_end_{_i}", f"""
+SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY fold, upc, cedis ORDER BY sse, a, b, phi, trial) AS rk
+FROM (SELECT * FROM ets_best_{_i - 1} UNION ALL SELECT * FROM ets_end_{_i})) WHERE rk = 1""")
+cte("ets_fit", "ets_start ets_best_3", """
+SELECT s.fold, s.origin, s.upc, s.cedis, s.mean, s.n, sse, a AS alpha, b AS beta, phi, l AS level, tr AS trend
+FROM ets_start s LEFT JOIN ets_best_3 g USING (fold, upc, cedis)""")
 
 
 def _ets_steps() -> str:

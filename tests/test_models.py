@@ -125,3 +125,64 @@ def test_isolation_forest_ranks_the_odd_row_first_whatever_the_partitioning(spar
     second = {r.id: r.iforest_score for r in iforest.isolation_scores(df.repartition(5), ["a", "b"], ["id"], n_trees=30).collect()}
     assert first == second
     assert max(first, key=first.get) == 999 and 0 < min(first.values()) and max(first.values()) < 1
+
+
+def smoothed_error(ys, alpha, beta, phi):
+    t = (np.mean(ys[5:10]) - np.mean(ys[:5])) / 5
+    level = np.mean(ys[:10]) - 5.5 * t
+    sse = 0.0
+    for y in ys:
+        base = level + phi * t
+        err = y - base
+        sse += err * err
+        level, t = base + alpha * err, phi * t + beta * err
+    return sse
+
+
+def test_steps_never_raise_the_error_of_the_grid_and_come_near_the_least(spark):
+    rng = np.random.default_rng(11)
+    values = {
+        1: list(100 + np.cumsum(rng.normal(size=80))), 2: list(rng.gamma(5, 20, 60)), 3: list(50 + 2.0 * np.arange(70) + rng.normal(scale=3, size=70)),
+        4: [10.0] * 30 + [200.0] * 30, 5: list(rng.normal(1000, 1e-3, 40)), 6: [0.0] * 39 + [1.0],
+    }
+    got = {r.upc: r for r in ets.fit(weekly(spark, values), [ORIGIN]).collect()}
+    fine = [(a, a * b, p) for a in np.linspace(0.01, 0.99, 25) for b in (0.001, 0.05, 0.2, 0.5, 1.0) for p in (0.8, 0.9, 0.98)]
+    for upc, ys in values.items():
+        r = got[upc]
+        on_grid = min(smoothed_error(ys, *g) for g in ets.GRID)
+        assert r.sse == pytest.approx(smoothed_error(ys, r.alpha, r.beta, r.phi), rel=1e-9)
+        assert r.sse <= on_grid * (1 + 1e-12) and r.sse <= min(smoothed_error(ys, *g) for g in fine) * 1.03
+        assert 0.001 <= r.alpha <= 0.99 and 0 < r.beta <= r.alpha and 0.8 <= r.phi <= 0.98
+    assert got[1].alpha > 0.7 and got[1].sse < min(smoothed_error(values[1], *g) for g in ets.GRID)
+
+
+def test_a_fit_at_an_origin_knows_only_its_history(spark):
+    rng = np.random.default_rng(12)
+    ys = [float(x) for x in 100 + np.cumsum(rng.normal(size=60))]
+    earlier = ORIGIN - timedelta(weeks=10)
+    both = {r.fold: r for r in ets.fit(weekly(spark, {1: ys}), [earlier, ORIGIN]).collect()}
+    alone = ets.fit(weekly(spark, {1: ys[:50]}, end=earlier), [earlier]).first()
+    assert (both[0].sse, both[0].alpha, both[0].level) == (alone.sse, alone.alpha, alone.level)
+
+
+def test_forest_samples_are_the_rows_with_the_least_tickets(spark):
+    rng = np.random.default_rng(5)
+    df = frame(spark, [(i, float(x)) for i, x in enumerate(rng.normal(size=5000))], "id long, a double").repartition(6)
+    numbered = df.select("id", *iforest.row_numbers(["id"]), iforest.whole(F.col("a")).alias("_f_a"))
+    rows = numbered.collect()
+    names = ["_f_a"]
+    schema = "tree int, ticket long, _f_a long"
+    sent = numbered.drop("id").mapInArrow(iforest._sampled(names, 42, 3, combine=False), schema)
+    kept = sent.repartition(2, "tree").mapInArrow(iforest._sampled(names, 42, 3, combine=True), schema).collect()
+    for tree, (a, b, c, d) in enumerate(iforest.permutations(42, 3)):
+        tickets = sorted(((((r._h1 * a + b) % iforest.PRIME) << 31) + (r._h2 * c + d) % iforest.PRIME, r._f_a) for r in rows)
+        assert [(r.ticket, r._f_a) for r in sorted(kept, key=lambda r: r.ticket) if r.tree == tree] == tickets[: iforest.SAMPLE_ROWS]
+
+
+def test_forest_with_few_equal_and_missing_rows(spark):
+    schema = "id long, a double, b double"
+    assert iforest.isolation_scores(frame(spark, [], schema), ["a"], ["id"]).collect() == []
+    one = iforest.isolation_scores(frame(spark, [(1, 2.0, None)], schema), ["a", "b"], ["id"], n_trees=5).collect()
+    assert len(one) == 1 and 0 < one[0].iforest_score <= 1
+    same = iforest.isolation_scores(frame(spark, [(i % 3, 1.0, None) for i in range(50)], schema), ["a", "b"], ["id"], n_trees=5).collect()
+    assert len({r.iforest_score for r in same}) == 1
