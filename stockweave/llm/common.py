@@ -55,9 +55,11 @@ def filter_piece(rows: pa.Table) -> pa.Table:
     return pa.table({"piece": rows.column("piece")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def narrowed(texts: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+def narrowed(texts: DataFrame, column: str, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
     """The rows of ``texts`` whose id may be among ``ids`` (one column): all that are, and some others by chance.
 
+    ``then`` is applied to their batches in the same Python worker, and gives rows of ``schema``.
+
     A bit for each hash cell of an id: a megabyte at any size of the input. The more ids there are, the more other rows pass,
     so a join has to follow; it then shuffles few texts where few are wanted, and no more than all otherwise.
     """
@@ -68,13 +70,16 @@ def narrowed(texts: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         whole[r["piece"] * FILTER_PIECE : (r["piece"] + 1) * FILTER_PIECE] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool)
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(whole).tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             at = batch.column("_cell").to_numpy()
             yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))).drop_columns(["_cell"])
 
-    return texts.withColumn("_cell", cell(F.col(column))).mapInArrow(run, texts.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(some(batches)) if then else some(batches)
+
+    return texts.withColumn("_cell", cell(F.col(column))).mapInArrow(run, schema or texts.schema)
 
 
 _caches: dict[str, dict] = {}

@@ -375,7 +375,7 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     def fetched(wanted: DataFrame, name: str) -> DataFrame:
         """set and a text of it, for a column of set ids. Found by the id of each text, as several texts may have one doc_id."""
         wanted = stages.put(f"wanted-{name}", known_sets.join(wanted.distinct(), "set").select("set", "rep"))
-        likely = narrowed(texts, "doc_id", wanted.select("rep")).select("text").mapInArrow(with_ids(seed), "set long, text binary")
+        likely = narrowed(texts, "doc_id", wanted.select("rep"), with_ids(seed), "set long, text binary")
         return stages.put(f"texts-{name}", likely.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
 
     def linked(pairs: DataFrame, name: str, kept: DataFrame | None = None) -> DataFrame:
