@@ -60,10 +60,12 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FUNCTIONS: dict[str, Callable[[Pipeline], DataFrame]] = {}
 
 
 def register(name: str, models: tuple[str, ...] = NAIVE_MODELS):
     def add(fn: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]:
+        FUNCTIONS[name] = fn
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(run_for(spark, sf_dir, models)))
         return fn
 
@@ -671,6 +673,12 @@ for _name, _report in _REPORTS.items():
     register(_name)(_report)
 
 
+# the same with the smoothing model among the choices, checked like the others
+THREE_MODELS = ("ma4", "seasonal_naive", "ets")
+for _name in oracle.THREE_MODELS:
+    register(f"{_name.removesuffix('_naive_models')}_three_models", THREE_MODELS)(FUNCTIONS[_name])
+
+
 # ------------------------------------------------------------------ contract
 def entry(spark: SparkSession) -> DataFrame:
     """What should each centre order next week? Sales to order lines on the smallest tables, moving average only."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -185,7 +187,11 @@ LEFT JOIN catalog k USING (upc)""")
 QUERIES: dict[str, str] = {}
 
 
+REGISTERED: dict[str, tuple[str, str]] = {}
+
+
 def register(name: str, needs: str, select: str) -> None:
+    REGISTERED[name] = (needs, select)
     QUERIES[name] = query(needs, select)
 
 # ------------------------------------------------------------------ forecasters
@@ -1028,3 +1034,53 @@ register("o21_error_reduction", "m_overall", f"SELECT model, {r4('1 - wape / (SE
 register("o22_selected_metrics", "sel_metrics", f"SELECT cluster, model, n, {rr(*METRIC_COLS)} FROM sel_metrics")
 register("o23_best_naive", "m_overall", f"SELECT model, {rr('wape')} FROM (SELECT * FROM m_overall WHERE model IN ('ma4', 'seasonal_naive') AND wape IS NOT NULL ORDER BY wape, model LIMIT 1)")
 register("o24_series_with_events", "labeled", "SELECT count(DISTINCT (upc, cedis)) AS n_series FROM labeled WHERE event")
+
+
+# ------------------------------------------------------------------ the same with the smoothing model among the choices
+def _renamed(text: str, suffix: str, family: set[str]) -> str:
+    """``text`` reading the derived relations: only names after FROM or JOIN change, columns don't."""
+    return re.sub(r"\b(FROM|JOIN)(\s+)(\w+)\b", lambda m: f"{m[1]}{m[2]}{m[3]}{suffix}" if m[3] in family else m[0], text)
+
+
+def _family(roots: set[str]) -> list[str]:
+    """The CTEs that depend on the roots, in order of definition; the roots themselves aren't among them."""
+    found: set[str] = set(roots)
+    out = []
+    for name, (needs, _) in list(CTES.items()):
+        if name not in roots and found & set(needs):
+            found.add(name)
+            out.append(name)
+    return out
+
+
+def derive(suffix: str, roots: set[str], only: set[str] | None = None) -> set[str]:
+    """Copies of the CTEs below the roots that read ``<name><suffix>`` instead; the roots' own copies must exist."""
+    names = [n for n in _family(roots) if only is None or n in only]
+    family = set(names) | roots
+    for n in names:
+        needs, body = CTES[n]
+        cte(n + suffix, " ".join(x + suffix if x in family else x for x in needs), _renamed(body, suffix, family))
+    return family
+
+
+_below_folds = {"filled", "ets", *[n for n in CTES if n.startswith("ets_")]}
+cte("folds_final", "final_folds", "SELECT * FROM final_folds")
+derive("_final", {"folds"}, _below_folds)
+cte("pred_3", "pred ets eligible weekly", """
+SELECT * FROM pred UNION ALL
+SELECT p.*, w.y, w.cluster FROM ets p SEMI JOIN eligible e ON p.fold = e.fold AND p.upc = e.upc AND p.cedis = e.cedis
+LEFT JOIN weekly w ON p.upc = w.upc AND p.cedis = w.cedis AND p.target_week = w.week_start""")
+cte("fc_raw_3", "fc_raw ets_final eligible_final series", """
+SELECT * FROM fc_raw UNION ALL
+SELECT p.* EXCLUDE (fold), e.n_weeks_at_origin, CASE p.fold WHEN 0 THEN 'final' ELSE 'risk_eval' END AS origin_label, s.cluster
+FROM ets_final p LEFT JOIN eligible_final e ON p.fold = e.fold AND p.upc = e.upc AND p.cedis = e.cedis LEFT JOIN series s ON p.upc = s.upc AND p.cedis = s.cedis""")
+_three = derive("_3", {"pred", "fc_raw"})
+#: Queries that are registered once more with three models.
+THREE_MODELS = (
+    "g3_backtest_predictions", "g5_interval_calibration", "g6_apply_calibration", "g7_metrics_cluster", "g7_metrics_overall", "g8_model_selection", "g9_holdout_report",
+    "i2_blind_overall", "i3_blind_regret", "i4_weighted_means", "j1_forecast_naive_models", "j2_selected_forecast", "k_lognormal_maths", "l12_three_methods", "l16_three_methods",
+    "m14_order_file", "m15_order_summary", "n40_scorecard",
+)
+for _name in THREE_MODELS:
+    _needs, _select = REGISTERED[_name]
+    register(f"{_name.removesuffix('_naive_models')}_three_models", " ".join(x + "_3" if x in _three else x for x in _needs.split()), _renamed(_select, "_3", _three))
