@@ -11,6 +11,11 @@ have a partner in the next band also takes part in that band's scheme.
 Rareness comes from a count sketch over the shingles of all documents. It orders signatures and so decides how many
 candidates appear, never which pairs are found: a passage that many documents share is at the end of the order.
 
+The first signature that a and b share tells more: all that come before it in a's order, and in b's, differ. With most
+partitions holding one feature, those that do are different features of the two sides, so the pair is similar only if their
+number on both sides together is at most (|a| + |b|) / 7. An owner leaves out the members of a group that no other member
+of a fitting size can meet this way; of documents that only share a passage, few are left.
+
 Equal sets are one class, known by a 64-bit hash, before anything is exchanged. In a large group of sets that share a
 signature all are compared with its smallest set, the hub, so a group of near copies costs one comparison for each member
 and not one for each pair. What the hub leaves open is split further, by this: let h be no larger than b, and a and b be
@@ -40,6 +45,10 @@ from stockweave.llm.graph import components
 SHINGLE = 5
 #: Largest size of the first band, whose partitions hold one feature each; each later band reaches four times as far.
 FIRST_BAND, RATIO = 64, 4
+#: Partitions for each feature of the largest set of a band, from the second band on: few hold more than one feature.
+SPREAD = 8
+#: Sets with a ratio of sizes below 4/3 are in the same or in neighbouring classes of this ratio.
+SIZE_CLASS = 1.34
 #: Signatures that one owner gets on average, and a task holds before it sends them.
 OWNER_SIGNATURES, SEND_SIGNATURES = 1_500_000, 1_000_000
 #: Groups of at most so many sets are compared pair by pair at once.
@@ -70,32 +79,34 @@ def schemes(size: int) -> list[tuple[int, int, int]]:
     while upper < size:
         upper *= RATIO
     largest = 4 * size // 3
-    out = [(upper, 0 if upper == FIRST_BAND else upper, (size + min(upper, largest)) // 7)]
+    out = [(upper, 0 if upper == FIRST_BAND else SPREAD * upper, (size + min(upper, largest)) // 7)]
     if largest > upper:
-        out.append((upper * RATIO, upper * RATIO, (size + largest) // 7))
+        out.append((upper * RATIO, SPREAD * upper * RATIO, (size + largest) // 7))
     return out
 
 
-def signatures(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The signatures of a set that are exchanged. ``level``: rareness of each feature, low is rare.
+def signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set that are exchanged, and how many single features come before each in the order.
 
-    The k + 1 first in the order exist unless the features crowd into k partitions of at least 256, for 48 features or
-    more; for random hashes that has a chance below 1e-9, and then all signatures of the set are sent.
+    ``level``: rareness of each feature, low is rare. The k + 1 first in the order exist unless the features crowd into k
+    partitions; for random hashes that has a chance below 1e-9, and then all signatures of the set are sent.
     """
-    out = []
+    out, before = [], []
     for name, parts, k in schemes(len(s)):
         if parts:
             part = (s >> U(32)) * U(parts) >> U(32)  # features are sorted, so partitions are runs
             starts = np.flatnonzero(np.diff(part, prepend=part[0] + U(1)))
             sig, rare = np.add.reduceat(finish(s), starts) + part[starts], np.minimum.reduceat(level, starts)
+            single = np.diff(starts, append=len(s)) == 1
         else:
-            sig, rare = s, level
+            sig, rare, single = s, level, np.ones(len(s), dtype=bool)
         sig = finish(sig + U(name * 0x2545F4914F6CDD1D % (1 << 64)))
-        if len(sig) > k + 1:
-            order = (rare.astype(np.uint64) << U(58)) | (sig >> U(6))
-            sig = sig[np.argpartition(order, k)[: k + 1]]
-        out.append(sig)
-    return np.concatenate(out)
+        order = (rare.astype(np.uint64) << U(58)) | (sig >> U(6))
+        first = np.argpartition(order, k)[: k + 1] if len(sig) > k + 1 else np.arange(len(sig))
+        first = first[np.argsort(order[first])]
+        out.append(sig[first])
+        before.append(np.cumsum(single[first]) - single[first])
+    return np.concatenate(out), np.concatenate(before).astype(np.int32)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -156,15 +167,16 @@ def send(rareness: Broadcast, owners: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, level = WordHashes(), set(), rareness.value
         held: list[np.ndarray] = []
+        ahead: list[np.ndarray] = []
         ids: list[int] = []
         sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            sig = np.concatenate(held)
+            sig, before = np.concatenate(held), np.concatenate(ahead)
             who = np.repeat(np.arange(len(held)), [len(h) for h in held])
             to = ((sig >> U(40)) * U(owners) >> U(24)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            sig, who, to = sig[order], who[order], to[order]
+            sig, before, who, to = sig[order], before[order], who[order], to[order]
             cuts = np.searchsorted(to, np.arange(owners + 1))
             names, blobs = [], []
             all_ids, all_sizes = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64)
@@ -172,9 +184,9 @@ def send(rareness: Broadcast, owners: int, seed: int):
                 if b > a:
                     mine, count = np.unique(who[a:b], return_counts=True)
                     head = np.array([b - a, len(mine)], dtype=np.int64)
-                    blobs.append(b"".join(x.tobytes() for x in (head, sig[a:b], all_ids[mine], all_sizes[mine].astype(np.int32), count.astype(np.int32))))
+                    blobs.append(b"".join(x.tobytes() for x in (head, sig[a:b], before[a:b], all_ids[mine], all_sizes[mine].astype(np.int32), count.astype(np.int32))))
                     names.append(owner)
-            for part in (held, ids, sizes):
+            for part in (held, ahead, ids, sizes):
                 part.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["owner", "blob"])
 
@@ -185,7 +197,8 @@ def send(rareness: Broadcast, owners: int, seed: int):
                     name = set_hash(s, seed)[0]
                     if name not in seen:
                         seen.add(name)
-                        held.append(signatures(s, level[sketch.cell_of(s)]))
+                        for part, values in zip((held, ahead), signatures(s, level[sketch.cell_of(s)])):
+                            part.append(values)
                         ids.append(name)
                         sizes.append(len(s))
                         waiting += len(held[-1])
@@ -202,33 +215,57 @@ GROUPS = pa.schema([("gid", pa.int64()), ("set", pa.int64()), ("n", pa.int64()),
 GROUPS_DDL = "gid long, set long, n long, hub long, hub_n long, size long"
 
 
+def meeting(sig: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which rows may have their first shared signature with another row of their group; rows come by signature and size."""
+    kind = np.floor(np.log(sizes) / math.log(SIZE_CLASS)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1])]))
+    lengths = np.diff(starts, append=len(sig))
+    slack = sizes - 7 * before.astype(np.int64)
+    most = np.maximum.reduceat(slack, starts)
+    best = most.copy()
+    beside = (sig[starts][1:] == sig[starts][:-1]) & (kind[starts][1:] == kind[starts][:-1] + 1)
+    best[1:][beside] = np.maximum(best[1:], most[:-1])[beside]
+    best[:-1][beside] = np.maximum(best[:-1], most[1:])[beside]
+    return slack + np.repeat(best, lengths) >= 0
+
+
+def shared_by_several(sig: np.ndarray) -> np.ndarray:
+    """Rows whose signature another row has too; rows come by signature."""
+    same = sig[1:] == sig[:-1]
+    shared = np.zeros(len(sig), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    return shared
+
+
 def meet(rows: pa.Table) -> pa.Table:
     """One owner: of small groups of sets that share a signature the pairs (size 2), of large ones the members.
 
     Each combination of members comes once. ``hub`` is the first of a pair, or the member with the fewest features.
     """
-    sig, sets, sizes = [], [], []
+    sig, before, sets, sizes = [], [], [], []
     for blob in rows.column("blob").to_pylist():
         n, m = (int(x) for x in np.frombuffer(blob, dtype=np.int64, count=2))
-        at = 16 + 8 * n
+        at = 16 + 12 * n
         count = np.frombuffer(blob, dtype=np.int32, count=m, offset=at + 12 * m)
         sig.append(np.frombuffer(blob, dtype=np.uint64, count=n, offset=16))
+        before.append(np.frombuffer(blob, dtype=np.int32, count=n, offset=16 + 8 * n))
         sets.append(np.repeat(np.frombuffer(blob, dtype=np.int64, count=m, offset=at), count))
         sizes.append(np.repeat(np.frombuffer(blob, dtype=np.int32, count=m, offset=at + 8 * m), count))
-    sig, sets, sizes = np.concatenate(sig), np.concatenate(sets), np.concatenate(sizes)
+    sig, before, sets, sizes = (np.concatenate(x) for x in (sig, before, sets, sizes))
     order = np.argsort(sig, kind="stable")
-    ordered = sig[order]
-    shared = np.zeros(len(sig), dtype=bool)
-    same = ordered[1:] == ordered[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    order = order[shared]
-    sig, sets, sizes = sig[order], sets[order], sizes[order]
+    order = order[shared_by_several(sig[order])]
+    sig, before, sets, sizes = sig[order], before[order], sets[order], sizes[order]
     order = np.lexsort((sets, sizes, sig))
-    sig, sets, sizes = sig[order], sets[order], sizes[order].astype(np.int64)
+    sig, before, sets, sizes = sig[order], before[order], sets[order], sizes[order].astype(np.int64)
     fresh = np.ones(len(sig), dtype=bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])  # a set that several tasks have sent
-    sig, sets, sizes = sig[fresh], sets[fresh], sizes[fresh]
+    sig, before, sets, sizes = sig[fresh], before[fresh], sets[fresh], sizes[fresh]
+    if len(sig):
+        stay = meeting(sig, sizes, before)
+        sig, sets, sizes = sig[stay], sets[stay], sizes[stay]
+        stay = shared_by_several(sig)
+        sig, sets, sizes = sig[stay], sets[stay], sizes[stay]
     if len(sig) == 0:
         return GROUPS.empty_table()
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -293,7 +330,7 @@ def with_ids(seed: int):
     return run
 
 
-OUTSIDE_DDL = "hub long, feature long, set long, n long, label long, odd boolean"
+OUTSIDE_DDL = "hub long, feature long, before int, inside long, set long, n long, label long, odd boolean"
 
 
 def needed_outside(n: int, hub_n: int, inside: int, odd: bool) -> int:
@@ -314,10 +351,11 @@ def outside(rareness: Broadcast):
 
         def flush() -> pa.RecordBatch:
             sizes = [len(features) for features, _ in held]
-            hub, name, n, label, odd = (np.repeat(np.array(c), sizes) for c in zip(*(facts for _, facts in held)))
+            inside, hub, name, n, label, odd = (np.repeat(np.array(c), sizes) for c in zip(*(facts for _, facts in held)))
+            before = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
             features = np.concatenate([features for features, _ in held]).view(np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(features), pa.array(name), pa.array(n), pa.array(label), pa.array(odd)], names=["hub", "feature", "set", "n", "label", "odd"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (hub, features, before, inside, name, n, label, odd)], names=["hub", "feature", "before", "inside", "set", "n", "label", "odd"])
 
         waiting = 0
         for batch in batches:
@@ -333,7 +371,7 @@ def outside(rareness: Broadcast):
                 first = len(rest) - needed_outside(len(s), len(core), len(s) - len(rest), odd) + 1
                 if first > 0:
                     order = (level[sketch.cell_of(rest)].astype(np.uint64) << U(58)) | (rest >> U(6))
-                    held.append((rest[np.argsort(order, kind="stable")[:first]], (hub, name, n, label, odd)))
+                    held.append((rest[np.argsort(order, kind="stable")[:first]], (len(s) - len(rest), hub, name, n, label, odd)))
                     waiting += first
                 if waiting >= SEND_FEATURES:
                     yield flush()
@@ -418,12 +456,17 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
         rows = member.unionByName(hubs).join(wanted, "set")
         rows = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("set") != F.col("hub"))
         met = stages.put(f"met-{round_}", rows.select("hub", "set", "n", "label", "odd", "text").mapInArrow(outside(rareness), OUTSIDE_DDL))
-        sizes = met.groupBy("hub", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("some"), F.min(F.struct("n", "set")).alias("least")).filter("some and k > 1")
+        # what comes before the first shared feature differs, on both sides; of features with the same members one is enough
+        slack = F.col("n") - 7 * F.col("before")
+        best = met.groupBy("hub", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("some"), F.max(slack).alias("best")).filter("some and k > 1").select("hub", "feature", "best")
+        met = stages.put(f"near-{round_}", met.join(best, ["hub", "feature"]).filter(slack + F.col("best") >= 0).drop("best"))
+        sizes = met.groupBy("hub", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("some"), F.min(F.struct("n", "set")).alias("least"), *(F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"who{i}") for i in (1, 2)), F.sum("before").alias("later")).filter("some and k > 1")
+        sizes = sizes.groupBy("hub", "k", "who1", "who2", "least").agg(F.min_by("feature", F.struct("later", "feature")).alias("feature"))
         sizes = stages.put(f"sizes-{round_}", sizes)
         small = sizes if round_ == ROUNDS else sizes.filter(F.col("k") <= FEW_OPEN)
         meeting = stages.put(f"meeting-{round_}", met.join(small.select("hub", "feature"), ["hub", "feature"]).join(known_sets.select("set", "brief"), "set"))
         either = meeting.alias("a").join(meeting.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.feature") == F.col("b.feature")) & F.expr(
-            f"a.odd and a.label <> b.label and (not b.odd or a.set < b.set) and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75 and 7 * ({differ}) <= a.n + b.n"
+            f"a.odd and a.label <> b.label and (not b.odd or a.set < b.set) and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75 and 7 * greatest({differ}, abs(a.inside - b.inside)) <= a.n + b.n"
         ))
         joined(either.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct(), str(round_), wanted)
         if round_ == ROUNDS:
