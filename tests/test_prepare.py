@@ -8,7 +8,8 @@ from stockweave.operators import daily as D
 from stockweave.operators import inventory as I
 from stockweave.operators import validate as V
 from stockweave.operators import weekly as W
-from stockweave.sources import files, schemas
+from stockweave.sources import adapter, files, schemas, staging
+from stockweave.sources.staging import spread
 from tests.util import days, frame
 
 SALES = "date date, sell_out_pzs double, upc long, cedis string, final_price double, promo_flag int"
@@ -123,3 +124,37 @@ def test_series_flags(spark):
     assert s[1].is_discontinued and s[1].is_high_promo and not s[1].is_cold_start and s[1].has_inventory
     assert s[2].is_cold_start and not s[2].is_discontinued and not s[2].has_inventory
     assert s[1].interior_gap_days == 2
+
+
+INVENTORY = "date date, prime_item_nbr long, upc long, store_nbr long, on_hand_qty double"
+
+
+def parts_of(df):
+    """Rows of each partition that has some."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_stock_of_one_file_is_dealt_by_store_before_it_is_grouped(spark):
+    """A file of few megabytes holds millions of stock rows; the task that reads it must not group them all."""
+    raw = frame(spark, [(d, 10 * u + i, u, s, 1.5) for d in days("2024-03-18", 5) for u in (1, 2) for i in (0, 1) for s in range(40)], INVENTORY).coalesce(1)
+    collapsed = I.collapse_items(raw)
+    assert sorted(collapsed.select("upc", "on_hand_qty").distinct().collect()) == [(1, 3.0), (2, 3.0)]
+    sizes = parts_of(collapsed)
+    assert sum(sizes) == 400 and max(sizes) < 200
+    assert V.duplicate_rows(raw, ["date", "upc", "store_nbr"]).first()[0] == 400
+    plan = V.duplicate_rows(raw, ["date", "upc", "store_nbr"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [date" in plan
+
+
+def test_derived_stock_is_written_by_many_tasks(spark):
+    shelf = frame(spark, [(u, c, (1 if c == "A" else 14) * 1_000_000_000 + s) for u in (1, 2, 3) for c in "AN" for s in range(30)], "upc long, cedis string, store_nbr long")
+    sold = frame(spark, [(d, u, c, 70.0 + u) for d in days("2001-10-01", 9) for u in (1, 2, 3) for c in "AN"], "date date, upc long, cedis string, sell_out_pzs double")
+    stock = adapter.inventory(shelf.coalesce(1), sold)
+    assert stock.count() == 60 * (2 * 21 + 21 + 18) and stock.distinct().count() == stock.count()
+    assert max(parts_of(stock)) < stock.count() / 2
+
+
+def test_more_rows_are_spread_over_more_partitions(spark):
+    df = spark.range(100)
+    assert spread(df, "id").rdd.getNumPartitions() == 8
+    assert spread(df, "id", rows=20 * staging.ROWS_EACH + 1).rdd.getNumPartitions() == 21
