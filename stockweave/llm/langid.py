@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,22 +146,25 @@ def merged(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> tuple[list, dict[str, int]]:
-    """The items of the highest count with their counts by language, and the totals of the languages."""
+def most_frequent(counts: DataFrame, most: int) -> tuple[pa.Table, dict[str, int]]:
+    """The items of the highest count with their counts by language (item, lang, n), and the totals of the languages.
+
+    The items come as Arrow columns: as many Row objects would stay with the driver's memory.
+    """
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     items = counts.groupBy("item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    best = items.orderBy(F.desc("all"), "item").limit(most).collect()
-    return [{"item": r["item"], "lang": x["lang"], "n": x["n"]} for r in best for x in r["by"]], totals
+    best = items.orderBy(F.desc("all"), "item").limit(most).select("item", F.explode("by").alias("x"))
+    return best.select("item", "x.lang", "x.n").toArrow(), totals
 
 
-def log_frequencies(rows: list, languages: list[str], totals: dict[str, int], smooth: float) -> tuple[dict[str, int], np.ndarray]:
+def log_frequencies(rows: pa.Table, languages: list[str], totals: dict[str, int], smooth: float) -> tuple[dict[str, int], np.ndarray]:
     """Rows of a table for each item, and the table."""
-    items = {item: i for i, item in enumerate(sorted({r["item"] for r in rows}))}
-    counts, column = np.zeros((len(items), len(languages))), {lang: i for i, lang in enumerate(languages)}
-    for r in rows:
-        counts[items[r["item"]], column[r["lang"]]] += r["n"]
-    total = np.array([totals.get(lang, 0) for lang in languages], dtype=float) + smooth * len(items)
-    return items, np.log((counts + smooth) / np.maximum(total, 1e-9))
+    names = sorted(pc.unique(rows["item"]).to_pylist())
+    counts = np.zeros((len(names), len(languages)))
+    at = [pc.index_in(rows[c], value_set=pa.array(known, pa.string())).to_numpy() for c, known in (("item", names), ("lang", languages))]
+    counts[at[0], at[1]] = rows["n"].to_numpy()  # each pair comes once
+    total = np.array([totals.get(lang, 0) for lang in languages], dtype=float) + smooth * len(names)
+    return {item: i for i, item in enumerate(names)}, np.log((counts + smooth) / np.maximum(total, 1e-9))
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:

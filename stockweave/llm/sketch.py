@@ -37,5 +37,8 @@ def levels(sent: DataFrame) -> np.ndarray:
     for r in sent.select("piece", "counts").groupBy("piece").applyInArrow(add_pieces, "piece int, counts binary").collect():
         counts[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], dtype=np.int64)
     mean = counts.mean()
-    beyond = (counts - mean) / (3 * np.sqrt(mean) + 1)  # a cell of rare features holds mean +- its root
-    return np.clip(np.log2(np.maximum(beyond, 1.0)) * 2, 0, 63).astype(np.uint8)
+    out = np.zeros(CELLS, dtype=np.uint8)
+    for at in range(0, CELLS, PIECE):  # by pieces, so the driver holds no other array of all cells
+        beyond = (counts[at : at + PIECE] - mean) / (3 * np.sqrt(mean) + 1)  # a cell of rare features holds mean +- its root
+        out[at : at + PIECE] = np.clip(np.log2(np.maximum(beyond, 1.0)) * 2, 0, 63)
+    return out

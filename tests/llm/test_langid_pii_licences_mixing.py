@@ -257,3 +257,32 @@ def test_mixing_raises_when_no_solution_is_reached(monkeypatch):
     monkeypatch.setattr(mixing, "MAX_EVALUATIONS", 1)
     with pytest.raises(RuntimeError, match="mixing rates not found"):
         plain_rates(*hot_domain(1.0), [0.3, 0.4, 0.3])
+
+
+def test_langid_model_comes_to_the_driver_as_columns(spark):
+    counts = spark.createDataFrame([("aa", "x", 3), ("bb", "x", 2), ("aa", "y", 4), ("bb", "z", 1)], "lang string, item string, n long")
+    rows, totals = langid.most_frequent(counts, 2)
+    assert rows.schema.names == ["item", "lang", "n"] and rows.num_rows == 3  # an Arrow table, no Row objects
+    items, table = langid.log_frequencies(rows, ["aa", "bb"], totals, 0.5)
+    assert items == {"x": 0, "y": 1} and totals == {"aa": 7, "bb": 3}
+    assert np.allclose(np.exp(table), [[3.5 / 8, 2.5 / 4], [4.5 / 8, 0.5 / 4]])
+
+
+def test_sketch_levels_hold_one_array_of_all_cells():
+    import tracemalloc
+
+    from stockweave.llm import sketch
+
+    class Sent:
+        def __getattr__(self, name):
+            return lambda *_: self
+
+        def collect(self):
+            return ({"piece": i, "counts": np.full(sketch.PIECE, i, dtype=np.int64).tobytes()} for i in range(sketch.CELLS // sketch.PIECE))
+
+    tracemalloc.start()
+    levels = sketch.levels(Sent())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(levels) == sketch.CELLS and levels[0] == 0 and levels[-1] > 0
+    assert peak < 12 * sketch.CELLS
