@@ -18,13 +18,16 @@ of a fitting size can meet this way; of documents that only share a passage, few
 
 Equal sets are one class, known by a 64-bit hash, before anything is exchanged. In a large group of sets that share a
 signature all are compared with its smallest set, the hub, so a group of near copies costs one comparison for each member
-and not one for each pair. What the hub leaves open is split further, by this: let h be no larger than b, and a and b be
-similar but a and h not. Then a and b share more features than a and h, so they share one outside h. Members therefore meet
-again on (hub, feature), with the rarest of their features outside the hub, as many as a pair needs to meet, and pairs
-are formed only there and only if one of the two is outside the hub's component. What many members share and the hub lacks
-gives large groups again, each with a hub of its own, round by round. A comparison begins with
-parity bits: each feature flips one bit of a set's bitmap, so two sets differ in at least as many features as bits, which
-rules out nearly all pairs that only share a passage. The texts of the others are fetched and compared word by word.
+and not one for each pair. Parity bits come first: each feature flips one bit of a set's bitmap, so two sets differ in at
+least as many features as bits, which rules out nearly all pairs that only share a passage. The texts of the others are
+fetched and compared word by word.
+
+What the hub leaves open, members outside the hub's component, is compared inside the group: its texts are dealt in blocks,
+each two of which meet in one task, and a task gives only the links that join what is not yet joined. Let h be no larger than
+b, and a and b be similar but a and h not. Then a and b share more features than a and h, so they share some outside h;
+members with too few of them can't have a partner and are left out. The others are compared by wide parity bits, then by
+features, and a link by its words; pairs that earlier links have joined are passed over, so near copies cost few comparisons.
+What is left grows, for an open group, with its members times its components, and no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -53,10 +56,10 @@ SIZE_CLASS = 1.34
 OWNER_SIGNATURES, SEND_SIGNATURES = 1_500_000, 1_000_000
 #: Groups of at most so many sets are compared pair by pair at once.
 FEW = 8
-#: Groups on (hub, feature) of at most so many sets are compared pair by pair; larger ones get a hub, for so many rounds.
-FEW_OPEN, ROUNDS = 32, 4
-#: Members that get one copy of their hub's text, and features that a task holds before it passes them on.
-HUB_SHARE, SEND_FEATURES = 2000, 100_000
+#: Members and features that one block of an open group has about; larger groups are dealt to several blocks.
+FEW_OPEN, BLOCK_FEATURES = 4000, 2_000_000
+#: Pairs that are compared by features at once, and bits for each feature of the bitmaps before that.
+AT_ONCE, WIDE = 64, 4
 
 U = np.uint64
 
@@ -122,14 +125,8 @@ def differ_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
-def brief(s: np.ndarray) -> list[int]:
-    """Parity bits again, 512 for a set of any size, as eight integers that a join condition can look at."""
-    cells = finish(s ^ U(0xBB67AE8584CAA73B)) & U(511)
-    return np.packbits((np.bincount(cells.astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64).tolist()
-
-
-FIRST = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("brief", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())])
-FIRST_DDL = "doc_id long, set long, other long, n long, bits binary, brief array<long>, piece int, counts binary"
+FIRST = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+FIRST_DDL = "doc_id long, set long, other long, n long, bits binary, piece int, counts binary"
 
 
 def describe(seed: int):
@@ -142,21 +139,20 @@ def describe(seed: int):
             n = batch.num_rows
             sets, others, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             bits: list[bytes | None] = [None] * n
-            short: list[list[int] | None] = [None] * n
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if len(s := shingles(text, hashes)):
                     sets[i], others[i] = set_hash(s, seed)
                     sizes[i] = len(s)
                     if sets[i] not in seen:
                         seen.add(sets[i])
-                        bits[i], short[i] = parity(s), brief(s)
+                        bits[i] = parity(s)
                         sketch.add(cells, s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets), pa.array(others), pa.array(sizes), pa.array(bits, pa.binary()), pa.array(short, FIRST.field("brief").type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=FIRST)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets), pa.array(others), pa.array(sizes), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=FIRST)
         if seen:
             blobs = sketch.pieces(cells)
             k = len(blobs)
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), pa.nulls(k, FIRST.field("brief").type), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], schema=FIRST)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], schema=FIRST)
 
     return run
 
@@ -303,6 +299,11 @@ def word_shingles(text: bytes) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(SHINGLE))))
 
 
+def similar(a: set, b: set) -> bool:
+    shared = len(a & b)
+    return 100 * shared >= 75 * (len(a) + len(b) - shared)
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose word shingles reach the similarity; rows come sorted by ``a``, so its set is kept."""
     last, mine = None, set()
@@ -311,9 +312,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, first, second in zip(*(c.to_pylist() for c in batch.columns)):
             if a != last:
                 last, mine = a, word_shingles(first)
-            theirs = word_shingles(second)
-            shared = len(mine & theirs)
-            if 100 * shared >= 75 * (len(mine) + len(theirs) - shared):
+            if similar(mine, word_shingles(second)):
                 good.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
 
@@ -330,9 +329,6 @@ def with_ids(seed: int):
     return run
 
 
-OUTSIDE_DDL = "hub long, feature long, before int, inside long, set long, n long, label long, odd boolean"
-
-
 def needed_outside(n: int, hub_n: int, inside: int, odd: bool) -> int:
     """Features outside the hub that a set shares at least with any partner it is to meet there."""
     partner = max(hub_n, math.ceil(3 * n / 4))
@@ -342,44 +338,64 @@ def needed_outside(n: int, hub_n: int, inside: int, odd: bool) -> int:
     return max(needed, 1)
 
 
-def outside(rareness: Broadcast):
-    """The rarest features outside the hub of each member; a hub's row comes before its members'."""
+def wide_bits(features: list[np.ndarray]) -> np.ndarray:
+    """Parity bits of many sets, of one width: at least ``WIDE`` bits for each feature of the largest."""
+    width = max(64, 1 << (WIDE * max(map(len, features)) - 1).bit_length())
+    out = np.empty((len(features), width // 64), dtype=np.uint64)
+    for row, s in zip(out, features):
+        cells = finish(s ^ U(0xBB67AE8584CAA73B)) & U(width - 1)
+        row[:] = np.packbits((np.bincount(cells.astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, level, mine, core = WordHashes(), rareness.value, None, None
-        held: list[tuple[np.ndarray, tuple]] = []
 
-        def flush() -> pa.RecordBatch:
-            sizes = [len(features) for features, _ in held]
-            inside, hub, name, n, label, odd = (np.repeat(np.array(c), sizes) for c in zip(*(facts for _, facts in held)))
-            before = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            features = np.concatenate([features for features, _ in held]).view(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (hub, features, before, inside, name, n, label, odd)], names=["hub", "feature", "before", "inside", "set", "n", "label", "odd"])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        waiting = 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hub, name, n, label, odd, text = (batch.column(c)[i].as_py() for c in ("hub", "set", "n", "label", "odd", "text"))
-                s = shingles(text, hashes)
-                if hub == name:
-                    mine, core = hub, s
-                    continue
-                if hub != mine:
-                    raise ValueError("a member came before its hub")
-                rest = s[~np.isin(s, core, assume_unique=True)]
-                first = len(rest) - needed_outside(len(s), len(core), len(s) - len(rest), odd) + 1
-                if first > 0:
-                    order = (level[sketch.cell_of(rest)].astype(np.uint64) << U(58)) | (rest >> U(6))
-                    held.append((rest[np.argsort(order, kind="stable")[:first]], (len(s) - len(rest), hub, name, n, label, odd)))
-                    waiting += first
-                if waiting >= SEND_FEATURES:
-                    yield flush()
-                    waiting = 0
-        if held:
-            yield flush()
 
-    return run
+def settle(rows: pa.Table) -> pa.Table:
+    """One or two blocks of an open group: links that join members of different labels, none between what they have joined.
+
+    Pairs have an odd member; of two blocks only pairs across are compared. The hub comes along for its features.
+    """
+    names, odd = rows.column("set").to_numpy(), rows.column("odd").to_numpy(zero_copy_only=False)
+    is_hub = names == rows.column("hub")[0].as_py()
+    if not odd.any():
+        return LINKS.empty_table()
+    hashes = WordHashes()
+    core = shingles(rows.column("text")[int(np.argmax(is_hub))].as_py(), hashes)
+    at, features = [], []
+    for i in np.flatnonzero(~is_hub)[np.argsort(~odd[~is_hub], kind="stable")].tolist():
+        s = shingles(rows.column("text")[i].as_py(), hashes)
+        inside = int(np.isin(s, core, assume_unique=True).sum())
+        if len(s) - inside >= needed_outside(len(s), len(core), inside, bool(odd[i])):
+            at.append(i)
+            features.append(s)
+    if len(at) < 2:
+        return LINKS.empty_table()
+    names, first = names[at], int(odd[at].sum())  # odd members come first
+    side = rows.column("side").to_numpy()[at] if rows.column("cross")[0].as_py() else np.arange(len(at))
+    root = np.unique(rows.column("label").to_numpy()[at], return_inverse=True)[1]
+    n, bits = np.array([len(s) for s in features]), wide_bits(features)
+    dense = np.unique(np.concatenate(features), return_inverse=True)[1]
+    dense = np.split(dense, np.cumsum(n)[:-1])
+    mine = np.zeros(max(int(d.max()) for d in dense) + 1, dtype=bool)
+    words = lambda i: word_shingles(rows.column("text")[at[i]].as_py())
+    found: list[tuple[int, int]] = []
+    for i in range(first):
+        rest = slice(i + 1, None)
+        fit = (root[rest] != root[i]) & (side[rest] != side[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * 75)
+        others = i + 1 + np.flatnonzero(fit)
+        others = others[7 * np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
+        mine[dense[i]] = True
+        while len(others):
+            some, others = others[:AT_ONCE], others[AT_ONCE:]
+            shared = np.add.reduceat(mine[np.concatenate([dense[j] for j in some])], np.cumsum(n[some]) - n[some], dtype=np.int64)
+            for j in some[100 * shared >= 75 * (n[some] + n[i] - shared)].tolist():
+                if root[j] != root[i] and similar(words(i), words(j)):
+                    found.append((int(names[i]), int(names[j])))
+                    root[root == root[j]] = root[i]
+            others = others[root[others] != root[i]]
+        mine[dense[i]] = False
+    return pa.Table.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], schema=LINKS)
 
 
 def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
@@ -395,8 +411,8 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     stages = Stages(spark, "partenum")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text"))
     first = stages.put("first", texts.mapInArrow(describe(seed), FIRST_DDL))
-    docs = first.filter("piece is null").select("doc_id", "set", "other", "n", "bits", "brief")
-    classes = stages.put("classes", docs.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.first("bits", ignorenulls=True).alias("bits"), F.first("brief", ignorenulls=True).alias("brief")))
+    docs = first.filter("piece is null").select("doc_id", "set", "other", "n", "bits")
+    classes = stages.put("classes", docs.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.first("bits", ignorenulls=True).alias("bits")))
     total, collide = classes.agg(F.sum("n"), F.count(F.when(F.col("o1") != F.col("o2"), 1))).first()
     if collide:
         raise ValueError("two different sets have one id; use another seed")
@@ -408,74 +424,41 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     edges = groups.filter("set <> hub").filter("least(n, hub_n) * 100 >= greatest(n, hub_n) * 75")
     edges = edges.select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
     named = groups.select("set").union(groups.select("hub")).distinct()
-    known_sets = stages.put("sets", classes.select("set", "n", "bits", "brief", "rep").join(named, "set"))
-
-    def fetched(wanted: DataFrame, name: str) -> DataFrame:
-        """set and a text of it, for a column of set ids. Found by the id of each text, as several texts may have one doc_id."""
-        wanted = stages.put(f"wanted-{name}", known_sets.join(wanted.distinct(), "set").select("set", "rep"))
-        likely = narrowed(texts, "doc_id", wanted.select("rep"), with_ids(seed), "set long, text binary")
-        return stages.put(f"texts-{name}", likely.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
-
-    def linked(pairs: DataFrame, name: str, kept: DataFrame | None = None) -> DataFrame:
-        """Pairs that are near, by bits and then by words; ``kept`` has the texts if they are at hand."""
-        side = lambda x: known_sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-        likely = stages.put(f"likely-{name}", likely.mapInArrow(may_be_near, "a long, b long"))
-        wanted = kept if kept is not None else fetched(likely.select(F.col("a").alias("set")).union(likely.select("b")), name)
-        with_b = likely.join(wanted.withColumnsRenamed({"set": "b", "text": "second"}), "b")
-        with_a = with_b.join(wanted.withColumnsRenamed({"set": "a", "text": "first"}).hint("merge"), "a")
-        return stages.put(f"links-{name}", with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
-
-    links = linked(edges, "0")
-    labels = stages.put("labels-0", components(links, stages, "cc-0"))
-
-    def joined(pairs: DataFrame, name: str, kept: DataFrame) -> None:
-        nonlocal links, labels
-        more = linked(pairs, name, kept)
+    known_sets = stages.put("sets", classes.select("set", "n", "bits", "rep").join(named, "set"))
+    members = stages.put("members", groups.filter("size > 2").select("hub", "hub_n", "set", "n").distinct())
+
+    side = lambda x: known_sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    likely = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    likely = stages.put("likely", likely.mapInArrow(may_be_near, "a long, b long"))
+    # a text of each set that is still needed, found by the id of each text, as several texts may have one doc_id
+    wanted = likely.select(F.col("a").alias("set")).union(likely.select("b")).union(members.select("set")).distinct()
+    wanted = stages.put("wanted", known_sets.join(wanted, "set").select("set", "rep"))
+    held = narrowed(texts, "doc_id", wanted.select("rep"), with_ids(seed), "set long, text binary")
+    held = stages.put("texts", held.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
+    with_b = likely.join(held.withColumnsRenamed({"set": "b", "text": "second"}), "b")
+    with_a = with_b.join(held.withColumnsRenamed({"set": "a", "text": "first"}).hint("merge"), "a")
+    links = stages.put("links", with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
+    labels = stages.put("labels", components(links, stages, "cc"))
+
+    label_of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
+    known = members.join(label_of("set"), "set", "left").join(label_of("hub"), "hub", "left")
+    label = F.coalesce("l_set", "set")
+    known = known.select("hub", "set", "n", label.alias("label"), (label != F.coalesce("l_hub", "hub")).alias("odd"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / FEW_OPEN, F.sum("n") / BLOCK_FEATURES)).cast("int")
+    some = known.groupBy("hub").agg(blocks.alias("blocks"), F.bool_or("odd").alias("open")).filter("open").select("hub", "blocks")
+    known = stages.put("open", known.join(some, "hub"))
+    if not known.isEmpty():
+        # each two blocks meet in one cell, to which the hub's text goes as well
+        cell = (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell")
+        blocked = known.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        at_home = blocked.filter("set <> hub").select("hub", cell, "set", "label", "odd", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("cross"))
+        hubs = blocked.filter("set = hub").select("hub", "blocks", "label", "other", F.explode(F.sequence(F.lit(0), F.col("other"))).alias("block"))
+        hubs = hubs.select("hub", cell, F.col("hub").alias("set"), "label", F.lit(False).alias("odd"), F.lit(0).alias("side"), (F.col("block") != F.col("other")).alias("cross"))
+        rows = at_home.unionByName(hubs).join(held, "set")
+        more = stages.put("more", rows.groupBy("hub", "cell").applyInArrow(settle, "a long, b long"))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = stages.put(f"labels-{name}", components(links, stages, f"cc-{name}"))
-
-    differ = " + ".join(f"bit_count(a.brief[{i}] ^ b.brief[{i}])" for i in range(8))
-    members = groups.filter("size > 2").select("hub", "hub_n", "set", "n").distinct()
-    for round_ in range(1, ROUNDS + 1):
-        label_of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
-        known = members.join(label_of("set"), "set", "left").join(label_of("hub"), "hub", "left")
-        label = F.coalesce("l_set", "set")
-        known = known.select("hub", "hub_n", "set", "n", label.alias("label"), (label != F.coalesce("l_hub", "hub")).alias("odd"))
-        some = known.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("open")).filter("open")
-        known = stages.put(f"open-{round_}", known.join(some.select("hub", "k"), "hub"))
-        if known.isEmpty():
-            break
-        if round_ == 1:  # later rounds have no other sets
-            wanted = fetched(known.select("set").union(known.select("hub")), "open")
-        # a hub's text travels once for some of its members, so large groups are dealt to several tasks
-        shares = F.greatest(F.lit(1), F.ceil(F.col("k") / HUB_SHARE))
-        member = known.filter("set <> hub").select("hub", F.pmod(F.xxhash64("set"), shares).cast("int").alias("share"), "set", "n", "label", "odd")
-        hubs = known.select("hub", "k", "hub_n").distinct().select("hub", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int"))).alias("share"), F.col("hub").alias("set"), F.col("hub_n").alias("n"), F.col("hub").alias("label"), F.lit(False).alias("odd"))
-        rows = member.unionByName(hubs).join(wanted, "set")
-        rows = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("set") != F.col("hub"))
-        met = stages.put(f"met-{round_}", rows.select("hub", "set", "n", "label", "odd", "text").mapInArrow(outside(rareness), OUTSIDE_DDL))
-        # what comes before the first shared feature differs, on both sides; of features with the same members one is enough
-        slack = F.col("n") - 7 * F.col("before")
-        best = met.groupBy("hub", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("some"), F.max(slack).alias("best")).filter("some and k > 1").select("hub", "feature", "best")
-        met = stages.put(f"near-{round_}", met.join(best, ["hub", "feature"]).filter(slack + F.col("best") >= 0).drop("best"))
-        sizes = met.groupBy("hub", "feature").agg(F.count(F.lit(1)).alias("k"), F.bool_or("odd").alias("some"), F.min(F.struct("n", "set")).alias("least"), *(F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"who{i}") for i in (1, 2)), F.sum("before").alias("later")).filter("some and k > 1")
-        sizes = sizes.groupBy("hub", "k", "who1", "who2", "least").agg(F.min_by("feature", F.struct("later", "feature")).alias("feature"))
-        sizes = stages.put(f"sizes-{round_}", sizes)
-        small = sizes if round_ == ROUNDS else sizes.filter(F.col("k") <= FEW_OPEN)
-        meeting = stages.put(f"meeting-{round_}", met.join(small.select("hub", "feature"), ["hub", "feature"]).join(known_sets.select("set", "brief"), "set"))
-        either = meeting.alias("a").join(meeting.alias("b"), (F.col("a.hub") == F.col("b.hub")) & (F.col("a.feature") == F.col("b.feature")) & F.expr(
-            f"a.odd and a.label <> b.label and (not b.odd or a.set < b.set) and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 75 and 7 * greatest({differ}, abs(a.inside - b.inside)) <= a.n + b.n"
-        ))
-        joined(either.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct(), str(round_), wanted)
-        if round_ == ROUNDS:
-            break
-        large = sizes.filter(F.col("k") > FEW_OPEN).select("hub", "feature", F.col("least.set").alias("next"), F.col("least.n").alias("next_n"))
-        members = met.join(large, ["hub", "feature"]).select(F.col("next").alias("hub"), F.col("next_n").alias("hub_n"), "set", "n").distinct()
-        members = stages.put(f"members-{round_}", members)
-        again = members.filter("set <> hub and least(n, hub_n) * 100 >= greatest(n, hub_n) * 75").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
-        joined(again, f"{round_}-hubs", wanted)
+            labels = stages.put("labels-all", components(links.unionByName(more), stages, "cc-all"))
 
     least = classes.join(labels, F.col("set") == F.col("node"), "left").select("set", "rep", F.coalesce("label", "set").alias("label"))
     smallest = least.groupBy("label").agg(F.min("rep").alias("component"))

@@ -144,3 +144,36 @@ def test_null_and_shared_ids_lose_no_link(spark):
     assert out == {(None, 7), (None, 8), (7, 7), (8, 8), (9, 8)}
     rows = [(1, " ".join(a)), (1, " ".join(b)), (8, near(b, "y"))]
     assert {(r.doc_id, r.component_id) for r in partenum.near_groups(frame(spark, rows)).collect()} == {(1, 1), (8, 1)}
+
+
+def far_from_the_hub(seed, groups, each):
+    """Near copies of texts that hold most of a shorter one, but are not near it: every group hangs on the shorter one's features."""
+    rng = random.Random(seed)
+    hub = [f"h{i}" for i in range(80)]
+    rows = [" ".join(hub)]
+    for g in range(groups):
+        base = hub + [f"g{g}x{i}" for i in range(36)]
+        for c in range(each):
+            at = rng.randrange(100, 112)
+            rows.append(" ".join(base[:at] + [f"c{g}x{c}"] + base[at + 1 :]))
+    return list(enumerate(rows))
+
+
+def test_open_groups_make_no_rows_for_features_or_pairs(spark, monkeypatch):
+    rows, put, made = far_from_the_hub(1, 12, 12), partenum.Stages.put, {}
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(partenum.Stages, "put", counted)
+    assert got(spark, rows) == brute(rows)
+    made.pop("first"), made.pop("groups")  # pieces of the sketch, members by signature
+    assert max(made.values()) <= 6 * len(rows), made
+
+
+def test_blocks_of_open_groups_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "FEW_OPEN", 7)
+    rows = [(i, t) for i, (_, t) in enumerate(far_from_the_hub(2, 9, 9) + passage_documents(8, 100, 60, 24, 4))]
+    assert got(spark, rows) == brute(rows)
