@@ -25,8 +25,8 @@ fetched and compared word by word.
 What the hub leaves open, members outside the hub's component, is compared inside the group: its texts are dealt in blocks,
 each two of which meet in one task, and a task gives only the links that join what is not yet joined. Let h be no larger than
 b, and a and b be similar but a and h not. Then a and b share more features than a and h, so they share some outside h;
-members with too few of them can't have a partner and are left out. The others are compared by wide parity bits, then by
-features, and a link by its words; pairs that earlier links have joined are passed over, so near copies cost few comparisons.
+members with too few of them, or with no partner that parity bits allow, are left out. The others are compared by wider
+bits, then by features, and a link by its words; pairs that earlier links have joined are passed over, so near copies cost few comparisons.
 What is left grows, for an open group, with its members times its components, and no row is made for a pair.
 """
 
@@ -348,6 +348,29 @@ def wide_bits(features: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+HOPEFUL_DDL = "hub long, cell int, set long, label long, odd boolean, side int, cross boolean"
+
+
+def hopeful(rows: pa.Table) -> pa.Table:
+    """One or two blocks of an open group: the members, and the hub, that parity bits leave a partner of another label."""
+    out = rows.select([c.split()[0] for c in HOPEFUL_DDL.split(", ")])
+    odd, n, label = (rows.column(c).to_numpy() for c in ("odd", "n", "label"))
+    is_hub = rows.column("set").to_numpy() == rows.column("hub")[0].as_py()
+    side = rows.column("side").to_numpy() if rows.column("cross")[0].as_py() else np.arange(len(n))
+    bits = [np.frombuffer(b, dtype=np.uint64) for b in rows.column("bits").to_pylist()]
+    width = np.array([len(b) for b in bits])
+    folded = {w: np.array([np.bitwise_xor.reduce(b.reshape(-1, w), axis=0) if len(b) >= w else np.zeros(w, np.uint64) for b in bits]) for w in set(width.tolist())}
+    keep = np.zeros(len(n), dtype=bool)
+    for i in np.flatnonzero(odd).tolist():
+        fit = ~is_hub & (label != label[i]) & (side != side[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * 75)
+        for w, bitmaps in folded.items():
+            others = np.flatnonzero(fit & (np.minimum(width, width[i]) == w))
+            near = others[7 * np.bitwise_count(bitmaps[others] ^ bitmaps[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
+            keep[near] = True
+            keep[i] |= len(near) > 0
+    return out.filter(pa.array(keep | is_hub)) if keep.any() else out.slice(0, 0)
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -427,14 +450,16 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     known_sets = stages.put("sets", classes.select("set", "n", "bits", "rep").join(named, "set"))
     members = stages.put("members", groups.filter("size > 2").select("hub", "hub_n", "set", "n").distinct())
 
+    def fetched(sets: DataFrame, name: str) -> DataFrame:
+        """set and a text of it, for a column of set ids. Found by the id of each text, as several texts may have one doc_id."""
+        wanted = stages.put(f"wanted-{name}", known_sets.join(sets.distinct(), "set").select("set", "rep"))
+        held = narrowed(texts, "doc_id", wanted.select("rep"), with_ids(seed), "set long, text binary")
+        return stages.put(f"texts-{name}", held.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
+
     side = lambda x: known_sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     likely = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     likely = stages.put("likely", likely.mapInArrow(may_be_near, "a long, b long"))
-    # a text of each set that is still needed, found by the id of each text, as several texts may have one doc_id
-    wanted = likely.select(F.col("a").alias("set")).union(likely.select("b")).union(members.select("set")).distinct()
-    wanted = stages.put("wanted", known_sets.join(wanted, "set").select("set", "rep"))
-    held = narrowed(texts, "doc_id", wanted.select("rep"), with_ids(seed), "set long, text binary")
-    held = stages.put("texts", held.join(wanted.select("set").hint("shuffle_hash"), "set").dropDuplicates(["set"]))
+    held = fetched(likely.select(F.col("a").alias("set")).union(likely.select("b")), "likely")
     with_b = likely.join(held.withColumnsRenamed({"set": "b", "text": "second"}), "b")
     with_a = with_b.join(held.withColumnsRenamed({"set": "a", "text": "first"}).hint("merge"), "a")
     links = stages.put("links", with_a.select("a", "b", "first", "second").mapInArrow(compare, "a long, b long"))
@@ -448,14 +473,16 @@ def near_groups(documents: DataFrame, seed: int = 0) -> DataFrame:
     some = known.groupBy("hub").agg(blocks.alias("blocks"), F.bool_or("odd").alias("open")).filter("open").select("hub", "blocks")
     known = stages.put("open", known.join(some, "hub"))
     if not known.isEmpty():
-        # each two blocks meet in one cell, to which the hub's text goes as well
+        # each two blocks meet in one cell, to which the hub goes as well
         cell = (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell")
         blocked = known.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        at_home = blocked.filter("set <> hub").select("hub", cell, "set", "label", "odd", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("cross"))
-        hubs = blocked.filter("set = hub").select("hub", "blocks", "label", "other", F.explode(F.sequence(F.lit(0), F.col("other"))).alias("block"))
-        hubs = hubs.select("hub", cell, F.col("hub").alias("set"), "label", F.lit(False).alias("odd"), F.lit(0).alias("side"), (F.col("block") != F.col("other")).alias("cross"))
-        rows = at_home.unionByName(hubs).join(held, "set")
+        at_home = blocked.filter("set <> hub").select("hub", cell, "set", "n", "label", "odd", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("cross"))
+        hubs = blocked.filter("set = hub").select("hub", "blocks", "n", "label", "other", F.explode(F.sequence(F.lit(0), F.col("other"))).alias("block"))
+        hubs = hubs.select("hub", cell, F.col("hub").alias("set"), "n", "label", F.lit(False).alias("odd"), F.lit(0).alias("side"), (F.col("block") != F.col("other")).alias("cross"))
+        rows = at_home.unionByName(hubs).join(known_sets.select("set", "bits"), "set")
+        rows = stages.put("hopeful", rows.groupBy("hub", "cell").applyInArrow(hopeful, HOPEFUL_DDL))
+        rows = rows.join(fetched(rows.select("set"), "open"), "set")
         more = stages.put("more", rows.groupBy("hub", "cell").applyInArrow(settle, "a long, b long"))
         if not more.isEmpty():
             labels = stages.put("labels-all", components(links.unionByName(more), stages, "cc-all"))
